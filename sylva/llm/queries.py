@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,8 +29,42 @@ def op3_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), vocabulary(), 2)
 
 
+def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that a mix of all sources at weights 1, 2, 3, ... takes of each document."""
+    from .mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents"), (1, 2, 3), 3).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    from .packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), 0, 2048)
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of whole texts: counts and spans of the base kinds, and all spans."""
+    from .secrets import BASE, find_secrets, span_text
+
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("_spans", lambda x: x["order"] < len(BASE))
+    count = lambda kind: F.size(F.filter("_spans", lambda x: x["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(F.encode(span_text(base), "UTF-8"), 256).alias("base_sha256"),
+        span_text(F.col("_spans")).alias("spans"),
+    )
+
+
 QUERIES = {
+    "op1_pareto_mix": op1_pareto_mix,
     "op2_token_counts": op2_token_counts,
     "op3_token_codes": op3_token_codes,
+    "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_secret_scan": op10_secret_scan,
 }
 ORACLES: dict[str, str] = {}
