@@ -19,7 +19,7 @@ from .textkit import ragged, span_hashes, text_slices
 #: Pieces longer than this many bytes are encoded each time rather than kept.
 KEEP_BYTES = 48
 #: Ids and pieces that a worker keeps; beyond these it begins anew (bounds memory only).
-KEEP_PIECES, KEEP_IDS = 2_000_000, 12_000_000
+KEEP_PIECES, KEEP_IDS = 1_000_000, 5_000_000
 
 #: ASCII letters; ASCII marks that are neither letters, digits nor white space.
 LETTER, MARK = np.zeros(256, bool), np.zeros(256, bool)
