@@ -22,7 +22,7 @@ from .shared import persist
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents in a cell of the rank, about.
-CELL_DOCS = 4096
+CELL_DOCS = 512
 #: Copies of a source's row in its join with documents, so that a hot source meets many tasks.
 SALTS = 32
 

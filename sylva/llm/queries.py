@@ -36,6 +36,32 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), (1, 2, 3), 3).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best inner products of every vector whose id is divisible by 20."""
+    from .topk import exact_top_k
+
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+def held_out(id_column: str = "doc_id"):
+    return F.crc32(F.col(id_column).cast("string").cast("binary")) % 4 == 2
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str):
+    """A model of labelled documents that are not held out."""
+    from .toxicity import fit, labelled_sample
+
+    return fit(labelled_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out()))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document by compression distance."""
+    from .toxicity import score_documents
+
+    scored = score_documents(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     from .packing import pack_documents
@@ -64,6 +90,8 @@ QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_token_counts": op2_token_counts,
     "op3_token_codes": op3_token_codes,
+    "op6_exact_top_k": op6_exact_top_k,
+    "op8_toxicity": op8_toxicity,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_secret_scan": op10_secret_scan,
 }
