@@ -43,6 +43,13 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of five-word shingles reach a Jaccard similarity of 0.75."""
+    from .ngram_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def held_out(id_column: str = "doc_id"):
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % 4 == 2
 
@@ -91,6 +98,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_token_codes": op3_token_codes,
     "op6_exact_top_k": op6_exact_top_k,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_toxicity": op8_toxicity,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_secret_scan": op10_secret_scan,
