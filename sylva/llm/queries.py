@@ -36,6 +36,13 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), (1, 2, 3), 3).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, components and kept vectors at a cosine of 0.95."""
+    from .embedding_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best inner products of every vector whose id is divisible by 20."""
     from .topk import exact_top_k
@@ -97,6 +104,7 @@ QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_token_counts": op2_token_counts,
     "op3_token_codes": op3_token_codes,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_toxicity": op8_toxicity,
