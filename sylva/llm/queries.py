@@ -43,6 +43,25 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices of every document, exact and with few edits."""
+    from .licenses import certainty, find_notices, labels_of
+
+    found = find_notices(table(spark, sf_dir, "documents"))
+    base = F.filter("places", lambda p: p["base"])
+    starts = F.transform(base, lambda p: p["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        labels_of(base).alias("base_labels"),
+        labels_of(F.col("places")).alias("labels"),
+        certainty(F.col("places")).alias("score"),
+    )
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best inner products of every vector whose id is divisible by 20."""
     from .topk import exact_top_k
@@ -105,6 +124,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_token_codes": op3_token_codes,
     "op4_embedding_dedup": op4_embedding_dedup,
+    "op5_license_scan": op5_license_scan,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_toxicity": op8_toxicity,
