@@ -1,19 +1,83 @@
-"""A corpus pipeline of the training-data operators: documents in, packed sequences out."""
+"""A corpus pipeline of the training-data operators: documents in, packed sequences out.
+
+Toxic documents go; of each group of near-duplicates one document stays; secrets are blotted out
+in the text; sources are mixed to target weights; what is left is packed into sequences.  Each
+stage takes all that its predecessor kept, and all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from sylva.llm.mixing import mix_sources
+from sylva.llm.ngram_join import jaccard_components
+from sylva.llm.packing import pack_documents
+from sylva.llm.queries import toxicity_model, vocabulary
+from sylva.llm.secrets import find_secrets, redact
+from sylva.llm.shared import persist
+from sylva.llm.toxicity import score_documents
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score stays below 0.5; the model learns from labels that are not held out.
+
+    Nulls and empty texts are scored as texts without words; repeated rows are judged alike.
+    """
+    scored = score_documents(docs.select(*COLUMNS), toxicity_model(spark, sf_dir), keep=COLUMNS[1:])
+    return scored.where("score < 0.5").select(*COLUMNS)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a 5-gram Jaccard similarity of 0.75 the one with the least id; all without words or id stay.
+
+    Rows that repeat an id with the same text stay once.
+    """
+    groups = jaccard_components(docs)
+    gone = groups.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
+    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return kept
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+
+def blot_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, each secret in its text replaced by ``<secret>`` (n_chars follows); null texts stay null."""
+    found = find_secrets(docs, keep=COLUMNS[1:])
+    clean = redact(F.col("text"), F.col("_spans"))
+    return found.select("doc_id", clean.alias("text"), "lang", "source", F.when(F.size("_spans") > 0, F.length(clean).cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix at weights 1, 2, 3, ... takes it (0 to 3 times).
+
+    Documents without words belong to no mix and go; null sources are one source.
+    """
+    # a number for each row, written down, so that rows of one id keep their own copies
+    rows = persist(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "mix")
+    taken = mix_sources(rows, (1, 2, 3), 3, id_column="_row", seed="pipeline").where("copies > 0").select(F.col("doc_id").alias("_row"), "copies")
+    return rows.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    return pack_documents(docs, vocabulary(), 0, 2048)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", keep_one_of_near_copies),
+    ("secrets", blot_secrets),
+    ("mix", mix),
+    ("packing", pack),
+]
+#: Trained dictionaries, a tokenizer and a connected-components loop are beyond SQL.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply every stage to ``documents``; each stage's result is written and read again."""
-    from sylva.llm.shared import persist
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
