@@ -5,8 +5,9 @@ Every vector is put into the list of its nearest centroid with its residual's co
 error e of its decoded form.  Vectors are scaled to length 1, so cosine >= t means a distance of
 at most r = sqrt(2 - 2t), and two bounds lose nothing:
 
-* a vector x at distance d of its own centroid probes exactly the lists j with
-  |x - c_j| <= min(radius_j + r, d + 2r): no linked vector lies in another list;
+* a vector x of list i probes exactly the lists j with |x - c_j| <= radius_j + r that lie within r
+  beyond the plane midway between the centroids, |x - c_j|^2 - |x - c_i|^2 <= 2 r |c_i - c_j|:
+  no linked vector lies in another list;
 * in a probed list, y is a candidate if the asymmetric distance of x to y's decoded form, summed
   from a table of x's products with the codewords, is at most r + e_y.
 
@@ -28,10 +29,11 @@ from .components import components
 from .shared import fresh_path, open_fs, persist, whole_file
 
 #: Rows that centroids and codebooks are fitted to at most; coarse lists at most; subspaces and codewords in each.
-SAMPLE, MOST_LISTS, SUBSPACES, CODEWORDS = 20_000, 1024, 8, 64
+SAMPLE, MOST_LISTS, SUBSPACES, CODEWORDS = 16_384, 1024, 8, 64
 #: Vectors of a block, and queries that are compared at once.
 BLOCK, STEP = 4096, 256
-SLACK = 1e-9
+#: What rounding may take from a bound, in double and (squares, sums of eight) in single precision.
+SLACK, ROUNDING = 1e-9, 1e-4
 
 
 def unit(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,17 +51,18 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.argmin((centres * centres).sum(1) - 2 * (x @ centres.T), 1)
 
 
-def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
+def k_means(x: np.ndarray, k: int, rounds: int = 5, seed: int = 5) -> np.ndarray:
     """Lloyd's centres; a centre that loses all its rows stays."""
     order = np.random.default_rng(seed)
     k = min(k, len(x))
+    x = x.astype(np.float32)
     centres = x[order.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
         own = _nearest(x, centres)
-        sums, counts = np.zeros_like(centres), np.bincount(own, minlength=k)
-        np.add.at(sums, own, x)
-        centres[counts > 0] = sums[counts > 0] / counts[counts > 0][:, None]
-    return centres
+        by_own = np.argsort(own, kind="stable")
+        full, firsts = np.unique(own[by_own], return_index=True)
+        centres[full] = np.add.reduceat(x[by_own], firsts) / np.diff(np.append(firsts, len(own)))[:, None]
+    return centres.astype(np.float64)
 
 
 class Quantiser:
@@ -92,8 +95,8 @@ class Quantiser:
         return own, np.sqrt((residual**2).sum(1)), codes, np.sqrt(((x - decoded) ** 2).sum(1)), constant
 
     def tables(self, x: np.ndarray) -> list[np.ndarray]:
-        """For each subspace, the products of every row with every codeword."""
-        return [x[:, a:b] @ book.T for a, b, book in zip(self.cuts, self.cuts[1:], self.books, strict=False)]
+        """For each subspace, -2 times the products of every codeword (rows) with every vector: a code looks up a whole row."""
+        return [np.ascontiguousarray(-2 * (book @ x[:, a:b].T), np.float32) for a, b, book in zip(self.cuts, self.cuts[1:], self.books, strict=False)]
 
 
 def _hooks(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -127,34 +130,41 @@ def _tile(left: _Block, right: _Block, q: Quantiser, radius: np.ndarray, t: floa
     """Places (in left, in right) of linked pairs; within one block each pair once."""
     r, same = np.sqrt(max(0.0, 2 - 2 * t)), left is right
     found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    to_lists = np.sqrt(np.maximum(0, (left.x**2).sum(1)[:, None] + (q.centres[right.lists] ** 2).sum(1) - 2 * (left.x @ q.centres[right.lists].T)))
-    own = np.sqrt(((left.x - q.centres[left.list]) ** 2).sum(1))
-    probes = to_lists <= np.minimum(radius[right.lists][None, :] + r, own[:, None] + 2 * r) + SLACK
-    tables = q.tables(left.x)
-    for k, (first, last) in enumerate(zip(right.firsts.tolist(), right.lasts.tolist(), strict=True)):
-        asked = np.flatnonzero(probes[:, k])
-        if same:
-            asked = asked[asked < last]
-        codes, error, constant = right.codes[first:last], right.error[first:last], right.constant[first:last]
-        for at in range(0, len(asked), STEP):
-            some = asked[at : at + STEP]
-            far = (to_lists[some, k] ** 2)[:, None] + constant
+    own_centres, centres = q.centres[left.list], q.centres[right.lists]
+    to_lists = np.maximum(0, (left.x**2).sum(1)[:, None] + (centres**2).sum(1) - 2 * (left.x @ centres.T))  # squares
+    own = ((left.x - own_centres) ** 2).sum(1)
+    gaps = np.sqrt(np.maximum(0, (q.centres**2).sum(1)[:, None] + (centres**2).sum(1) - 2 * (q.centres @ centres.T)))[left.list]
+    probes = (np.sqrt(to_lists) <= radius[right.lists][None, :] + r + SLACK) & (to_lists - own[:, None] <= 2 * r * gaps + SLACK)
+    for at in range(0, len(left.rows), STEP):
+        part = slice(at, at + STEP)
+        tables = q.tables(left.x[part])
+        for k, (first, last) in enumerate(zip(right.firsts.tolist(), right.lasts.tolist(), strict=True)):
+            asked = np.flatnonzero(probes[part, k])
+            if same:
+                asked = asked[asked + at < last]
+            if not len(asked):
+                continue
+            codes, whole = right.codes[first:last], len(asked) == tables[0].shape[1]
+            far, held = np.empty((last - first, len(asked)), np.float32), np.empty((last - first, len(asked)), np.float32)
+            far[:] = (right.constant[first:last] - (r + right.error[first:last]) ** 2)[:, None]
             for s, table in enumerate(tables):
-                far -= 2 * table[some][:, codes[:, s]]
-            near = far <= (r + error) ** 2 + SLACK
+                np.take(table if whole else table[:, asked], codes[:, s], axis=0, out=held, mode="clip")
+                far += held
+            j, i = np.nonzero(far <= (ROUNDING - to_lists[part, k][asked]).astype(np.float32))
+            stats[0] += far.size
+            i = asked[i] + at
             if same:
-                near &= some[:, None] < np.arange(first, last)
-            i, j = np.nonzero(near)
-            stats[0] += near.size
+                later = i < first + j
+                i, j = i[later], j[later]
             stats[1] += len(i)
             if not len(i):
                 continue
-            if len(i) * 5 > near.size:
-                cosine = (left.x[some] @ right.x[first:last].T)[i, j]
+            if len(i) * 5 > far.size:
+                cosine = (left.x[asked + at] @ right.x[first:last].T)[np.searchsorted(asked + at, i), j]
             else:
-                cosine = np.einsum("ij,ij->i", left.x[some[i]], right.x[first + j])
+                cosine = np.einsum("ij,ij->i", left.x[i], right.x[first + j])
             kept = cosine >= t
-            found_a.append(some[i[kept]])
+            found_a.append(i[kept])
             found_b.append(first + j[kept])
     return np.concatenate(found_a), np.concatenate(found_b)
 
