@@ -21,24 +21,20 @@ def components(links: DataFrame, *, a: str = "a", b: str = "b") -> DataFrame:
     spark = links.sparkSession
     first = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct()
     edges, path = persist_at(first, "links")
-    seen = _mark(edges)
-    while seen[0]:
+    while not _hung(edges):
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         own = large.groupBy("hi").agg(F.min("lo").alias("m"))
         hung = large.join(own.select(F.col("hi").alias("w"), "m"), F.col("hi") == F.col("w")).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         after, path_after = persist_at(own.select("hi", F.col("m").alias("lo")).unionByName(hung).distinct(), "links")
-        now = _mark(after)
         forget(spark, path)
         edges, path = after, path_after
-        if now == seen:
-            break
-        seen = now
     leaves = edges.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     return leaves.unionByName(edges.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+def _hung(edges: DataFrame) -> bool:
+    """Whether every node hangs onto one other that hangs onto none."""
+    ends = edges.select(F.col("hi").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("lo").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 1 OR (up > 0 AND down > 0)").isEmpty()

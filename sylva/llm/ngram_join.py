@@ -10,13 +10,15 @@ fingerprint of the sorted set).  Every class with a link shares with its partner
 * Else all its rare shingles are, and the prefix is extended into the frequent ones: a group of g
   of them yields all its pairs as signatures, and g - 1 of the missing places; groups are added
   until e + 1 places are covered.  Partners that share no signature share at most one shingle of
-  a group, so one of them would lack e + 1.  Groups are cut by hash, about four tokens of a set
+  a group, so one of them would lack e + 1.  Groups are cut by hash, about two tokens of a set
   each, for the size class of the set and the next one (partners are at most one class apart).
 
 Postings are packed into binary blocks of a bucket of the hash space, so that the shuffle moves a
-few large rows.  Short lists propose all their pairs.  Long lists propose their least member with
-every other; after those are verified and joined into components, they propose only the pairs that
-lie across components.  Candidates are verified on the whole sets.
+few large rows.  Short lists propose all their pairs.  Long lists (those of one least member taken
+together) propose that member with every other; after those are verified and joined into
+components, their largest component sends a few more members to the rest, and then they propose
+only the pairs that lie across components.  Candidates are first sifted by bitmaps of their sets, which prove most that
+share no more than a passage to be too far apart, and the rest are verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ MOST_FREQUENT = 2_000_000
 BUCKET = 1 << 20
 #: Pairs verified in one group, about.
 GROUP_PAIRS = 4096
+#: Members that a long list's largest component sends to the rest before pairs across components are proposed; members of lists crossed at once, about.
+LEADERS, LIST_ROWS = 8, 200_000
 #: Candidate ids that are broadcast as they are; beyond, as a Bloom filter of as many bytes.
 MOST_IDS = 2_000_000
 
@@ -59,7 +63,7 @@ def shingle_sets(column: pa.Array, size: int):
         found = []
         for x, y in zip(before[:-1].tolist(), before[1:].tolist(), strict=True):
             if y - x >= size:
-                own = np.unique(rolled[x : y - size + 1])
+                own = _distinct(rolled[x : y - size + 1])
             elif y > x:
                 own = mix(np.array([(words[x:y] * ways[: y - x]).sum(dtype=np.uint64) + np.uint64(y - x)], np.uint64))
             else:
@@ -68,6 +72,37 @@ def shingle_sets(column: pa.Array, size: int):
         yield a, b, found
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values (a sort: faster here than hashing)."""
+    values = np.sort(values)
+    if not len(values):
+        return values
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return values[new]
+
+
+def _bitmap(own: np.ndarray) -> bytes:
+    """Which of about four to eight times as many places as shingles the hashes fall on; a longer map folds onto a shorter one."""
+    size = max(64, 1 << int(4 * len(own) - 1).bit_length())
+    marks = np.zeros(size, bool)
+    marks[(own & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(marks).tobytes()
+
+
+def _may_link(x: bytes, y: bytes, n_x: int, n_y: int, percent: int) -> bool:
+    """False if the bitmaps prove that one set lacks more of the other than it may."""
+    if percent * max(n_x, n_y) > 100 * min(n_x, n_y):
+        return False
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    size = min(len(a), len(b))
+    a = np.bitwise_or.reduce(a.reshape(-1, size)) if len(a) > size else a
+    b = np.bitwise_or.reduce(b.reshape(-1, size)) if len(b) > size else b
+    # what is missing on either side: at most n_x + n_y - 2 * (least intersection)
+    lacking = int(np.bitwise_count(a ^ b).sum())
+    return lacking <= n_x + n_y - 2 * -(-percent * (n_x + n_y) // (100 + percent))
+
+
 def _fingerprint(own: np.ndarray) -> int:
     import xxhash
 
@@ -115,7 +150,7 @@ def _signatures(own: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarr
         return rare  # a lone frequent shingle: partners are equal sets
     size_class = int(np.log(n) / np.log(100 / percent))
     for key in (size_class, size_class + 1):
-        groups = np.uint64(max(1, round((100 / percent) ** key / 4)))
+        groups = np.uint64(max(1, round((100 / percent) ** key / 2)))
         group = dense % groups
         order = np.lexsort((dense, group))
         tokens, group = dense[order], group[order]
@@ -146,13 +181,15 @@ def _frequent(docs: DataFrame, size: int, buckets: int, least: int) -> DataFrame
                 if not full:
                     continue
                 marks = np.repeat(np.array([_fingerprint(x) & 0xFF for x in full], np.uint64), [len(x) for x in full])
-                values = np.unique(((np.concatenate(full) >> np.uint64(24)) << np.uint64(8)) | marks)
+                values = _distinct(((np.concatenate(full) >> np.uint64(24)) << np.uint64(8)) | marks)
                 found = list(_blocks(values >> np.uint64(8), _pack(values, 6), buckets))
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.binary())], ["bucket", "raw"])
 
     def count(table: pa.Table) -> pa.Table:
         raw = np.concatenate([np.frombuffer(x.as_py(), np.uint8).reshape(-1, 6) for x in table.column("raw")])
-        tokens, classes = np.unique(np.unique(_unpack(raw)) >> np.uint64(8), return_counts=True)
+        tokens = _distinct(_unpack(raw)) >> np.uint64(8)
+        firsts = np.flatnonzero(np.diff(tokens, prepend=~tokens[:1]))
+        tokens, classes = tokens[firsts], np.diff(np.append(firsts, len(tokens)))
         kept = classes >= least
         return pa.table({"token": pa.array(tokens[kept].astype(np.int64)), "classes": pa.array(classes[kept].astype(np.int32))})
 
@@ -160,7 +197,11 @@ def _frequent(docs: DataFrame, size: int, buckets: int, least: int) -> DataFrame
 
 
 def _lists(docs: DataFrame, frequent, size: int, percent: int, buckets: int, longest: int) -> DataFrame:
-    """Proposals of the signature lists: pairs (a, b), and members of long lists (long_list, a)."""
+    """Proposals of the signature lists: pairs (a, b) of short ones, and members (long_list, a) of long ones.
+
+    Long lists of one least member are taken as one list under its name: the copies of a text
+    share thousands of long lists, and few of those differ in their least member.
+    """
 
     def emit(batches):
         often = frequent.value
@@ -200,10 +241,8 @@ def _lists(docs: DataFrame, frequent, size: int, percent: int, buckets: int, lon
             right.append(marks[at[:, j]][near])
         for k in np.flatnonzero(lengths > longest):
             own = marks[firsts[k] : firsts[k] + lengths[k]]
-            left.append(np.full(len(own) - 1, own[0]))
-            right.append(own[1:])
             long_marks.append(own)
-            long_keys.append(np.full(len(own), np.int64(_fingerprint(own))))  # equal lists are one
+            long_keys.append(np.full(len(own), own[0]))  # lists of one least member are one
         pairs = np.unique(np.column_stack([np.concatenate(left), np.concatenate(right)]), axis=0)
         long_rows = np.unique(np.column_stack([np.concatenate(long_keys), np.concatenate(long_marks)]), axis=0)
         n, m = len(pairs), len(long_rows)
@@ -229,17 +268,25 @@ def _id_filter(spark, ids: DataFrame):
     return spark.sparkContext.broadcast(("bloom", table))
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of fingerprints whose sets reach the threshold."""
-    spark = docs.sparkSession
-    # pairs of one least neighbour are verified together; a crowd of them is split
-    least = pairs.groupBy("b").agg(F.min("a").alias("least"))
-    led = pairs.join(least.select(F.col("b").alias("w"), "least"), F.col("a") == F.col("w"), "left").select("a", "b", F.coalesce(F.least("least", "a"), "a").alias("lead"))
-    crowd = led.groupBy("lead").agg(F.ceil(F.count("*") / GROUP_PAIRS).alias("parts")).select(F.col("lead").alias("w"), "parts")
-    placed = persist(led.join(crowd, F.col("lead") == F.col("w")).select("a", "b", F.xxhash64("lead", F.pmod(F.xxhash64("b"), F.col("parts"))).alias("grp")), "pairs")
-    wanted = placed.select("grp", F.col("a").alias("mark")).unionByName(placed.select("grp", F.col("b").alias("mark"))).distinct()
-    reps = persist(wanted.select("mark").distinct().join(classes, "mark").select(F.col("row").alias("id"), "mark"), "reps")
-    test = _id_filter(spark, reps.select("id").where("id IS NOT NULL"))
+def _sift(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that the bitmaps do not prove to be too far apart."""
+    both = pairs.select("a", "b")
+    for side in ("a", "b"):
+        both = both.join(classes.select(F.col("mark").alias(side), F.col("n").alias(f"n_{side}"), F.col("bitmap").alias(f"bitmap_{side}")), side)
+
+    def sift(batches):
+        for batch in batches:
+            x, y, n, m = (batch.column(name).to_pylist() for name in ("bitmap_a", "bitmap_b", "n_a", "n_b"))
+            keep = pa.array([_may_link(*z, percent) for z in zip(x, y, n, m, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+
+    return both.mapInArrow(sift, "a long, b long")
+
+
+def _sets(docs: DataFrame, marks: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """(mark, raw): the whole sets of some classes, from one scan of the texts."""
+    reps = persist(marks.join(classes, "mark").select(F.col("row").alias("id"), "mark"), "reps")
+    test = _id_filter(docs.sparkSession, reps.select("id"))
 
     def sets_of(batches):
         kind, table = test.value
@@ -262,12 +309,23 @@ def _verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, pe
 
     bits = 8 * 8 * MOST_IDS
     read = docs if test.value[0] == "ids" else docs.select("*", *[F.pmod(F.xxhash64("_row", F.lit(k)), F.lit(bits)).alias(f"_bit{k}") for k in range(2)])
-    sets = read.mapInArrow(sets_of, "id long, mark long, raw binary")
+    found = read.mapInArrow(sets_of, "id long, mark long, raw binary")
+    # a row that shares an id with a wanted one may bring a set that nobody asked for, or one twice: neither does harm
+    return persist(found.join(reps.select(F.col("id").alias("x"), F.col("mark").alias("w")), (F.col("id") == F.col("x")) & (F.col("mark") == F.col("w")), "left_semi").select("mark", "raw"), "sets")
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of fingerprints whose sets reach the threshold, written down."""
+    # pairs of one left side are verified together; a crowd of them is split
+    pairs = persist(pairs, "pairs")
+    crowd = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP_PAIRS).alias("parts")).select(F.col("a").alias("w"), "parts")
+    placed = persist(pairs.join(crowd, F.col("a") == F.col("w")).select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))).alias("grp")), "placed")
+    wanted = placed.select("grp", F.col("a").alias("own")).unionByName(placed.select("grp", F.col("b").alias("own"))).distinct()
     # each set goes once to each of its groups
-    sent = wanted.join(reps, "mark").select("grp", "mark", "id").join(sets.select(F.col("mark").alias("w"), F.col("id").alias("x"), "raw"), (F.col("mark") == F.col("w")) & (F.col("id") == F.col("x"))).select(F.col("grp").alias("own_grp"), F.col("mark").alias("own_mark"), "raw").dropDuplicates(["own_grp", "own_mark"])
+    sent = wanted.join(sets, F.col("own") == F.col("mark")).select(F.col("grp").alias("own_grp"), "mark", "raw")
 
     def test_group(left: pa.Table, right: pa.Table) -> pa.Table:
-        sets_here = {m: np.frombuffer(r.as_py(), np.uint64) for m, r in zip(right.column("own_mark").to_pylist(), right.column("raw"), strict=True)}
+        sets_here = {m: np.frombuffer(r.as_py(), np.uint64) for m, r in zip(right.column("mark").to_pylist(), right.column("raw"), strict=True)}
         kept = []
         for x, y in zip(left.column("a").to_pylist(), left.column("b").to_pylist(), strict=True):
             s, t = sets_here[x], sets_here[y]
@@ -281,7 +339,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, pe
         keep = pa.array(kept, pa.bool_())
         return pa.table({"a": left.column("a").filter(keep), "b": left.column("b").filter(keep)})
 
-    return placed.groupBy("grp").cogroup(sent.groupBy("own_grp")).applyInArrow(test_group, "a long, b long")
+    return persist(placed.groupBy("grp").cogroup(sent.groupBy("own_grp")).applyInArrow(test_group, "a long, b long"), "links")
 
 
 def jaccard_components(docs: DataFrame, *, size: int = 5, percent: int = 75, id_column: str = "doc_id", text_column: str = "text", frequent: int = FREQUENT, bucket: int = BUCKET) -> DataFrame:
@@ -303,11 +361,11 @@ def jaccard_components(docs: DataFrame, *, size: int = 5, percent: int = 75, id_
     def meta(batches):
         for batch in batches:
             for a, b, sets in shingle_sets(batch.column(1), size):
-                yield pa.RecordBatch.from_arrays([batch.column(2).slice(a, b - a), batch.column(0).slice(a, b - a), pa.array([len(x) for x in sets], pa.int64()), pa.array([_fingerprint(x) if len(x) else None for x in sets], pa.int64())], ["doc_id", "row", "n_shingles", "mark"])
+                yield pa.RecordBatch.from_arrays([batch.column(2).slice(a, b - a), batch.column(0).slice(a, b - a), pa.array([len(x) for x in sets], pa.int64()), pa.array([_fingerprint(x) if len(x) else None for x in sets], pa.int64()), pa.array([_bitmap(x) if len(x) else None for x in sets], pa.binary())], ["doc_id", "row", "n_shingles", "mark", "bitmap"])
 
-    sizes = persist(picked.mapInArrow(meta, "doc_id long, row long, n_shingles long, mark long"), "sizes")
+    sizes = persist(picked.mapInArrow(meta, "doc_id long, row long, n_shingles long, mark long, bitmap binary"), "sizes")
     # the row that stands for its class in verification
-    classes = persist(sizes.where("mark IS NOT NULL").groupBy("mark").agg(F.min("row").alias("row")), "classes")
+    classes = persist(sizes.where("mark IS NOT NULL").groupBy("mark").agg(F.min("row").alias("row"), F.first("n_shingles").alias("n"), F.first("bitmap").alias("bitmap")), "classes")
     total = sizes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     buckets = max(1, min(1 << 20, -(-total // bucket)))
     often = persist(_frequent(picked, size, buckets, frequent), "frequent")
@@ -317,22 +375,73 @@ def jaccard_components(docs: DataFrame, *, size: int = 5, percent: int = 75, id_
     tokens = np.sort(np.fromiter((r[0] for r in often.where(F.col("classes") >= level).select("token").toLocalIterator()), np.int64, n_often)).astype(np.uint64)
     picked = picked.drop("_id")
     found = persist(_lists(picked, spark.sparkContext.broadcast(tokens), size, percent, buckets, level), "lists")
-    pairs = persist(found.where("b IS NOT NULL").select("a", "b").distinct(), "candidates")
-    links = persist(_verify(picked, pairs, classes, size, percent), "links")
-    joined = persist(components(links), "components")
-    crossing = persist(_crossing(found.where("b IS NULL").select("long_list", F.col("a").alias("mark")).distinct(), joined).join(pairs, ["a", "b"], "left_anti"), "crossing")
-    if not crossing.isEmpty():
-        links = links.unionByName(_verify(picked, crossing, classes, size, percent))
-        joined = persist(components(links), "components")
+    members = persist(found.where("b IS NULL").select("long_list", F.col("a").alias("mark")).distinct(), "members")
+    first = found.where("b IS NOT NULL").select("a", "b").unionByName(members.where("long_list <> mark").select(F.col("long_list").alias("a"), F.col("mark").alias("b"))).distinct()
+    pairs = persist(_sift(first, classes, percent), "candidates")
+    wanted = pairs.select(F.col("a").alias("mark")).unionByName(pairs.select(F.col("b").alias("mark"))).unionByName(members.select("mark")).distinct()
+    sets = _sets(picked, wanted, classes, size)
+    joined = persist(components(_verify(pairs, sets, percent)), "components")
+    # the largest component of each long list sends some of its members to the rest
+    own = persist(_mixed(members, joined), "mixed")
+    if not own.isEmpty():
+        each = own.groupBy("long_list", "component").agg(F.count("*").alias("k"))
+        main = each.groupBy("long_list").agg(F.max(F.struct("k", "component")).alias("x")).select(F.col("long_list").alias("w"), F.col("x.component").alias("main"))
+        sided = own.join(main, F.col("long_list") == F.col("w")).drop("w")
+        lead = sided.where("component = main").withColumn("slot", F.pmod(F.xxhash64("mark"), F.lit(LEADERS))).groupBy("long_list", "slot").agg(F.min(F.struct(F.xxhash64("mark", F.lit(1)).alias("h"), "mark")).alias("x")).groupBy("long_list").agg(F.collect_list("x.mark").alias("leads")).select(F.col("long_list").alias("w"), "leads")
+        asked = sided.where("component <> main").join(lead, F.col("long_list") == F.col("w")).select("mark", F.explode("leads").alias("lead")).select(F.least("mark", "lead").alias("a"), F.greatest("mark", "lead").alias("b")).distinct()
+        joined = _more(joined, _verify(_sift(asked, classes, percent), sets, percent))
+        # what is still apart is compared in full
+        crossing = _crossing(_mixed(own.select("long_list", "mark"), joined), classes, percent).distinct()
+        joined = _more(joined, _verify(crossing, sets, percent))
     named = sizes.join(joined.select(F.col("node").alias("mark"), F.col("component").alias("_component")), "mark", "left").select("doc_id", "n_shingles", "mark", F.coalesce("_component", "mark").alias("_component"))
     least = named.where("_component IS NOT NULL").groupBy("_component").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "_component", "left").select("doc_id", "n_shingles", F.when(F.col("mark").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _crossing(members: DataFrame, joined: DataFrame) -> DataFrame:
-    """Pairs of a long list's members in different components."""
+def _more(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """Components with further links."""
+    if links.isEmpty():
+        return joined
+    return persist(components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)), "components")
+
+
+def _mixed(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """(long_list, mark, component) of the long lists whose members are in more than one component."""
     own = members.join(joined.select(F.col("node").alias("mark"), "component"), "mark", "left").select("long_list", "mark", F.coalesce("component", "mark").alias("component"))
     mixed = own.groupBy("long_list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("long_list")
-    left = own.join(mixed, "long_list", "left_semi")
-    right = left.select("long_list", F.col("mark").alias("b"), F.col("component").alias("other"))
-    return left.join(right, "long_list").where("component <> other AND mark < b").select(F.col("mark").alias("a"), "b").distinct()
+    return own.join(mixed, "long_list", "left_semi")
+
+
+def _crossing(own: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a long list's members in different components that the bitmaps let pass.
+
+    Lists that share their largest component mostly repeat each other's pairs: they are worked on
+    together, a bounded number of members at once, and each pair is looked at once there.
+    """
+    each = own.groupBy("long_list", "component").agg(F.count("*").alias("k"))
+    main = each.groupBy("long_list").agg(F.max(F.struct("k", "component")).alias("x"), F.sum("k").alias("n_list")).select("long_list", F.col("x.component").alias("main"), "n_list")
+    parts = main.groupBy("main").agg(F.ceil(F.sum("n_list") / LIST_ROWS).alias("parts"))
+    placed = main.join(parts, "main").select("long_list", F.xxhash64("main", F.pmod(F.xxhash64("long_list"), F.col("parts"))).alias("grp"))
+    rows = own.join(placed, "long_list").join(classes.select("mark", "n", "bitmap"), "mark").select("grp", "long_list", "mark", "component", "n", "bitmap")
+
+    def cross(table: pa.Table) -> pa.Table:
+        lists, marks, comps, sizes = (table.column(x).to_numpy() for x in ("long_list", "mark", "component", "n"))
+        known, firsts, place = np.unique(marks, return_index=True, return_inverse=True)
+        maps, sizes, seen = table.column("bitmap").take(pa.array(firsts)).to_pylist(), sizes[firsts], np.empty(0, np.int64)
+        order = np.argsort(lists, kind="stable")
+        cuts = np.flatnonzero(np.diff(lists[order], prepend=~lists[order][:1]))
+        for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+            own_places, own_comps = place[order[x:y]], comps[order[x:y]]
+            found = []
+            for comp in np.unique(own_comps)[1:]:  # each component with those before it
+                here, there = own_places[own_comps == comp], own_places[own_comps < comp]
+                a, b = np.repeat(here, len(there)), np.tile(there, len(here))
+                near = percent * np.maximum(sizes[a], sizes[b]) <= 100 * np.minimum(sizes[a], sizes[b])
+                a, b = a[near], b[near]
+                found.append(np.minimum(a, b) * len(known) + np.maximum(a, b))
+            seen = _distinct(np.concatenate([seen, *found]))
+        a, b = seen // len(known), seen % len(known)
+        kept = np.fromiter((_may_link(maps[i], maps[j], int(sizes[i]), int(sizes[j]), percent) for i, j in zip(a.tolist(), b.tolist(), strict=True)), bool, len(a))
+        return pa.table({"a": pa.array(known[a[kept]]), "b": pa.array(known[b[kept]])})
+
+    return rows.groupBy("grp").applyInArrow(cross, "a long, b long")
