@@ -145,9 +145,10 @@ def barycenter(units: DataFrame, edges: DataFrame) -> DataFrame:
     names = P.samples_of(units)
     dense = info.withColumn("sample", F.explode(F.array(*[F.lit(s) for s in names])))
     inc = P.below(units, edges, inclusive=True).withColumnRenamed("edge", "id").withColumnRenamed("m", "inc")
-    flat = dense.select("sample", "id", F.posexplode("path").alias("k", "up")).join(inc.select("sample", F.col("id").alias("up"), "inc"), ["sample", "up"], "left").join(info.select(F.col("id").alias("up"), F.col("h").alias("h_up"), F.when(F.col("parent_id").isNull(), F.lit(0.0)).otherwise(F.col("bl")).alias("bl_up")), "up")
-    # mass outside the subtree at or below ``id`` that lies below each strict ancestor contributes twice the path above it
-    beyond = flat.groupBy("sample", "id").agg(F.max(F.when(F.col("k") == 0, F.coalesce("inc", F.lit(0.0)))).alias("inc_id"), F.sum(F.when(F.col("k") > 0, (F.coalesce("inc", F.lit(0.0))) * F.col("bl_up")).otherwise(0.0)).alias("shared_all"))
+    moment = placed.groupBy("sample", F.col("loc").alias("up")).agg(F.sum(F.col("m") * F.col("pos")).alias("on_pos"))
+    flat = dense.select("sample", "id", F.posexplode("path").alias("k", "up")).join(moment, ["sample", "up"], "left").join(inc.select("sample", F.col("id").alias("up"), "inc"), ["sample", "up"], "left").join(info.select(F.col("id").alias("up"), F.col("h").alias("h_up"), F.when(F.col("parent_id").isNull(), F.lit(0.0)).otherwise(F.col("bl")).alias("bl_up")), "up")
+    # the path that mass shares with ``id``: each strict ancestor's branch, or the part above for mass on that branch
+    beyond = flat.groupBy("sample", "id").agg(F.max(F.when(F.col("k") == 0, F.coalesce("inc", F.lit(0.0)))).alias("inc_id"), F.sum(F.when(F.col("k") > 0, F.coalesce("inc", F.lit(0.0)) * F.col("bl_up") - F.coalesce("on_pos", F.lit(0.0))).otherwise(0.0)).alias("shared_all"))
     base = dense.join(under, ["sample", "id"], "left").join(beyond, ["sample", "id"]).join(F.broadcast(total), "sample")
     onto = placed.groupBy("sample", F.col("loc").alias("id")).agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("on_edge"), F.sum(F.col("m") * F.col("_height")).alias("on_h"))
     base = base.join(onto, ["sample", "id"], "left")
@@ -163,18 +164,18 @@ def barycenter(units: DataFrame, edges: DataFrame) -> DataFrame:
     spots = F.coalesce(F.col("on_edge"), F.array().cast("array<struct<pos:double,m:double>>"))
     ready = base.select("sample", F.col("id").alias("edge"), "parent_id", F.when(F.col("parent_id").isNull(), zero).otherwise(F.col("bl")).alias("bl"), b_m.alias("b_m"), below_work.alias("below_work"), out_m.alias("out_m"), out_work.alias("out_work"), spots.alias("spots"))
 
-    def delta(at: Column, inclusive: bool) -> Column:
+    def delta(at: Column) -> Column:
         """Proximal less distal work at a place; mass at the place itself does no work."""
         low = F.aggregate("spots", F.lit(0.0), lambda acc, s: acc + F.when(s["pos"] < at, s["m"] * (at - s["pos"])).otherwise(0.0))
         high = F.aggregate("spots", F.lit(0.0), lambda acc, s: acc + F.when(s["pos"] > at, s["m"] * (s["pos"] - at)).otherwise(0.0))
         return (F.col("out_work") + F.col("out_m") * (F.col("bl") - at) + high) - (F.col("below_work") + F.col("b_m") * at + low)
 
     marks = F.array_sort(F.array_distinct(F.concat(F.array(zero), F.transform("spots", lambda s: s["pos"]), F.array(F.col("bl")))))
-    cut = ready.withColumn("marks", marks).withColumn("d_low", delta(zero, True)).withColumn("d_top", delta(F.col("bl"), True))
+    cut = ready.withColumn("marks", marks).withColumn("d_low", delta(zero)).withColumn("d_top", delta(F.col("bl")))
     # positive at the bottom and not at the top: the sign changes on this edge
     here = cut.where((F.col("d_low") >= 0) & (F.col("d_top") < 0))
     steps = here.select("sample", "edge", "d_low", F.explode(F.transform(F.sequence(F.lit(1), F.size("marks") - 1), lambda i: F.struct(F.element_at(F.col("marks"), i).alias("lo"), F.element_at(F.col("marks"), i + 1).alias("hi")))).alias("s"), "spots", "out_work", "out_m", "bl", "below_work", "b_m")
-    signed = steps.withColumn("d0", delta(F.col("s.lo"), True)).withColumn("d1", delta(F.col("s.hi"), True)).where("d0 >= 0 AND d1 < 0")
+    signed = steps.withColumn("d0", delta(F.col("s.lo"))).withColumn("d1", delta(F.col("s.hi"))).where("d0 >= 0 AND d1 < 0")
     on_edge = signed.select("sample", "edge", (F.col("s.lo") + (F.col("s.hi") - F.col("s.lo")) * F.col("d0") / (F.col("d0") - F.col("d1"))).alias("pos"))
     # else it is the deepest node that is still drawn downwards at its edge's distal end: named by that edge, at 0
     deepest = cut.where("d_low < 0").join(edges.select(F.col("id").alias("edge"), "depth"), "edge").groupBy("sample").agg(F.max_by("edge", F.struct("depth", "edge")).alias("edge")).select("sample", "edge", zero.alias("pos"))

@@ -213,8 +213,8 @@ def nbc_train(reference_words: DataFrame, seq_taxa: DataFrame) -> tuple[DataFram
     prior(word) = (sequences with it + 0.5) / (sequences + 1); p = (sequences of the taxon with it + prior) / (sequences of it + 1).
     """
     own = reference_words.join(seq_taxa, "name")
-    n_all = seq_taxa.agg(F.count("*").alias("_N"))
-    prior = reference_words.groupBy("word").agg(F.count("*").alias("_n")).join(F.broadcast(n_all)).select("word", ((F.col("_n") + 0.5) / (F.col("_N") + 1)).alias("prior"))
+    n_all = seq_taxa.agg(F.count("*").alias("_all"))
+    prior = reference_words.groupBy("word").agg(F.count("*").alias("_n")).join(F.broadcast(n_all)).select("word", ((F.col("_n") + 0.5) / (F.col("_all") + 1)).alias("prior"))
     size = seq_taxa.groupBy("tax_id").agg(F.count("*").alias("size"))
     seen = own.groupBy("tax_id", "word").agg(F.count("*").alias("_m"))
     model = seen.join(prior, "word").join(size, "tax_id").select("tax_id", "word", "prior", (F.log((F.col("_m") + F.col("prior")) / (F.col("size") + 1)) - F.log(F.col("prior") / (F.col("size") + 1))).alias("gain"))
