@@ -76,11 +76,12 @@ class Encoder:
             two, three = data[np.maximum(many - 2, 0)], data[np.maximum(many - 3, 0)]
             solid[many] = ~((two == 0xC2) | np.isin(three, (0xE1, 0xE2, 0xE3)))
         begin = space & solid
-        # between a letter and a mark, before the first line end of a run, and between a line end and a letter: always a cut
+        # between a letter and a mark, before the first line end of a run, and between a lone line end and a letter: always a cut
         letter_before = LETTER[prior]
         begin |= letter_before & MARK[data]
-        begin |= (data == 10) & solid
-        begin |= (prior == 10) & LETTER[data]
+        line = (data == 10) & solid
+        begin |= line
+        begin[1:] |= line[:-1] & LETTER[data[1:]]
         rows = offsets[:-1][offsets[:-1] < offsets[1:]]
         begin[rows] = True
         starts = np.flatnonzero(begin)
