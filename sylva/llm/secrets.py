@@ -10,6 +10,7 @@ regular expression itself; rules from which no mandatory trigram follows scan ev
 from __future__ import annotations
 
 import itertools
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -216,7 +217,8 @@ def find_secrets(docs: DataFrame, rules: Sequence[Rule] = BASE + MORE, *, id_col
     for k, rule in enumerate(rules):
         asked = F.lit(True) if scans_fully(rule) else F.col("_asked").bitwiseAND(F.lit(1 << k).cast("long")) != 0
         # a full scan first looks for a match long enough to be kept at all
-        test = rule.pattern[:-1] + "{%d,}" % rule.least if rule.group == 0 and rule.pattern.endswith("]+") and rule.least > 1 else rule.pattern
+        single = rule.group == 0 and re.fullmatch(r"\[[^\]\\]+\]\+", rule.pattern)  # one class: a run of it
+        test = rule.pattern[:-1] + "{%d,}" % rule.least if single else rule.pattern
         spans = F.transform(_spans(F.col("_text"), rule), _labelled(k, rule.kind))
         parts.append(F.when(asked & F.coalesce(F.rlike(F.col("_text"), F.lit(test)), F.lit(False)), spans).otherwise(none))
     return joined.select(F.col("_id").alias(id_column), *[F.col(f"_keep{k}").alias(c) for k, c in enumerate(keep)], F.array_sort(F.concat(*parts)).alias("_spans"))
