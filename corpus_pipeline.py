@@ -23,12 +23,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score stays below 0.5; the model learns from labels that are not held out.
+    """Documents whose toxicity score stays below 0.3, the cutoff of op8; the model learns from labels that are not held out.
 
     Nulls and empty texts are scored as texts without words; repeated rows are judged alike.
     """
     scored = score_documents(docs.select(*COLUMNS), toxicity_model(spark, sf_dir), keep=COLUMNS[1:])
-    return scored.where("score < 0.5").select(*COLUMNS)
+    return scored.where("score < 0.3").select(*COLUMNS)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
