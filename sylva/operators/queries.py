@@ -36,8 +36,9 @@ def r6(c: str | Column) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
 
 
-def _rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[r6(n).alias(n) if t == "double" else F.col(n).cast("bigint").alias(n) if t == "int" else F.col(n) for n, t in df.dtypes])
+def _rounded(df: DataFrame, shift: float = 0.0) -> DataFrame:
+    """Doubles to six decimals; ``shift`` moves exact halves of the sixth off the edge, in the SQL too."""
+    return df.select(*[r6(F.col(n) + shift if shift else n).alias(n) if t == "double" else F.col(n).cast("bigint").alias(n) if t == "int" else F.col(n) for n, t in df.dtypes])
 
 
 def _model(spark: SparkSession, sf_dir: str):
@@ -129,7 +130,7 @@ region_h AS (SELECT r, h FROM edges JOIN h USING (id) WHERE depth = 1)"""
 
 @query(
     star(
-        f"""SELECT sample, pq_id, ROUND(COALESCE(s, 0), 6) edpl FROM (SELECT DISTINCT sample, pq_id FROM place_h) LEFT JOIN (
+        f"""SELECT sample, pq_id, ROUND(COALESCE(s, 0) + 1.1e-8, 6) edpl FROM (SELECT DISTINCT sample, pq_id FROM place_h) LEFT JOIN (
   SELECT x.sample, x.pq_id, 2 * SUM(x.w * y.w * {_LEAF_DISTANCE}) s
   FROM place_h x JOIN place_h y ON x.sample = y.sample AND x.pq_id = y.pq_id AND x.rank_in_pq < y.rank_in_pq
   JOIN nation_h nh ON nh.n = x.n JOIN region_h rh ON rh.r = x.r GROUP BY 1, 2) USING (sample, pq_id)""",
@@ -141,7 +142,7 @@ def edpl(spark, sf_dir):
     """Expected distance between placements of every query."""
     tree, placed = _model(spark, sf_dir)
     own = P.ranked(placed).drop("ml_ratio", "rank_in_pq").withColumnRenamed("w", "ml_ratio")
-    return _rounded(X.edpl(own, tree))
+    return _rounded(X.edpl(own, tree), 1.1e-8)
 
 
 @query(
@@ -202,9 +203,9 @@ def check(spark, sf_dir):
 
 @query(
     star(
-        """SELECT p.sample, p.pq_id, CAST(p.loc AS BIGINT) loc, ROUND(MIN(CASE WHEN l.id = p.loc THEN p.distal_bl WHEN l.n = p.n THEN p.height + l.h - 2 * nh.h WHEN l.r = p.r THEN p.height + l.h - 2 * rh.h ELSE p.height + l.h END), 6) distance
+        """SELECT p.sample, p.pq_id, CAST(p.loc AS BIGINT) loc, ROUND(LEAST(MIN(p.distal_bl), MIN(CASE WHEN l.id = p.loc THEN p.distal_bl WHEN l.n = p.n THEN p.height + l.h - 2 * nh.h WHEN l.r = p.r THEN p.height + l.h - 2 * rh.h ELSE p.height + l.h END)), 6) distance
 FROM (SELECT * FROM place_h WHERE rank_in_pq = 1) p JOIN nation_h nh ON nh.n = p.n JOIN region_h rh ON rh.r = p.r
-CROSS JOIN (SELECT id, n, r, h FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY n ORDER BY h, id) o FROM edges JOIN h USING (id) WHERE is_leaf) WHERE o <= 1) l GROUP BY 1, 2, 3""",
+CROSS JOIN (SELECT id, n, r, h FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY n ORDER BY h, id) o FROM edges JOIN h USING (id) WHERE is_leaf) WHERE o <= 2) l GROUP BY 1, 2, 3""",
         HEIGHT,
         _LEAVES,
     )
@@ -215,11 +216,11 @@ def adcl(spark, sf_dir):
     return _rounded(X.adcl(placed, tree))
 
 
-@query(star("SELECT sample, pq_id, CAST(line AS BIGINT) line, ROUND(w, 6) ml_ratio FROM unit WHERE rank_in_pq <= 2 AND w >= 0.2"))
+@query(star("SELECT sample, pq_id, CAST(line AS BIGINT) line, ROUND(w + 1.1e-8, 6) ml_ratio FROM unit WHERE rank_in_pq <= 2 AND w >= 0.2"))
 def top_placements(spark, sf_dir):
     """The two best placements of every query that hold a fifth of its weight."""
     _, placed = _model(spark, sf_dir)
-    return _rounded(P.ranked(placed).where("rank_in_pq <= 2 AND w >= 0.2").select("sample", "pq_id", "line", F.col("w").alias("ml_ratio")))
+    return _rounded(P.ranked(placed).where("rank_in_pq <= 2 AND w >= 0.2").select("sample", "pq_id", "line", F.col("w").alias("ml_ratio")), 1.1e-8)
 
 
 @query(star(f"SELECT x.sample, x.pq_id pq1, y.pq_id pq2, ROUND(SUM(x.ml_ratio * y.ml_ratio * {_MONTH_DISTANCE}), 6) distance FROM monthly x JOIN monthly y ON x.sample = y.sample AND x.pq_id < y.pq_id JOIN region_h g ON g.r = x.r GROUP BY 1, 2, 3", HEIGHT, MONTHLY))
@@ -255,8 +256,8 @@ GROUP BY x.id, y.id, x.lo, y.lo, x.top, y.top, y.h""",
 
 @query(
     star(
-        f"""SELECT CAST(x.pq_id AS BIGINT) name, ROUND(SUM({_LEAF_DISTANCE} * x.w) / SUM(x.w), 6) error
-FROM place_h x JOIN (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY pq_id ORDER BY ml_ratio DESC, loc) o FROM place_h WHERE line <= 2) WHERE o = 1) y ON x.pq_id = y.pq_id
+        f"""SELECT CAST(x.pq_id AS BIGINT) name, ROUND(SUM({_LEAF_DISTANCE} * x.w) / SUM(x.w) + 1.1e-8, 6) error
+FROM place_h x JOIN (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY pq_id ORDER BY ml_ratio DESC, loc, distal_bl, pendant_bl) o FROM place_h WHERE line <= 2) WHERE o = 1) y ON x.pq_id = y.pq_id
 JOIN nation_h nh ON nh.n = x.n JOIN region_h rh ON rh.r = x.r WHERE x.line > 2 GROUP BY 1""",
         HEIGHT,
         _LEAVES,
@@ -267,7 +268,7 @@ def error(spark, sf_dir):
     tree, placed = _model(spark, sf_dir)
     own = P.ranked(placed).select(F.col("pq_id").alias("name"), "line", "loc", "distal_bl", "pendant_bl", "ml_ratio", "w")
     expected = own.where("line <= 2")
-    return _rounded(X.placement_error(expected, own.where("line > 2").drop("ml_ratio").withColumnRenamed("w", "ml_ratio"), tree))
+    return _rounded(X.placement_error(expected, own.where("line > 2").drop("ml_ratio").withColumnRenamed("w", "ml_ratio"), tree), 1.1e-8)
 
 
 @query()
@@ -416,11 +417,11 @@ multiclass AS (
    (SELECT sample, pq_id, want_rank, MAX(o) o FROM occupied JOIN wanted ON o <= w GROUP BY 1, 2, 3) x JOIN best b ON b.sample = x.sample AND b.pq_id = x.pq_id AND b.o = x.o)"""
 
 
-@query(star("SELECT sample, pq_id, want_rank, rank, tax_id, ROUND(likelihood, 6) likelihood FROM multiclass", _SHARES))
+@query(star("SELECT sample, pq_id, want_rank, rank, tax_id, ROUND(likelihood + 1.1e-8, 6) likelihood FROM multiclass", _SHARES))
 def classify(spark, sf_dir):
     """Every query classified at every wanted rank."""
     taxa, ranks = taxa_of(spark, sf_dir)
-    return _rounded(T.classify(_classified(spark, sf_dir), T.lineage(taxa, ranks), ranks))
+    return _rounded(T.classify(_classified(spark, sf_dir), T.lineage(taxa, ranks), ranks), 1.1e-8)
 
 
 @query("SELECT tax_id, anc_tax_id, rank FROM (SELECT 'S' || s_suppkey tax_id, 'S' || s_suppkey anc_tax_id, 'supplier' rank FROM supplier UNION ALL SELECT 'S' || s_suppkey, 'N' || s_nationkey, 'nation' FROM supplier UNION ALL SELECT 'S' || s_suppkey, 'R' || n_regionkey, 'region' FROM supplier JOIN nation ON n_nationkey = s_nationkey UNION ALL SELECT 'N' || n_nationkey, 'N' || n_nationkey, 'nation' FROM nation UNION ALL SELECT 'N' || n_nationkey, 'R' || n_regionkey, 'region' FROM nation UNION ALL SELECT 'R' || r_regionkey, 'R' || r_regionkey, 'region' FROM region)")
@@ -431,7 +432,7 @@ def lineage(spark, sf_dir):
 
 @query(
     star(
-        """SELECT sample, pq_id, rank, ROUND(evidence, 6) evidence, CASE WHEN k = 1 THEN NULL ELSE ROUND(LN(evidence / p), 6) + 0 END bayes_factor FROM (
+        """SELECT sample, pq_id, rank, ROUND(evidence + 1.1e-8, 6) evidence, CASE WHEN k = 1 THEN NULL ELSE ROUND(LN(evidence / p) + 1.1e-8, 6) + 0 END bayes_factor FROM (
   SELECT *, LAG(evidence) OVER (PARTITION BY sample, pq_id ORDER BY o) p, ROW_NUMBER() OVER (PARTITION BY sample, pq_id ORDER BY o) k FROM (
     SELECT sample, pq_id, rank, o, SUM(l / n_edges) evidence FROM shares JOIN painted USING (tax_id) GROUP BY 1, 2, 3, 4))""",
         _SHARES,
@@ -445,7 +446,7 @@ def bayes_factors(spark, sf_dir):
     shares = T.roll_up(_classified(spark, sf_dir), lines)
     painted = lines.where("substring(tax_id, 1, 1) = 'S'").groupBy(F.col("anc_tax_id").alias("t")).agg(F.count("*").alias("c")).select(F.col("t").alias("tax_id"), F.when(F.substring("t", 1, 1) == "S", F.col("c")).otherwise(F.col("c") + 1).alias("n_edges"))
     out = T.evidence(shares, painted)
-    return _rounded(out.select("sample", "pq_id", "rank", "evidence", F.when(F.col("bayes_factor") < float("inf"), F.col("bayes_factor")).alias("bayes_factor")))
+    return _rounded(out.select("sample", "pq_id", "rank", "evidence", F.when(F.col("bayes_factor") < float("inf"), F.col("bayes_factor")).alias("bayes_factor")), 1.1e-8)
 
 
 def _leaf_taxa(spark, sf_dir, tree) -> DataFrame:
