@@ -38,11 +38,15 @@ def gamma_rates(alpha: float, n: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    """A reversible model: exchange rates (symmetric), frequencies, rate classes."""
+    """A reversible model: exchange rates (symmetric), frequencies, rate classes.
+
+    All classes are averaged over at every site, or ``site_class`` gives each site its own.
+    """
 
     exchange: np.ndarray
     frequencies: np.ndarray
     rates: np.ndarray = field(default_factory=lambda: np.ones(1))
+    site_class: np.ndarray | None = None
 
     def __post_init__(self):
         pi = self.frequencies / self.frequencies.sum()
@@ -63,6 +67,32 @@ class Model:
             m[i, j] = m[j, i] = value
         return cls(m, np.asarray(frequencies, float), gamma_rates(alpha, n_cat) if alpha else np.ones(1))
 
+    @classmethod
+    def from_table(cls, text: str, frequencies=None, alpha: float | None = None, n_cat: int = 4) -> Model:
+        """A protein model from the usual text: the lower triangle of exchange rates in the order of AMINO, then 20 frequencies.
+
+        ``frequencies`` (of the alignment, say) take the place of the table's.
+        """
+        numbers = [float(x) for x in text.split()[:210]]
+        if len(numbers) < 210:
+            raise ValueError("190 rates and 20 frequencies are needed")
+        m = np.zeros((20, 20))
+        m[np.tril_indices(20, -1)] = numbers[:190]
+        return cls(m + m.T, np.asarray(frequencies if frequencies is not None else numbers[190:], float), gamma_rates(alpha, n_cat) if alpha else np.ones(1))
+
+    @property
+    def classes(self) -> int:
+        """Vectors that are kept for each site."""
+        return 1 if self.site_class is not None else len(self.rates)
+
+    def carry(self, t: float, v: np.ndarray, sites: np.ndarray | None = None) -> np.ndarray:
+        """(classes, sites, states) vectors moved along a branch of length t."""
+        p = self.transition(t)
+        if self.site_class is None:
+            return np.einsum("cij,csj->csi", p, v)
+        own = self.site_class if sites is None else self.site_class[sites]
+        return np.einsum("sij,csj->csi", p[own], v)
+
     def transition(self, t: float) -> np.ndarray:
         """(classes, states, states)"""
         return np.maximum((self.left * np.exp(self.values * max(t, 0.0) * self.rates[:, None])[:, None, :]) @ self.right, 0.0)
@@ -92,7 +122,7 @@ class Reference:
         missing = [n.label for n in tree.leaves() if n.label not in sequences]
         if missing:
             raise ValueError(f"leaves without sequence: {missing[:5]}")
-        classes = len(model.rates)
+        classes = model.classes
         self.down, self.down_scale, self.up, self.up_scale = {}, {}, {}, {}
         moved: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for n in tree.walk():
@@ -110,7 +140,7 @@ class Reference:
                 self.up[c.id], self.up_scale[c.id] = self._product(parts) if parts else (np.ones_like(self.down[c.id]), np.zeros(self.down[c.id].shape[1]))
 
     def _along(self, v, scale, t):
-        return np.einsum("cij,csj->csi", self.model.transition(t), v), scale
+        return self.model.carry(t, v), scale
 
     @staticmethod
     def _product(parts):
@@ -134,8 +164,8 @@ class Reference:
 
     def join(self, edge: int, distal: float, sites: np.ndarray):
         """(vector, log scale) at a place on an edge, of all the reference, over some sites."""
-        below = np.einsum("cij,csj->csi", self.model.transition(distal), self.down[edge][:, sites])
-        above = np.einsum("cij,csj->csi", self.model.transition(self.length[edge] - distal), self.up[edge][:, sites])
+        below = self.model.carry(distal, self.down[edge][:, sites], sites)
+        above = self.model.carry(self.length[edge] - distal, self.up[edge][:, sites], sites)
         return below * above * self.model.frequencies, self.down_scale[edge][sites] + self.up_scale[edge][sites]
 
 
@@ -196,11 +226,11 @@ def place_query(ref: Reference, seq: str, s: Settings = Settings()) -> list[dict
     if not len(sites):
         return []
     own = tips("".join(seq[k] for k in sites), ref.states)
-    leaf = np.repeat(own[None], len(ref.model.rates), 0)
+    leaf = np.repeat(own[None], ref.model.classes, 0)
 
     def value(edge: int, distal: float, pendant: float) -> float:
         v, scale = ref.join(edge, distal, sites)
-        hang = np.einsum("cij,csj->csi", ref.model.transition(pendant), leaf)
+        hang = ref.model.carry(pendant, leaf, sites)
         return float((np.log(np.maximum((v * hang).sum(2).mean(0), 1e-300)) + scale).sum())
 
     ranked = sorted(((value(e, ref.length[e] / 2, s.start_pendant), e) for e in ref.edges()), key=lambda x: (-x[0], x[1]))
@@ -210,7 +240,7 @@ def place_query(ref: Reference, seq: str, s: Settings = Settings()) -> list[dict
         length, now = ref.length[edge], -np.inf
         for _ in range(30):
             v, scale = ref.join(edge, distal, sites)
-            hang = lambda t: float((np.log(np.maximum((v * np.einsum("cij,csj->csi", ref.model.transition(t), leaf)).sum(2).mean(0), 1e-300)) + scale).sum())  # noqa: B023, E731
+            hang = lambda t: float((np.log(np.maximum((v * ref.model.carry(t, leaf, sites)).sum(2).mean(0), 1e-300)) + scale).sum())  # noqa: B023, E731
             pendant, _ = _line_search(hang, 0.0, s.max_pendant, tolerance)
             new = hang(pendant)
             if length > 0:

@@ -486,7 +486,7 @@ def painting(spark, sf_dir):
 
 
 @query(star("SELECT rank, COUNT(DISTINCT color) n_taxids, COALESCE(MAX(nb), 0) n_nonconvex, COALESCE(MAX(mb), 0) max_badness, CAST(COALESCE(MAX(tb), 0) AS BIGINT) tot_badness FROM leaf_taxa LEFT JOIN (SELECT rank, MAX(bad) mb, SUM(bad) tb FROM (SELECT rank, edge, COUNT(*) - 1 bad FROM cut GROUP BY 1, 2) GROUP BY 1) USING (rank) LEFT JOIN (SELECT rank, COUNT(DISTINCT color) nb FROM cut JOIN (SELECT rank, edge FROM cut GROUP BY 1, 2 HAVING COUNT(*) > 1) USING (rank, edge) GROUP BY 1) USING (rank) GROUP BY 1", _COLORS))
-def rppr_info(spark, sf_dir):
+def taxonomic_info(spark, sf_dir):
     """Taxa, non-convex taxa and badness of each rank."""
     tree, _ = _model(spark, sf_dir)
     return T.taxonomic_info(tree, _leaf_taxa(spark, sf_dir, tree))

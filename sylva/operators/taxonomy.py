@@ -232,3 +232,50 @@ def nbc_classify(query_words: DataFrame, reference_words: DataFrame, seq_taxa: D
     gains = query_words.join(model, "word").groupBy("name", "tax_id").agg(F.sum(F.col("n") * F.col("gain")).alias("_gain"))
     scored = gains.join(base, "name").join(size, "tax_id").select("name", "tax_id", (F.col("_base") - F.col("_words") * F.log(F.col("size") + 1) + F.col("_gain")).alias("score"))
     return scored.groupBy("name").agg(F.max_by(F.struct("tax_id", "score"), F.struct("score", "tax_id")).alias("x")).select("name", "x.tax_id", "x.score")
+
+
+def nbc_bootstrap(query_words: DataFrame, reference_words: DataFrame, seq_taxa: DataFrame, lines: DataFrame, n: int = 100, seed: int = 1) -> DataFrame:
+    """(name, rank, tax_id, bootstrap): share of n replicates whose best taxon lies at or below each taxon.
+
+    A replicate draws every word a Poisson number of times, by a hash of seed, replicate, name and
+    word; a name whose words a replicate misses altogether does not count there.
+    """
+    u = (F.pmod(F.xxhash64(F.lit(seed), "_b", "name", "word"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    total, term, copies = 0.0, 0.36787944117144233, F.lit(0)
+    for k in range(8):
+        total += term
+        copies = copies + F.when(u > total, 1).otherwise(0)
+        term /= k + 1
+    drawn = query_words.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("_c", copies).where("_c > 0")
+    each = drawn.select(F.concat_ws("\t", "name", F.col("_b").cast("string")).alias("name"), "word", (F.col("n") * F.col("_c")).alias("n"))
+    won = nbc_classify(each, reference_words, seq_taxa).select(F.split("name", "\t")[0].alias("name"), "tax_id")
+    whole = won.groupBy("name").agg(F.count("*").alias("_all"))
+    votes = won.join(lines, "tax_id").groupBy("name", "rank", F.col("anc_tax_id").alias("_a")).agg(F.count("*").alias("_k"))
+    return votes.join(whole, "name").select("name", "rank", F.col("_a").alias("tax_id"), (F.col("_k") / F.col("_all")).alias("bootstrap"))
+
+
+def infer_taxa(placements: DataFrame, leaf_taxa: DataFrame, edges: DataFrame, lines: DataFrame, keep: float = 0.01) -> DataFrame:
+    """(name, tax_id): for untagged sequences the deepest common taxon of the tagged leaves below their placements.
+
+    placements: (name, loc, ml_ratio), those of at least ``keep``; leaf_taxa: (id, tax_id).  An edge
+    without tagged leaves below it counts with those of its nearest ancestor that has some.
+    """
+    tagged = leaf_taxa.where("tax_id IS NOT NULL")
+    under = tagged.join(edges.select("id", F.explode("path").alias("edge")), "id").select("edge", "tax_id").distinct()
+    has = under.select("edge").distinct()
+    up = edges.select(F.col("id").alias("loc"), F.posexplode("path").alias("_k", "edge")).join(has, "edge")
+    nearest = up.groupBy("loc").agg(F.min_by("edge", "_k").alias("edge"))
+    own = placements.where(F.col("ml_ratio") >= keep).select("name", "loc").join(nearest, "loc").join(under, "edge").select("name", "tax_id")
+    return common_ancestor(own, lines, "name")
+
+
+def suspects(distances: DataFrame, seqinfo: DataFrame, factor: float = 1.0) -> DataFrame:
+    """(seqname, tax_id, median_new, median_old): placed-again sequences that lie farther from their taxon than it is wide.
+
+    distances: (seqname, other, distance) between leaves of one taxon, after and before
+    (``is_new``); a sequence is named if its new median exceeds ``factor`` times the old one.
+    """
+    own = distances.join(seqinfo.select("seqname", "tax_id"), "seqname")
+    half = F.lit(0.5)
+    both = own.groupBy("seqname", "tax_id").agg(F.percentile(F.when(F.col("is_new"), F.col("distance")), half).alias("median_new"), F.percentile(F.when(~F.col("is_new"), F.col("distance")), half).alias("median_old"))
+    return both.where(F.col("median_new") > factor * F.col("median_old"))

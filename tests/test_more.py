@@ -73,6 +73,13 @@ def test_likelihood_and_placement(spark):
     got = place(spark.createDataFrame([("q", seqs["c"]), ("r", "-" * 10)], "name string, seq string"), ref).collect()
     assert {r.name for r in got} == {"q"} and min(got, key=lambda r: r.line).loc == 3
     assert np.allclose(gamma_rates(0.5, 4).mean(), 1) and abs(gamma_rates(1.0, 2)[0] - (1 - np.log(2))) < 1e-3
+    by_site = Model(model.exchange, model.frequencies, np.array([0.5, 2.0]), np.array([0, 1] * 5))
+    own = Reference(tree, seqs, by_site)
+    assert all(abs(own.log_likelihood(e) - own.log_likelihood(0)) < 1e-9 for e in own.edges()) and place_query(own, seqs["b"])[0]["edge"] == 1
+    flat = Model.from_table(" ".join(["1"] * 190 + ["0.05"] * 20))
+    assert np.allclose(flat.transition(50.0), 0.05, atol=1e-6) and np.allclose(flat.transition(0.0)[0], np.eye(20))
+    with pytest.raises(ValueError):
+        Model.from_table("1 2")
     one = spark.createDataFrame([("a", "A-C-")], "name string, seq string")
     two = spark.createDataFrame([("q", "AC--")], "name string, seq string")
     assert premask(one, two) == [0]
@@ -100,12 +107,23 @@ def test_taxonomy(spark):
     assert T.hybrid2(best, nbc, lines).first().tax_id == "g" and T.hybrid5(best, nbc, lines).first().source == "placement"
 
 
+def test_inferred_taxa(spark):
+    edges = edges_frame(spark, parse_newick(TREE))
+    lines = spark.createDataFrame([("g", "g", "genus", 1), ("g", "f", "family", 0), ("h", "h", "genus", 1), ("h", "f", "family", 0), ("f", "f", "family", 0)], "tax_id string, anc_tax_id string, rank string, rank_order int")
+    leaves = spark.createDataFrame([(0, "g"), (1, "h"), (3, None)], "id int, tax_id string")
+    placed = spark.createDataFrame([("q", 0, 1.0), ("r", 2, 1.0), ("s", 0, 0.999), ("s", 1, 0.001), ("t", 3, 1.0)], "name string, loc int, ml_ratio double")
+    assert {r.name: r.tax_id for r in T.infer_taxa(placed, leaves, edges, lines).collect()} == {"q": "g", "r": "f", "s": "g", "t": "f"}
+
+
 def test_naive_bayes(spark):
     refs = spark.createDataFrame([("a", "ACGTACGTACGTAAAA"), ("b", "TTTTGGGGCCCCTTTT")], "name string, seq string")
     tax = spark.createDataFrame([("a", "x"), ("b", "y")], "name string, tax_id string")
     queries = spark.createDataFrame([("q", "ACGTACGTAC"), ("r", "GGGGCCCC")], "name string, seq string")
     got = {r.name: r.tax_id for r in T.nbc_classify(T.words(queries, 4), T.words(refs, 4), tax).collect()}
     assert got == {"q": "x", "r": "y"}
+    lines = spark.createDataFrame([("x", "x", "genus", 0), ("y", "y", "genus", 0)], "tax_id string, anc_tax_id string, rank string, rank_order int")
+    boots = {(r.name, r.tax_id): r.bootstrap for r in T.nbc_bootstrap(T.words(queries, 4), T.words(refs, 4), tax, lines, 20).collect()}
+    assert boots[("q", "x")] > 0.8 and boots[("r", "y")] > 0.8
     same = T.identities(queries.limit(1), refs.selectExpr("name", "substring(seq, 1, 10) seq")).where("reference = 'a'").first()
     assert (same.identity, same.overlap) == (1.0, 10)
 
