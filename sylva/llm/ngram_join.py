@@ -261,7 +261,7 @@ def _id_filter(spark, ids: DataFrame):
         own = np.sort(np.fromiter((r[0] for r in ids.toLocalIterator()), np.int64, n))
         return spark.sparkContext.broadcast(("ids", own))
     bits = 8 * 8 * MOST_IDS
-    words = ids.select(F.explode(F.array(*[F.pmod(F.xxhash64("id", F.lit(k)), F.lit(bits)) for k in range(2)])).alias("bit")).groupBy(F.floor(F.col("bit") / 32).alias("word")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), 0) * F.pow(F.lit(2.0), F.col("bit") % 32).cast("long")).alias("mask"))
+    words = ids.select(F.explode(F.array(*[F.pmod(F.xxhash64("id", F.lit(k)), F.lit(bits)) for k in range(2)])).alias("bit")).groupBy(F.floor(F.col("bit") / 32).alias("word")).agg(F.bit_or(F.pow(F.lit(2.0), F.col("bit") % 32).cast("long")).alias("mask"))
     table = np.zeros(bits // 32, np.uint32)
     for word, mask in words.toLocalIterator():
         table[word] = mask

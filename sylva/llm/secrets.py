@@ -44,7 +44,7 @@ MORE = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35}", 1),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 1),
     Rule("stripe", r"[sr]k_live_[A-Za-z0-9]{16,}", 1),
-    Rule("url", r"[a-z][a-z0-9+.-]*://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]{3,}@", 1),
+    Rule("url", r"[a-z][a-z0-9+.-]{0,30}://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]{3,}@", 1),
 )
 
 Query = frozenset  # of frozensets of trigrams: any of them with all of its trigrams; the empty inner set asks nothing
@@ -159,7 +159,7 @@ def candidate_rules(docs: DataFrame, rules: Sequence[Rule], *, id_column: str =
     bit = {g: k for k, g in enumerate(vocabulary)}
     words = -(-len(vocabulary) // 62)
     postings = trigram_postings(docs, vocabulary, id_column=id_column, text_column=text_column)
-    sets = postings.groupBy("doc_id").agg(*[F.bit_or(F.when(F.floor(F.col("trigram") / 62) == w, F.shiftleft(F.lit(1).cast("long"), 0) * F.element_at(F.array(*[F.lit(1 << b).cast("long") for b in range(62)]), (F.col("trigram") % 62 + 1).cast("int"))).otherwise(F.lit(0).cast("long"))).alias(f"_set{w}") for w in range(words)])
+    sets = postings.groupBy("doc_id").agg(*[F.bit_or(F.when(F.floor(F.col("trigram") / 62) == w, F.element_at(F.array(*[F.lit(1 << b).cast("long") for b in range(62)]), (F.col("trigram") % 62 + 1).cast("int"))).otherwise(F.lit(0).cast("long"))).alias(f"_set{w}") for w in range(words)])
 
     def holds(grams: frozenset) -> Column:
         test = F.lit(True)

@@ -229,6 +229,15 @@ def test_jaccard(docs, none, rows):
     assert jaccard_components(none).count() == 0
 
 
+def test_jaccard_beyond_the_broadcast_bounds(docs, monkeypatch):
+    from sylva.llm import ngram_join as J
+
+    want = sorted(map(repr, J.jaccard_components(docs).collect()))
+    monkeypatch.setattr(J, "MOST_IDS", 4)
+    monkeypatch.setattr(J, "MOST_FREQUENT", 3)
+    assert sorted(map(repr, J.jaccard_components(docs, frequent=2).collect())) == want
+
+
 def test_jaccard_of_a_large_group_and_a_shared_passage(spark):
     from sylva.llm.ngram_join import jaccard_components
 
