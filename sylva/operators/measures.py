@@ -20,12 +20,21 @@ def _pairs(prof: DataFrame, *values: str) -> DataFrame:
     return left.join(right, keys).where("sample1 < sample2")
 
 
-def kr_distance(prof: DataFrame, p: float = 1.0, norm: float | Column = 1.0) -> DataFrame:
-    """Kantorovich-Rubinstein distance Z_p of every pair of samples: (sum |r1 - r2|^p len / norm)^min(1, 1/p)."""
+def kr_distances(prof: DataFrame, exponents: dict[str, float], norm: float | Column = 1.0) -> DataFrame:
+    """Kantorovich-Rubinstein distances of every pair of samples, a column for each named exponent p: (sum |r1 - r2|^p len / norm)^min(1, 1/p)."""
     gap = F.abs(F.col("r1") - F.col("r2"))
-    total = F.sum(F.pow(gap, F.lit(float(p))) * F.col("len")) if p != 1 else F.sum(gap * F.col("len"))
     norm = F.lit(float(norm)) if isinstance(norm, int | float) else norm
-    return _pairs(prof, "r").groupBy("sample1", "sample2").agg(F.pow(total / norm, F.lit(min(1.0, 1.0 / p))).alias("distance"))
+
+    def distance(p: float) -> Column:
+        total = F.sum(gap * F.col("len")) if p == 1 else F.sum(F.pow(gap, F.lit(float(p))) * F.col("len"))
+        return F.pow(total / norm, F.lit(min(1.0, 1.0 / p)))
+
+    return _pairs(prof, "r").groupBy("sample1", "sample2").agg(*[distance(p).alias(name) for name, p in exponents.items()])
+
+
+def kr_distance(prof: DataFrame, p: float = 1.0, norm: float | Column = 1.0) -> DataFrame:
+    """The distance Z_p alone."""
+    return kr_distances(prof, {"distance": p}, norm)
 
 
 def unifrac(prof: DataFrame) -> DataFrame:

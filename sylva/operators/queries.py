@@ -42,13 +42,13 @@ def _rounded(df: DataFrame, shift: float = 0.0) -> DataFrame:
 
 
 def _model(spark: SparkSession, sf_dir: str):
-    tree = S.edges(spark, sf_dir)
+    tree = S.edges(spark, sf_dir).cache()  # one row a node, read by every step
     return tree, S.placements(spark, sf_dir, tree)
 
 
 def monthly(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A rounded run: queries are months of shipping, placed on nations by quantity, a quarter up the edge."""
-    tree = S.edges(spark, sf_dir)
+    tree = S.edges(spark, sf_dir).cache()
     items = S.table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("sample"), (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("long").alias("pq_id"), F.col("l_suppkey"), "l_quantity")
     nation = S.table(spark, sf_dir, "supplier").select(F.col("s_suppkey"), F.col("s_nationkey").cast("long").alias("n"))
     per = items.join(nation, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("sample", "pq_id", "n").agg(F.sum("l_quantity").alias("q"))
@@ -75,8 +75,7 @@ def kr(spark, sf_dir):
     """Kantorovich-Rubinstein distances of all samples, p = 1 and p = 2, spread mass."""
     tree, placed = _model(spark, sf_dir)
     prof = P.profile(P.mass(placed), tree)
-    one, two = M.kr_distance(prof, 1).withColumnRenamed("distance", "z1"), M.kr_distance(prof, 2).withColumnRenamed("distance", "z2")
-    return _rounded(one.join(two, ["sample1", "sample2"]))
+    return _rounded(M.kr_distances(prof, {"z1": 1.0, "z2": 2.0}))
 
 
 @query(star(f"SELECT x.sample sample1, y.sample sample2, ROUND(SUM(SQRT(ABS(x.r - y.r)) * x.len), 6) distance {_PAIRS}", profile_cte("point")))

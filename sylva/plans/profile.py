@@ -74,7 +74,7 @@ def profile(units: DataFrame, edges: DataFrame, samples: list | None = None) ->
     on_edge = dense.join(places.select(F.col("loc").alias("edge"), F.col("pos").alias("a"), "sample", "m"), ["edge", "a", "sample"], "left")
     run = F.coalesce(F.sum("m").over(W.partitionBy("sample", "edge").orderBy("a").rowsBetween(W.unboundedPreceding, 0)), F.lit(0.0))
     full = on_edge.select("edge", "a", "len", "sample", run.alias("_on"))
-    down = below(units, edges).withColumnRenamed("m", "_below")
+    down = below(places, edges).withColumnRenamed("m", "_below")
     return full.join(down, ["sample", "edge"], "left").select("edge", "a", "len", "sample", (F.coalesce("_below", F.lit(0.0)) + F.col("_on")).alias("r"))
 
 
