@@ -103,18 +103,23 @@ def _summary(distances: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Weights of a logistic regression by Newton steps with a small ridge."""
-    design, w = np.column_stack([np.ones(len(x)), x]), np.zeros(x.shape[1] + 1)
-    for _ in range(50):
+def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float, ...]:
+    """Weights of a logistic regression by Newton steps; a ridge on the standardised numbers keeps few rows from overfitting."""
+    centre, spread = x.mean(0), x.std(0)
+    spread = np.where(spread > 1e-9, spread, 1.0)
+    design = np.column_stack([np.ones(len(x)), (x - centre) / spread])
+    w, penalty = np.zeros(design.shape[1]), np.full(design.shape[1], ridge)
+    penalty[0] = 1e-6
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        slope = design.T @ (p - y) + 1e-3 * w
-        bend = (design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(len(w))
+        slope = design.T @ (p - y) + penalty * w
+        bend = (design * (p * (1 - p))[:, None]).T @ design + np.diag(penalty + 1e-9)
         step = np.linalg.solve(bend, slope)
         w -= step
         if np.abs(step).max() < 1e-9:
             break
-    return tuple(w.tolist())
+    own = w[1:] / spread
+    return (float(w[0] - (own * centre).sum()), *own.tolist())
 
 
 def fit(rows: list[tuple[str, int]]) -> Model:
