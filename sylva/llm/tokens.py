@@ -19,7 +19,9 @@ from .textkit import ragged, span_hashes, text_slices
 #: Pieces longer than this many bytes are encoded each time rather than kept.
 KEEP_BYTES = 48
 #: Ids and pieces that a worker keeps; beyond these it begins anew (bounds memory only).
-KEEP_PIECES, KEEP_IDS = 1_000_000, 5_000_000
+KEEP_PIECES, KEEP_IDS = 500_000, 2_500_000
+#: Pieces that the library encodes at once.
+BATCH = 2048
 
 #: ASCII letters; ASCII marks that are neither letters, digits nor white space.
 LETTER, MARK = np.zeros(256, bool), np.zeros(256, bool)
@@ -47,7 +49,9 @@ class Encoder:
 
     def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each piece)"""
-        found = [x.ids for x in self.tool.encode_batch_fast(pieces, add_special_tokens=False)]
+        found = []
+        for k in range(0, len(pieces), BATCH):  # the library's results are large
+            found += [x.ids for x in self.tool.encode_batch_fast(pieces[k : k + BATCH], add_special_tokens=False)]
         counts = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum())), counts
 
