@@ -45,8 +45,8 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def blot_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, each secret in its text replaced by ``<secret>`` (n_chars follows); null texts stay null."""
     found = find_secrets(docs, keep=COLUMNS[1:])
-    clean = redact(F.col("text"), F.col("_spans"))
-    return found.select("doc_id", clean.alias("text"), "lang", "source", F.when(F.size("_spans") > 0, F.length(clean).cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    clean = found.select("doc_id", redact(F.col("text"), F.col("_spans")).alias("text"), "lang", "source", "n_chars", (F.size("_spans") > 0).alias("_hit"))
+    return clean.select("doc_id", "text", "lang", "source", F.when(F.col("_hit"), F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,3 +60,22 @@ def test_pipeline(spark, sf_dir):
         copies[r.doc_id] += 1
     assert copies.keys() <= kept.keys() and max(copies.values()) <= 3
     assert seen["packing"].select("doc_id").distinct().count() == len(copies)
+
+
+def test_stages_with_odd_rows(spark, sf_dir):
+    import corpus_pipeline as C
+
+    text = "one two three four five six seven eight"
+    rows = [(1, text, "en", "a", 39), (2, text, None, None, None), (None, text, "en", "a", 1), (3, None, "en", None, 0), (4, "", "en", "b", 0), (5, "password=hunter2x " * 3, "en", "b", 54), (5, "another text of this id", "en", "b", 23), (6, "w " * 40_000, None, "a", 80_000)]
+    odd = spark.createDataFrame([(*r, 0, "x", 0.5, 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _row int, _text string, score double, copies int").repartition(3)
+    out = {name: stage(spark, odd, sf_dir).collect() for name, stage in C.STAGES}
+    assert len(out["toxicity"]) <= len(rows) and {r.doc_id for r in out["toxicity"]} <= {r[0] for r in rows}
+    kept = sorted((repr(r.doc_id), (r.text or "")[:5]) for r in out["near_duplicates"])
+    # the copy with an id goes; rows without id or words, and both texts of id 5, stay
+    assert kept == sorted((repr(r[0]), (r[1] or "")[:5]) for r in rows if r[0] != 2)
+    clean = {(r.doc_id, r.n_chars): r.text for r in out["secrets"]}
+    assert len(out["secrets"]) == len(rows) and clean[(3, 0)] is None and clean[(5, 27)] == "<secret> " * 3
+    assert {r.doc_id for r in out["mix"]} <= {1, 2, None, 5, 6} and all(r.text for r in out["mix"])
+    assert len({(r.doc_id, r.piece, r.ids_crc32) for r in out["packing"]}) >= len({r[0] for r in rows})
+    empty = spark.createDataFrame([], odd.schema)
+    assert [len(stage(spark, empty, sf_dir).collect()) for _, stage in C.STAGES] == [0] * 5
