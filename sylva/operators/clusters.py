@@ -6,13 +6,15 @@ that reach the driver are samples x samples or edges x edges of one reference tr
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..plans import profile as P
 from .measures import kr_distance, varying_edges
-from .pairs import islands, overlap_graph
+from .pairs import islands
 
 
 def profile_matrix(prof: DataFrame, samples: list[str]) -> tuple[np.ndarray, np.ndarray, list]:
@@ -64,87 +66,214 @@ def bootstrap(placements: DataFrame, seed: int) -> DataFrame:
     return own.withColumn("pq_id", F.xxhash64("pq_id", "_copy")).drop("_n", "_copy")
 
 
+def near_pairs(units: DataFrame, edges: DataFrame, cutoff: float, p: float = 1.0) -> DataFrame:
+    """(sample, island, pq1, pq2), pq1 < pq2: queries of one island at a distance <= cutoff; units are (sample, island, pq_id, loc, pos, m).
+
+    What a query has on an edge that another does not touch adds in full to their distance.  So of its
+    edges, the least frequent first, a query is listed under as many as together exceed the cutoff: two
+    queries without a common listing are farther apart.  Those listed together are compared on the most
+    frequent edges first and, where that leaves them near, on all.
+    """
+    bound = cutoff ** max(1.0, p) + 1e-9
+    tree = {r["id"]: (r["path"], r["bl"]) for r in edges.select("id", "path", "bl").collect()}  # of the tree
+    keys = ["sample", "island", "pq_id"]
+    tall = edges.select(F.col("id").alias("loc"), "path")
+    up = units.join(tall, "loc").select(*keys, F.explode("path").alias("edge"), "loc", "pos", "m").select(*keys, "edge", F.when(F.col("edge") == F.col("loc"), F.col("pos")).otherwise(0.0).alias("a"), "m")
+    steps = up.groupBy(*keys, "edge", "a").agg(F.sum("m").alias("m")).join(edges.select(F.col("id").alias("edge"), "bl"), "edge")
+    along = W.partitionBy(*keys, "edge").orderBy("a")
+    run = F.sum("m").over(along.rowsBetween(W.unboundedPreceding, 0))
+    share = F.pow(run, F.lit(float(p))) * (F.coalesce(F.lead("a").over(along), F.col("bl")) - F.col("a"))
+    own = steps.select(*keys, "edge", share.alias("x")).groupBy(*keys, "edge").agg(F.sum("x").alias("x"))
+    rare = own.join(own.groupBy("sample", "edge").agg(F.count("*").alias("n")), ["sample", "edge"])
+    order = W.partitionBy(*keys).orderBy("n", "edge")
+    listed = rare.select(*keys, "edge", (F.sum("x").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("x")).alias("before"), F.sum("x").over(W.partitionBy(*keys)).alias("all"))
+    short = listed.where(F.col("all") <= bound).select(*keys, F.lit(-1).alias("edge")).distinct()
+    lists = listed.where(F.col("before") <= bound).select(*keys, "edge").unionByName(short)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, which = np.unique(pdf["pq_id"].to_numpy(), return_inverse=True)
+        rows = list(zip(which.tolist(), pdf["loc"].tolist(), pdf["pos"].tolist(), pdf["m"].tolist(), strict=True))
+        cuts: dict[int, set] = {}
+        touched: dict[int, set] = {}
+        for k, loc, pos, _ in rows:
+            for e in tree[loc][0]:
+                cuts.setdefault(e, {0.0})
+                touched.setdefault(e, set()).add(k)
+            cuts[loc].add(pos)
+        often = sorted(cuts, key=lambda e: (-len(touched[e]), e))
+        at, start, length = {}, 0, []
+        for e in often:
+            own = sorted(cuts[e])
+            at[e] = (start, {c: start + j for j, c in enumerate(own)}, start + len(own))
+            length += list(np.diff([*own, max(own[-1], tree[e][1])]))
+            start += len(own)
+        x, length = np.zeros((len(names), start)), np.array(length)
+        for k, loc, pos, m in rows:
+            for e in tree[loc][0]:
+                first, place, last = at[e]
+                x[k, place[pos] if e == loc else first : last] += m
+        out_a, out_b = [], []
+        head = min(start, 48)
+        block = max(1, 2_000_000 // max(1, len(names)))
+        for lo in range(0, len(names), block):
+            part = x[lo : lo + block]
+            far = np.zeros((len(part), len(names)))
+            for c in range(head):
+                far += np.abs(part[:, c, None] - x[None, :, c]) ** p * length[c]
+            i, j = np.nonzero(far <= bound)
+            i = i + lo
+            i, j = i[i < j], j[i < j]
+            for s in range(0, len(i), 2000):
+                u, v = i[s : s + 2000], j[s : s + 2000]
+                whole = (np.abs(x[u] - x[v]) ** p * length).sum(1) ** min(1.0, 1.0 / p)
+                out_a.append(names[u[whole <= cutoff]])
+                out_b.append(names[v[whole <= cutoff]])
+        none = np.array([], names.dtype)
+        a, b = np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
+        return pd.DataFrame({"sample": pdf["sample"].iloc[0], "island": pdf["island"].iloc[0], "pq1": a, "pq2": b})
+
+    kind = units.schema["pq_id"].dataType.simpleString()
+    schema = f"sample string, island {units.schema['island'].dataType.simpleString()}, pq1 {kind}, pq2 {kind}"
+    return lists.join(units, keys).groupBy("sample", "island", "edge").applyInPandas(one, schema).distinct()
+
+
 def compress(placements: DataFrame, edges: DataFrame, cutoff: float, *, discard_below: float = 0.0, p: float = 1.0, by: DataFrame | None = None) -> DataFrame:
     """(sample, pq_id, kept_id): within each island, queries at a distance <= cutoff of one with most such neighbours go over to it.
 
     Greedy: the query of the highest degree (ties: the least) takes its neighbours, and so on.
-    Islands, or the clusters ``by`` (sample, pq_id, island), are worked on apart, each in one task.
+    Islands, or the clusters ``by`` (sample, pq_id, island), are worked on apart; a task holds the
+    pairs of near queries of an island, never all its pairs.
     """
     groups = islands(placements, discard_below) if by is None else by
     own = P.mass(placements)
-    tall = edges.select(F.col("id").alias("loc"), "path", F.col("bl"))
     # one unit of mass a query
     whole = own.groupBy("sample", "pq_id").agg(F.sum("m").alias("_t"))
-    units = own.join(whole, ["sample", "pq_id"]).join(groups, ["sample", "pq_id"]).join(tall, "loc").select("sample", "island", "pq_id", "loc", "pos", (F.col("m") / F.col("_t")).alias("m"), "path", "bl")
-    lengths = dict(edges.select("id", "bl").collect())  # of the tree
+    units = own.join(whole, ["sample", "pq_id"]).join(groups, ["sample", "pq_id"]).select("sample", "island", "pq_id", "loc", "pos", (F.col("m") / F.col("_t")).alias("m"))
+    queries = units.select("sample", "pq_id").distinct()
+    if cutoff < 0:
+        return queries.withColumn("kept_id", F.col("pq_id"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        queries = sorted(pdf["pq_id"].unique())
-        place = {q: k for k, q in enumerate(queries)}
-        below = {}  # edge -> mass of each query strictly below
-        for q, loc, m, path in zip(pdf["pq_id"], pdf["loc"], pdf["m"], pdf["path"], strict=True):
-            for e in path:
-                if e != loc:
-                    below.setdefault(e, np.zeros(len(queries)))[place[q]] += m
-        spots: dict[int, list] = {}
-        for q, loc, pos, m in zip(pdf["pq_id"], pdf["loc"], pdf["pos"], pdf["m"], strict=True):
-            spots.setdefault(loc, []).append((pos, place[q], m))
-        far = np.zeros((len(queries), len(queries)))
-        for e in {*below, *spots}:
-            r, at = below.get(e, np.zeros(len(queries))).copy(), 0.0
-            for pos, k, m in [*sorted(spots.get(e, [])), (lengths[e], 0, 0.0)]:
-                if pos > at:
-                    far += np.abs(r[:, None] - r[None, :]) ** p * (pos - at)
-                    at = pos
-                r[k] += m
-        near = far ** min(1.0, 1.0 / p) <= cutoff
-        np.fill_diagonal(near, False)
-        kept = np.arange(len(queries))
-        degree = near.sum(1)
-        while degree.max(initial=0) > 0:
-            k = int(np.argmax(degree))
-            touched = np.flatnonzero(near[k])
-            kept[touched] = k
-            gone = [*touched.tolist(), k]
-            near[gone, :] = False
-            near[:, gone] = False
-            degree = near.sum(1)
-        return pd.DataFrame({"sample": pdf["sample"].iloc[0], "pq_id": queries, "kept_id": [queries[k] for k in kept]})
+        near: dict = {}
+        for a, b in zip(pdf["pq1"].tolist(), pdf["pq2"].tolist(), strict=True):
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        heap = [(-len(v), q) for q, v in near.items()]
+        heapq.heapify(heap)
+        kept = {}
+        while heap:
+            degree, q = heapq.heappop(heap)
+            if q not in near or -degree != len(near[q]) or not near[q]:
+                continue
+            taken = near[q]
+            kept.update(dict.fromkeys(taken, q))
+            gone = {q, *taken}
+            less = set()
+            for g in gone:
+                for other in near.pop(g):
+                    if other not in gone:
+                        near[other].discard(g)
+                        less.add(other)
+            for other in less:
+                heapq.heappush(heap, (-len(near[other]), other))
+        return pd.DataFrame({"sample": pdf["sample"].iloc[0], "pq_id": list(kept), "_kept": list(kept.values())})
 
     kind = placements.schema["pq_id"].dataType.simpleString()
-    return units.groupBy("sample", "island").applyInPandas(one, f"sample string, pq_id {kind}, kept_id {kind}")
+    over = near_pairs(units, edges, cutoff, p).groupBy("sample", "island").applyInPandas(one, f"sample string, pq_id {kind}, _kept {kind}")
+    return queries.join(over, ["sample", "pq_id"], "left").select("sample", "pq_id", F.coalesce("_kept", "pq_id").alias("kept_id"))
 
 
 def markov_clusters(placements: DataFrame, inflation: float = 2.0, rounds: int = 60) -> DataFrame:
-    """(sample, pq_id, cluster) by Markov clustering of the overlap graph, island by island; a cluster is named by its least query."""
-    edges_of = overlap_graph(placements)
+    """(sample, pq_id, cluster) by Markov clustering of the overlap graph, island by island; a cluster is named by its least query.
+
+    An island is one task, but no matrix of all its pairs is held: the first expansion goes through
+    the edges on which queries overlap, and what is kept of each column (shares of 1e-9 at least) is sparse.
+    """
     groups = islands(placements)
     kind = placements.schema["pq_id"].dataType.simpleString()
-    pairs = groups.join(edges_of.select("sample", F.col("pq1").alias("pq_id"), "pq2", "overlap"), ["sample", "pq_id"], "left")
+    own = placements.groupBy("sample", "pq_id", "loc").agg(F.sum("ml_ratio").alias("wt")).join(groups, ["sample", "pq_id"])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        queries = sorted(pdf["pq_id"].unique())
-        place, n = {q: k for k, q in enumerate(queries)}, len(queries)
-        m = np.eye(n)
-        for a, b, w in zip(pdf["pq_id"], pdf["pq2"], pdf["overlap"], strict=True):
-            if not pd.isna(w):
-                m[place[a], place[type(a)(b)]] = m[place[type(a)(b)], place[a]] = w
-        m /= m.sum(0)
-        for _ in range(rounds):
-            new = (m @ m) ** inflation
+        queries, q = np.unique(pdf["pq_id"].to_numpy(), return_inverse=True)
+        _, loc = np.unique(pdf["loc"].to_numpy(), return_inverse=True)
+        order = np.argsort(q, kind="stable")
+        q, loc, w = q[order], loc[order], pdf["wt"].to_numpy(float)[order]
+        n, n_loc = len(queries), int(loc.max()) + 1
+        starts = np.searchsorted(q, np.arange(n))
+        by_loc = np.argsort(loc, kind="stable")
+        loc_starts = np.searchsorted(loc[by_loc], np.arange(n_loc))
+        square = np.bincount(q, w * w, n)
+        sums = np.bincount(q, w * np.bincount(loc, w, n_loc)[loc], n) - square + 1
+        width = max(1, min(n, 2_000_000 // max(n, len(q))))
+
+        def graph(y):  # the overlap graph, 1 on its diagonal, times y
+            on = np.add.reduceat(w[by_loc, None] * y[q[by_loc]], loc_starts)
+            return np.add.reduceat(w[:, None] * on[loc], starts) + (1 - square)[:, None] * y
+
+        def sparse(new):
+            new = new**inflation
+            new /= new.sum(0)
             new[new < 1e-9] = 0
             new /= new.sum(0)
-            if np.abs(new - m).max() < 1e-8:
+            col, row = np.nonzero(new.T)
+            return np.bincount(col, minlength=new.shape[1]), row, new[row, col], new
+
+        def joined(parts):
+            counts = np.concatenate([x[0] for x in parts])
+            return np.concatenate([[0], np.cumsum(counts)]), np.concatenate([x[1] for x in parts]), np.concatenate([x[2] for x in parts])
+
+        parts, moved = [], 0.0
+        for lo in range(0, n, width):
+            own = np.arange(lo, min(n, lo + width))
+            unit = np.zeros((n, len(own)))
+            unit[own, own - lo] = 1 / sums[own]
+            m = graph(unit)
+            *kept, new = sparse(graph(m / sums[:, None]))
+            moved = max(moved, np.abs(new - m).max())
+            parts.append(kept)
+        first, row, value = joined(parts)
+        for _ in range(rounds - 1):
+            if moved < 1e-8:
                 break
-            m = new
+            parts, moved = [], 0.0
+            for lo in range(0, n, width):
+                hi = min(n, lo + width)
+                a, b = first[lo], first[hi]
+                col = np.repeat(np.arange(hi - lo), np.diff(first[lo : hi + 1]))
+                m = np.zeros((n, hi - lo))
+                m[row[a:b], col] = value[a:b]
+                if n <= 4000:  # a small island is quicker as a plain matrix
+                    if not lo:
+                        dense = np.zeros((n, n))
+                        dense[row, np.repeat(np.arange(n), np.diff(first))] = value
+                    x, a = dense @ m, b
+                else:
+                    x = np.zeros(n * (hi - lo))
+                for s in range(a, b, 5000):
+                    k, v, c = row[s : min(b, s + 5000)], value[s : min(b, s + 5000)], col[s - a : min(b, s + 5000) - a]
+                    many = first[k + 1] - first[k]
+                    at = np.repeat(first[k] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                    x += np.bincount(row[at] * (hi - lo) + np.repeat(c, many), value[at] * np.repeat(v, many), len(x))
+                *kept, new = sparse(x.reshape(n, hi - lo))
+                moved = max(moved, np.abs(new - m).max())
+                parts.append(kept)
+            first, row, value = joined(parts)
+        # queries that a row holds together are one cluster
+        col = np.repeat(np.arange(n), np.diff(first))
+        row, col = row[value > 1e-6], col[value > 1e-6]
         label = np.arange(n)
-        for row in m:
-            own = np.flatnonzero(row > 1e-6)
-            if len(own):
-                label[np.isin(label, label[own])] = label[own].min()
-        return pd.DataFrame({"sample": pdf["sample"].iloc[0], "pq_id": queries, "cluster": [queries[k] for k in label]})
+        while True:
+            least = np.full(n, n)
+            np.minimum.at(least, row, label[col])
+            new = label.copy()
+            np.minimum.at(new, col, least[row])
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        return pd.DataFrame({"sample": pdf["sample"].iloc[0], "pq_id": queries, "cluster": queries[label]})
 
-    return pairs.groupBy("sample", "island").applyInPandas(one, f"sample string, pq_id {kind}, cluster {kind}")
+    return own.groupBy("sample", "island").applyInPandas(one, f"sample string, pq_id {kind}, cluster {kind}")
 
 
 # -- principal components
@@ -270,8 +399,6 @@ def shuffle_p_values(units: DataFrame, edges: DataFrame, sample1: str, sample2:
     observed = kr_distance(P.profile(two, edges), p).first()["distance"]
     queries = two.select("sample", "pq_id").distinct()
     n1 = queries.where(F.col("sample") == sample1).count()
-    from pyspark.sql import Window as W
-
     turns = queries.withColumn("turn", F.explode(F.sequence(F.lit(1), F.lit(n))))
     rank = F.row_number().over(W.partitionBy("turn").orderBy(F.xxhash64(F.lit(seed), "turn", "sample", "pq_id"), "sample", "pq_id"))
     dealt = turns.withColumn("side", F.when(rank <= n1, "1").otherwise("2"))
@@ -287,20 +414,45 @@ def shuffle_p_values(units: DataFrame, edges: DataFrame, sample1: str, sample2:
 def gaussian_p_value(units: DataFrame, edges: DataFrame, sample1: str, sample2: str, p: float = 1.0, n: int = 1000, seed: int = 1) -> tuple[float, float]:
     """(distance, share at least as far) under Gaussian deviates: differences of profiles with the covariance of shuffled mass.
 
-    Each query adds a standard normal times its centred profile to a deviate; so a deviate is a
-    product of the queries' profiles with normal numbers, and no covariance of stretches is formed.
+    Each query adds a standard normal times its centred profile to a deviate.  The normals follow from
+    a hash of seed and query; tasks sum them by place, then a task finishes 50 deviates, so what is
+    held has the size of the places on the tree, whatever the number of queries.
     """
     two = units.where(F.col("sample").isin(sample1, sample2))
     observed = kr_distance(P.profile(two, edges), p).first()["distance"]
-    each = two.select(F.concat_ws("/", "sample", F.col("pq_id").cast("string")).alias("sample"), "pq_id", "loc", "pos", F.col("m"))
-    whole = each.groupBy("sample").agg(F.sum("m").alias("_t"))
-    single = each.join(whole, "sample").select("sample", "pq_id", "loc", "pos", (F.col("m") / F.col("_t")).alias("m"))
-    names = sorted(r[0] for r in single.select("sample").distinct().collect())
-    r, length, _ = profile_matrix(P.profile(single, edges), names)
-    first = np.array([x.split("/")[0] == sample1 for x in names])
-    n1, n2 = first.sum(), (~first).sum()
-    centred = r - r.mean(1)[:, None]
+    sizes = {r["sample"]: r["n"] for r in two.groupBy("sample").agg(F.countDistinct("pq_id").alias("n")).collect()}
+    n1, n2 = sizes[sample1], sizes[sample2]
+    whole = two.groupBy("sample", "pq_id").agg(F.sum("m").alias("_t"))
+    single = two.join(whole, ["sample", "pq_id"]).select(F.xxhash64(F.lit(seed), "sample", "pq_id").alias("key"), "loc", "pos", (F.col("m") / F.col("_t")).alias("m"))
+    tree = {r["id"]: (r["path"], r["bl"]) for r in edges.select("id", "path", "bl").collect()}  # of the tree
+    wide = 50
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(n)
+        for key, m in zip(pdf["key"].tolist(), pdf["m"].tolist(), strict=True):
+            total += m * np.random.Generator(np.random.Philox(key=key % (1 << 64))).standard_normal(n)
+        chunks = [total[k : k + wide].tolist() for k in range(0, n, wide)]
+        return pd.DataFrame({"chunk": range(len(chunks)), "loc": pdf["loc"].iloc[0], "pos": pdf["pos"].iloc[0], "base": pdf["m"].sum(), "total": chunks})
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.sort_values(["loc", "pos"])
+        s, base = np.array(own["total"].tolist()), own["base"].to_numpy()
+        moved = s - base[:, None] * s.sum(0) / (n1 + n2)  # the normals less their mean
+        below, on = {}, {}
+        for loc, pos, x in zip(own["loc"].tolist(), own["pos"].tolist(), moved, strict=True):
+            on.setdefault(loc, []).append((pos, x))
+            for e in tree[loc][0]:
+                if e != loc:
+                    below[e] = below.get(e, 0.0) + x
+        z = np.zeros(s.shape[1])
+        for e in {*below, *on}:
+            r, at = np.zeros(s.shape[1]) + below.get(e, 0.0), 0.0
+            for pos, x in [*on.get(e, []), (tree[e][1], 0.0)]:
+                z += np.abs(r * weight) ** p * max(0.0, pos - at)
+                r, at = r + x, pos
+        return pd.DataFrame({"z": z ** min(1.0, 1.0 / p)})
+
     weight = np.sqrt((1 / n1 + 1 / n2) / (n1 + n2))
-    g = np.random.default_rng(seed).standard_normal((len(names), n))
-    z = ((np.abs(centred @ g * weight) ** p) * length[:, None]).sum(0) ** min(1.0, 1.0 / p)
-    return observed, float((z >= observed).mean())
+    places = single.groupBy("loc", "pos").applyInPandas(add, "chunk int, loc int, pos double, base double, total array<double>")
+    z = places.groupBy("chunk").applyInPandas(finish, "z double")
+    return observed, float(z.agg(F.avg((F.col("z") >= observed).cast("double"))).first()[0])

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans import profile as P, star as S
 from ..plans.tree import Node, number, print_newick, reroot as _reroot, tree_length
 from ..sources.drawings import fat_decor, hang, heat_color, phyloxml
 from . import clusters as K, measures as M, place as L, taxonomy as T, trees as R
-from .queries import ORACLES, QUERIES, _classified, _model, _rounded, monthly, query, taxa_of
+from .queries import ORACLES, QUERIES, _classified, _model, _rounded, by_order, query, taxa_of
 
 
 def tree_of(edges: DataFrame) -> Node:
@@ -57,21 +58,21 @@ def pmlpca(spark, sf_dir):
 
 @query()
 def compress(spark, sf_dir):
-    """Monthly queries that go over to a neighbour within a distance of 0.4."""
-    tree, placed = monthly(spark, sf_dir)
+    """Orders that go over to a neighbour within a distance of 0.4."""
+    tree, placed = by_order(spark, sf_dir)
     return K.compress(placed, tree, 0.4, discard_below=0.0)
 
 
 @query()
 def mcl(spark, sf_dir):
-    """Markov clusters of the monthly queries."""
-    return K.markov_clusters(monthly(spark, sf_dir)[1], 4.0)
+    """Markov clusters of the orders of each sample."""
+    return K.markov_clusters(by_order(spark, sf_dir)[1], 4.0)
 
 
 @query()
 def kr_significance(spark, sf_dir):
-    """Shuffled and Gaussian significance of the distance of A and R, monthly queries."""
-    tree, placed = monthly(spark, sf_dir)
+    """Shuffled and Gaussian significance of the distance of A and R, queries are orders."""
+    tree, placed = by_order(spark, sf_dir)
     units = P.mass(placed)
     z, p = K.shuffle_p_values(units, tree, "A", "R", 20)
     return _rounded(spark.createDataFrame([(float(z), float(p), float(K.gaussian_p_value(units, tree, "A", "R")[1]))], "distance double, p_shuffle double, p_gaussian double"))
@@ -156,20 +157,30 @@ def heat(spark, sf_dir):
 
 @query()
 def tog(spark, sf_dir):
-    """The tree with every monthly query of sample N at its best place."""
-    tree, placed = monthly(spark, sf_dir)
-    best = P.ranked(placed).where("rank_in_pq = 1 AND sample = 'N'").collect()  # a row a month
-    return spark.createDataFrame([(print_newick(hang(tree_of(tree), [(str(r["pq_id"]), r["loc"], r["distal_bl"], r["pendant_bl"]) for r in best]), digits=6),)], "newick string")
+    """The tree with every order of sample N at its best place."""
+    tree, placed = by_order(spark, sf_dir)
+    root = tree_of(tree)
+    best = P.ranked(placed).where("rank_in_pq = 1 AND sample = 'N'").select("sample", F.col("pq_id").cast("string").alias("name"), "loc", "distal_bl", F.col("pendant_bl").cast("double").alias("pendant_bl"))
+
+    def one(pdf):  # a row an order: one tree holds them all
+        rows = sorted(zip(pdf["name"], pdf["loc"].tolist(), pdf["distal_bl"].tolist(), pdf["pendant_bl"].tolist(), strict=True))
+        return pd.DataFrame({"newick": [print_newick(hang(root, rows), digits=6)]})
+
+    return best.groupBy("sample").applyInPandas(one, "newick string")
 
 
 @query()
 def sing(spark, sf_dir):
-    """A tree for each monthly query of sample N, with all its placements."""
-    tree, placed = monthly(spark, sf_dir)
-    root, own = tree_of(tree), {}
-    for r in P.ranked(placed).where("sample = 'N'").collect():  # months x nations
-        own.setdefault(r["pq_id"], []).append((f"{r['pq_id']}_{r['rank_in_pq']}", r["loc"], r["distal_bl"], r["pendant_bl"]))
-    return spark.createDataFrame([(k, print_newick(hang(root, v), digits=6)) for k, v in sorted(own.items())], "pq_id long, newick string")
+    """A tree for each order of sample N, with all its placements."""
+    tree, placed = by_order(spark, sf_dir)
+    root = tree_of(tree)
+    rows = P.ranked(placed).where("sample = 'N'").groupBy("pq_id").agg(F.array_sort(F.collect_list(F.struct("rank_in_pq", "loc", "distal_bl", F.col("pendant_bl").cast("double").alias("pendant_bl")))).alias("own"))
+
+    def each(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"pq_id": pdf["pq_id"], "newick": [print_newick(hang(root, [(f"{k}_{x['rank_in_pq']}", x["loc"], x["distal_bl"], x["pendant_bl"]) for x in own]), digits=6) for k, own in zip(pdf["pq_id"], pdf["own"], strict=True)]})
+
+    return rows.mapInPandas(each, "pq_id long, newick string")
 
 
 @query()

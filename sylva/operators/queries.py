@@ -57,6 +57,12 @@ def monthly(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return tree, placed.join(whole, ["sample", "pq_id"]).select("sample", "pq_id", F.col("loc").alias("line"), "loc", "bl", (F.col("q") / F.col("all_q")).alias("ml_ratio"), (F.col("bl") / 4).alias("distal_bl"), F.lit(0.5).alias("pendant_bl"))
 
 
+def by_order(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The whole model: queries are orders, one placement a line item, weights as shares of the order's."""
+    tree, placed = _model(spark, sf_dir)
+    return tree, P.ranked(placed).drop("ml_ratio", "rank_in_pq").withColumnRenamed("w", "ml_ratio")
+
+
 MONTHLY = """
 month_q AS (SELECT l_returnflag sample, CAST(YEAR(l_shipdate) * 12 + MONTH(l_shipdate) AS BIGINT) pq_id, CAST(s_nationkey AS BIGINT) n, SUM(l_quantity) q
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3),
@@ -287,6 +293,20 @@ ORACLES["islands"] = star(
 ).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
+@query()
+def islands_by_order(spark, sf_dir):
+    """Islands of the orders by placements of at least 0.07."""
+    return X.islands(by_order(spark, sf_dir)[1], 0.07)
+
+
+ORACLES["islands_by_order"] = star(
+    """SELECT sample, pq_id, MIN(island) island FROM reach JOIN links USING (sample, loc) GROUP BY 1, 2""",
+    "links AS (SELECT DISTINCT sample, pq_id, loc FROM unit WHERE w >= 0.07)",
+    "hops AS (SELECT DISTINCT x.sample, x.loc a, y.loc b FROM links x JOIN links y USING (sample, pq_id))",
+    "reach AS (SELECT sample, loc, MIN(pq_id) island FROM links GROUP BY 1, 2 UNION SELECT r.sample, h.b, r.island FROM reach r JOIN hops h ON h.sample = r.sample AND h.a = r.loc)",
+).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 @query(
     star("""SELECT 'merged' sample, COUNT(DISTINCT sample || '/' || pq_id) pqueries, CAST(COUNT(*) AS BIGINT) placements FROM place""")
 )
