@@ -157,30 +157,30 @@ def heat(spark, sf_dir):
 
 @query()
 def tog(spark, sf_dir):
-    """The tree with every order of sample N at its best place."""
+    """A tree for each sample with every order at its best place."""
     tree, placed = by_order(spark, sf_dir)
     root = tree_of(tree)
-    best = P.ranked(placed).where("rank_in_pq = 1 AND sample = 'N'").select("sample", F.col("pq_id").cast("string").alias("name"), "loc", "distal_bl", F.col("pendant_bl").cast("double").alias("pendant_bl"))
+    best = P.ranked(placed).where("rank_in_pq = 1").select("sample", F.col("pq_id").cast("string").alias("name"), "loc", "distal_bl", F.col("pendant_bl").cast("double").alias("pendant_bl"))
 
     def one(pdf):  # a row an order: one tree holds them all
         rows = sorted(zip(pdf["name"], pdf["loc"].tolist(), pdf["distal_bl"].tolist(), pdf["pendant_bl"].tolist(), strict=True))
-        return pd.DataFrame({"newick": [print_newick(hang(root, rows), digits=6)]})
+        return pd.DataFrame({"sample": [pdf["sample"].iloc[0]], "newick": [print_newick(hang(root, rows), digits=6)]})
 
-    return best.groupBy("sample").applyInPandas(one, "newick string")
+    return best.groupBy("sample").applyInPandas(one, "sample string, newick string")
 
 
 @query()
 def sing(spark, sf_dir):
-    """A tree for each order of sample N, with all its placements."""
+    """A tree for each order of each sample, with all its placements."""
     tree, placed = by_order(spark, sf_dir)
     root = tree_of(tree)
-    rows = P.ranked(placed).where("sample = 'N'").groupBy("pq_id").agg(F.array_sort(F.collect_list(F.struct("rank_in_pq", "loc", "distal_bl", F.col("pendant_bl").cast("double").alias("pendant_bl")))).alias("own"))
+    rows = P.ranked(placed).groupBy("sample", "pq_id").agg(F.array_sort(F.collect_list(F.struct("rank_in_pq", "loc", "distal_bl", F.col("pendant_bl").cast("double").alias("pendant_bl")))).alias("own"))
 
     def each(batches):
         for pdf in batches:
-            yield pd.DataFrame({"pq_id": pdf["pq_id"], "newick": [print_newick(hang(root, [(f"{k}_{x['rank_in_pq']}", x["loc"], x["distal_bl"], x["pendant_bl"]) for x in own]), digits=6) for k, own in zip(pdf["pq_id"], pdf["own"], strict=True)]})
+            yield pd.DataFrame({"sample": pdf["sample"], "pq_id": pdf["pq_id"], "newick": [print_newick(hang(root, [(f"{k}_{x['rank_in_pq']}", x["loc"], x["distal_bl"], x["pendant_bl"]) for x in own]), digits=6) for k, own in zip(pdf["pq_id"], pdf["own"], strict=True)]})
 
-    return rows.mapInPandas(each, "pq_id long, newick string")
+    return rows.mapInPandas(each, "sample string, pq_id long, newick string")
 
 
 @query()

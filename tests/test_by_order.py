@@ -44,6 +44,13 @@ def test_trees_hold_every_order(spark, sf_dir, orders):
     assert own <= {str(r.pq_id) for r in QUERIES["sing"](spark, sf_dir).select("pq_id").collect()}
 
 
+def test_trees_of_every_sample(spark, sf_dir, orders):
+    tog = {r.sample: r.newick for r in QUERIES["tog"](spark, sf_dir).collect()}
+    assert {(s, int(q)) for s, t in tog.items() for q in re.findall(r"[(,](\d+):", t)} == orders
+    sing = QUERIES["sing"](spark, sf_dir).collect()
+    assert len(sing) == len(orders) and {(r.sample, r.pq_id) for r in sing} == orders
+
+
 def test_compress_against_all_pairs(placed):
     rows, edges = placed
     from pyspark.sql import functions as F
