@@ -71,10 +71,10 @@ def mcl(spark, sf_dir):
 
 @query()
 def kr_significance(spark, sf_dir):
-    """Shuffled and Gaussian significance of the distance of A and R, queries are orders."""
+    """Significance of the distance of A and R, queries are orders: 100 shuffles (steps of 0.01) and 1000 Gaussian deviates."""
     tree, placed = by_order(spark, sf_dir)
     units = P.mass(placed)
-    z, p = K.shuffle_p_values(units, tree, "A", "R", 20)
+    z, p = K.shuffle_p_values(units, tree, "A", "R")
     return _rounded(spark.createDataFrame([(float(z), float(p), float(K.gaussian_p_value(units, tree, "A", "R")[1]))], "distance double, p_shuffle double, p_gaussian double"))
 
 

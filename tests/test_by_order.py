@@ -100,3 +100,17 @@ def test_clusters_against_dense(placed):
                 if len(own):
                     label[own] = label[own].min()
         assert [got[s, q] for q in range(25)] == label.tolist() and len(set(label)) > 1
+
+
+def test_all_shuffles(spark, sf_dir, monkeypatch):
+    drawn = []
+    monkeypatch.setattr(K, "gaussian_p_value", lambda *a: (0.0, 0.5))
+    plain = K.shuffle_p_values
+
+    def counted(units, edges, sample1, sample2, n=plain.__defaults__[0]):
+        drawn.append(n)
+        return 0.0, 0.5
+
+    monkeypatch.setattr(K, "shuffle_p_values", counted)
+    QUERIES["kr_significance"](spark, sf_dir)
+    assert drawn == [100]
