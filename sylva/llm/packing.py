@@ -1,10 +1,10 @@
 """Best-fit packing of token pieces into sequences of fixed length, as a tree of residual rounds.
 
 Round 0: the pieces are dealt into groups of bounded size by a hash; each group packs its own by
-best fit, longest first.  Bins that no remaining item could complete are closed; the underfull
+best fit, longest first.  Bins that no open bin of any group fits into are closed; the underfull
 ones become items of the next round, in which neighbouring groups merge until a group again holds
-its bounded number of rows.  Rounds go on until one group is left, or a round closes no bin and
-saves none; then what is open is closed as it is.
+its bounded number of bins (or are dealt anew, if they cannot be fewer).  Rounds go on until one
+group is left, or a round closes no bin and saves none; then what is open is closed as it is.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .shared import forget, persist_at
 
-#: Member rows that one group packs at most, about (bounds a task's memory).
+#: Items (pieces, later bins) that one group packs at most, about (bounds a task's memory).
 GROUP_ROWS = 60_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -94,7 +94,7 @@ def pack(pieces: DataFrame, capacity: int, *, group_rows: int = GROUP_ROWS) -> D
     keyed = written.select(F.pmod(F.xxhash64(*columns), F.lit(groups)).alias("_group"), F.lit(None).cast("long").alias("_bin"), F.col("length").alias("_fill"), F.lit(0).cast("long").alias("_offset"), *columns)
     schema = keyed.schema
     closed: list[DataFrame] = []
-    open_rows, round_no = keyed, 0
+    open_rows, round_no, before = keyed, 0, None
     while True:
         final = groups == 1
         result, path_now = persist_at(_round(open_rows, capacity, int(low), round_no, final, schema), f"pack{round_no}")
@@ -102,16 +102,24 @@ def pack(pieces: DataFrame, capacity: int, *, group_rows: int = GROUP_ROWS) -> D
         if final:
             break
         rest = result.where("NOT _closed")
-        left, bins = rest.agg(F.count("*"), F.countDistinct("_bin")).first()
-        if not left:
+        # bins that no other open bin fits into are done, whatever group that bin is in
+        least = rest.agg(F.min("_fill")).first()[0]
+        if least is None:
             break
-        merged = max(1, -(-left // group_rows))
-        if merged >= groups and round_no:  # no tree level is gained: what is open stays as it is
+        full = F.col("_fill") > capacity - least
+        closed.append(rest.where(full))
+        rest = rest.where(~full)
+        bins = rest.agg(F.countDistinct("_bin")).first()[0]
+        if not bins:
+            break
+        merged = max(1, -(-bins // group_rows))
+        if merged >= groups and bins == before:  # nothing was closed or saved: what is open stays as it is
             closed.append(rest)
             break
-        merged = min(merged, max(1, groups // 2)) if merged >= groups else merged
-        open_rows = rest.withColumn("_group", F.floor(F.col("_group") * merged / groups)).select(*[F.col(x.name).cast(x.dataType) for x in schema])
-        groups, round_no = merged, round_no + 1
+        # groups that cannot be fewer are dealt anew, so that their bins meet others
+        own = F.floor(F.col("_group") * merged / groups) if merged < groups else F.pmod(F.xxhash64("_bin", F.lit(round_no)), F.lit(groups))
+        open_rows = rest.withColumn("_group", own).select(*[F.col(x.name).cast(x.dataType) for x in schema])
+        groups, round_no, before = merged, round_no + 1, bins
     forget(spark, path)
     out = closed[0]
     for x in closed[1:]:
