@@ -36,10 +36,13 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
     Rows that repeat an id with the same text stay once.
     """
-    groups = jaccard_components(docs)
-    gone = groups.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    return kept
+    # a number for each row, written down, so that rows of one id are told apart
+    rows = persist(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    groups = jaccard_components(rows, id_column="_row").where("n_shingles > 0").select(F.col("doc_id").alias("_row"), "component_id")
+    named = persist(rows.where("doc_id IS NOT NULL").select("_row", "doc_id").join(groups, "_row"), "grouped")
+    best = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("best"))
+    gone = named.join(best, "component_id").where(F.col("_row") != F.col("best._row")).select("_row")
+    return rows.join(gone, "_row", "left_anti").select(*COLUMNS)
 
 
 def blot_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

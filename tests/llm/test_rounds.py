@@ -9,3 +9,14 @@ def test_bins_of_all_groups_meet(spark):
     fills = got.groupBy("sequence_id").sum("length").collect()
     assert got.count() == 1001 and max(r[1] for r in fills) <= 64
     assert sum(r[1] <= 32 for r in fills) <= 1  # two half-empty sequences would have been one
+
+
+def test_repeated_ids(spark, sf_dir):
+    import corpus_pipeline as C
+
+    text = "one two three four five six seven eight"
+    clean = "a text of its own that is nowhere else at all"
+    rows = [(1, text), (2, text), (2, clean), (3, "this row is here twice and should stay once"), (3, "this row is here twice and should stay once")]
+    docs = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = sorted((r.doc_id, r.text) for r in C.keep_one_of_near_copies(spark, docs, sf_dir).collect())
+    assert kept == [rows[0], rows[2], rows[3]]
