@@ -374,6 +374,13 @@ def redup(spark, sf_dir):
     return C.restore_duplicates(_names(spark, sf_dir), m).groupBy("sample", "name").agg(F.sum("mass").alias("mass"))
 
 
+@query("SELECT o_orderpriority sample, 'c' || (c_nationkey * 100000 + c_custkey) name, CAST(SUM(1 + c_custkey % 3) AS DOUBLE) mass FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2")
+def redup_all(spark, sf_dir):
+    """Names restored from a map of all customers with counts."""
+    m = S.table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("kept_id"), F.concat(F.lit("c"), (F.col("c_nationkey") * 100000 + F.col("c_custkey")).cast("string")).alias("orig_id"), (1 + F.col("c_custkey") % 3).alias("count"))
+    return C.restore_duplicates(_names(spark, sf_dir), m).groupBy("sample", "name").agg(F.sum("mass").alias("mass"))
+
+
 @query("SELECT o_orderpriority sample, ROUND(ASINH(COUNT(*)) / SUM(ASINH(COUNT(*))) OVER (PARTITION BY o_orderpriority), 6) mass, 'c' || o_custkey name FROM orders GROUP BY o_orderpriority, o_custkey")
 def mft(spark, sf_dir):
     """Multiplicities of customers under asinh, made to sum to 1."""
