@@ -5,8 +5,8 @@ every id; a bit of level k's continuation bitmap says that the id has a chunk on
 the rank directory (set bits before every block of 256) gives its place there.  So any id can be
 read alone: a byte, a bit and a rank on each level, with no block to decode.
 
-File: the eight bytes ``DACIDS01``; little-endian 64-bit numbers: documents, ids, levels, then for
-each level its number of chunks; document ids and the documents' starts (documents + 1), 64 bits
+File: the eight bytes ``DACIDS02``; little-endian 64-bit numbers: documents, ids, levels, documents
+without an id (they come first), then for each level its number of chunks; document ids and the documents' starts (documents + 1), 64 bits
 each; for each level its chunks, and for all but the last its bitmap (padded to whole blocks, low
 bit first) and its directory (64-bit ranks, one for each block and one for the total).
 """
@@ -17,11 +17,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .shared import fresh_path, open_fs, persist, whole_file
 
-MAGIC, BLOCK_BITS = b"DACIDS01", 256
+MAGIC, BLOCK_BITS = b"DACIDS02", 256
+#: Ids that a file holds, about; a longer document is a file of its own.
+FILE_IDS = 1 << 24
 
 
 def encode(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray | None, np.ndarray | None]]:
@@ -47,12 +49,12 @@ class CodeFile:
     def __init__(self, uri: str):
         system, path = open_fs(uri)
         self.source = system.open_input_file(path)
-        head = self.source.read_at(32, 0)
+        head = self.source.read_at(40, 0)
         if head[:8] != MAGIC:
             raise ValueError(f"not a file of codes: {uri}")
-        self.docs, self.n_ids, n_levels = np.frombuffer(head, "<i8", 3, 8).tolist()
-        counts = np.frombuffer(self.source.read_at(8 * n_levels, 32), "<i8").tolist()
-        self.at_docs = 32 + 8 * n_levels
+        self.docs, self.n_ids, n_levels, self.n_null = np.frombuffer(head, "<i8", 4, 8).tolist()
+        counts = np.frombuffer(self.source.read_at(8 * n_levels, 40), "<i8").tolist()
+        self.at_docs = 40 + 8 * n_levels
         self.at_starts = self.at_docs + 8 * self.docs
         place, self.levels = self.at_starts + 8 * (self.docs + 1), []
         for k, n in enumerate(counts):
@@ -112,14 +114,14 @@ class CodeFile:
         return values
 
 
-def write_file(uri: str, doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
-    """Write one file of codes at once."""
+def write_file(uri: str, doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, n_null: int = 0) -> None:
+    """Write one file of codes at once; the first ``n_null`` documents have no id (their number there means nothing)."""
     levels = encode(ids)
     starts = np.zeros(len(counts) + 1, np.int64)
     np.cumsum(counts, out=starts[1:])
     with whole_file(uri) as out:
         out.write(MAGIC)
-        out.write(np.array([len(counts), len(ids), len(levels), *(len(x[0]) for x in levels)], "<i8").tobytes())
+        out.write(np.array([len(counts), len(ids), len(levels), n_null, *(len(x[0]) for x in levels)], "<i8").tobytes())
         out.write(doc_ids.astype("<i8").tobytes())
         out.write(starts.astype("<i8").tobytes())
         for level in levels:
@@ -128,48 +130,63 @@ def write_file(uri: str, doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarra
                     out.write(part.tobytes())
 
 
-def write_codes(docs: DataFrame, vocabulary: str, end_id: int, folder: str, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def write_codes(docs: DataFrame, vocabulary: str, end_id: int, folder: str, *, id_column: str = "doc_id", text_column: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
     """Encode whole texts (null: empty), append the end id to each, and write files of codes in ascending document id.
 
-    Rows are dealt out and sorted by id (null ids first, kept as the smallest 64-bit number; equal
-    ids by text).  Returns, lazily, one row a file: file, n_docs, n_ids; names sort as the ids do.
-    An empty table gives no file with documents.
+    Rows are dealt out and sorted by id, then by a hash of the text, so that rows of one id, or
+    without an id (they come first), may be split over tasks; rows that repeat id and text are
+    equal in any order.  A task writes a file whenever ``file_ids`` ids have come together, so its
+    memory does not grow with its share; texts may be of any length.  Returns, lazily, one row a
+    file: task, number (both in the order of the ids), file, n_docs, n_ids.  An empty table gives
+    no files.
     """
-    picked = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(-(2**63)).cast("long")).alias("doc_id"), F.col(text_column).alias("text"))
-    dealt = picked.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    picked = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).withColumn("_h", F.xxhash64("text"))
+    keys = [F.col("doc_id").asc_nulls_first(), F.col("_h")]
+    dealt = picked.repartitionByRange(*keys).sortWithinPartitions(*keys, "text").drop("_h")
 
     def write(batches):
         from pyspark import TaskContext
 
         from .tokens import encoder, with_end
 
-        tool, all_ids, all_counts, names = encoder(vocabulary), [], [], []
+        tool, task, number = encoder(vocabulary), TaskContext.get().partitionId(), 0
+        held: list[tuple] = []  # (document ids, ids, counts) of the file that grows
+        n_held = 0
+
+        def flush():
+            nonlocal held, n_held, number
+            own = pa.chunked_array([x[0] for x in held], pa.int64())
+            ids, counts = np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
+            file = f"part-{task:06d}-{number:06d}.dac"
+            write_file(f"{folder}/{file}", own.fill_null(0).to_numpy(), counts, ids, own.null_count)
+            row = pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), pa.array([number], pa.int64()), pa.array([file]), pa.array([len(counts)]), pa.array([len(ids)])], ["task", "number", "file", "n_docs", "n_ids"])
+            held, n_held, number = [], 0, number + 1
+            return row
+
         for batch in batches:
-            names.append(batch.column(0).to_numpy(zero_copy_only=False))
-            for _, _, ids, counts in tool.batches(batch.column(1)):
+            for a, b, ids, counts in tool.batches(batch.column(1)):
                 ids, counts = with_end(ids, counts, end_id)
-                all_ids.append(ids.astype(np.uint32))
-                all_counts.append(counts)
-        if not all_counts:
-            return
-        file, ids, counts = f"part-{TaskContext.get().partitionId():06d}.dac", np.concatenate(all_ids), np.concatenate(all_counts)
-        write_file(f"{folder}/{file}", np.concatenate(names), counts, ids)
-        yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([len(counts)]), pa.array([len(ids)])], ["file", "n_docs", "n_ids"])
+                held.append((batch.column(0).slice(a, b - a), ids.astype(np.uint32), counts))
+                n_held += len(ids)
+                if n_held >= file_ids:
+                    yield flush()
+        if held:
+            yield flush()
 
-    return dealt.mapInArrow(write, "file string, n_docs long, n_ids long")
+    return dealt.mapInArrow(write, "task long, number long, file string, n_docs long, n_ids long")
 
 
 def read_codes(manifest: DataFrame, folder: str, *, group_ids: int = 1 << 20) -> DataFrame:
     """A row for each document of the files, in file order: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
 
-    The driver reads one row a file (their number is that of the writing tasks) and adds up the
-    starts.  Each file is decoded about ``group_ids`` ids at a time.
+    The starts of files are summed in two steps, over a task's files and over the tasks, of which
+    there is a row each.  Each file is decoded about ``group_ids`` ids at a time.
     """
-    spark, before, files = manifest.sparkSession, 0, []
-    for file, n_ids in sorted(manifest.select("file", "n_ids").collect()):
-        files.append((file, before))
-        before += n_ids
-    listed = spark.createDataFrame(files, "file string, before long").repartition(max(1, len(files)), "file")
+    tasks = manifest.groupBy("task").agg(F.sum("n_ids").alias("n"))
+    tasks = tasks.select(F.col("task").alias("_task"), (F.sum("n").over(W.orderBy("task")) - F.col("n")).alias("_before"))
+    within = F.sum("n_ids").over(W.partitionBy("task").orderBy("number")) - F.col("n_ids")
+    listed = manifest.withColumn("_within", within).join(tasks, F.col("task") == F.col("_task")).select("file", (F.col("_before") + F.col("_within")).alias("before"))
+    listed = listed.repartition(int(max(1, min(20_000, manifest.count()))), "file")
 
     def read(batches):
         for batch in batches:
@@ -182,16 +199,19 @@ def read_codes(manifest: DataFrame, folder: str, *, group_ids: int = 1 << 20) ->
                     ids = codes.tokens(int(starts[a]), int(starts[b])).astype("<u4")
                     cuts = (starts[a : b + 1] - starts[a]).tolist()
                     sums = [zlib.crc32(ids[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
-                    own = doc_ids[a:b]
-                    yield pa.RecordBatch.from_arrays([pa.array(own, mask=own == -(2**63)), pa.array(starts[a:b] + base), pa.array(np.diff(starts[a : b + 1])), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids[a:b], mask=np.arange(a, b) < codes.n_null), pa.array(starts[a:b] + base), pa.array(np.diff(starts[a : b + 1])), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
                     a = b
                 codes.close()
 
     return listed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def round_trip(docs: DataFrame, vocabulary: str, end_id: int, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Write every document's ids as codes into the shared folder and return what :func:`read_codes` reads back."""
+def round_trip(docs: DataFrame, vocabulary: str, end_id: int, *, id_column: str = "doc_id", text_column: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
+    """Write every document's ids as codes into the shared folder and return what :func:`read_codes` reads back.
+
+    A row for each row of ``docs``: null ids and texts, empty and very long texts, repeated ids
+    and rows are kept (those of one id in the order of a hash of their text); an empty table gives none.
+    """
     folder = fresh_path(docs.sparkSession, "codes")
-    manifest = persist(write_codes(docs, vocabulary, end_id, folder, id_column=id_column, text_column=text_column), "manifest")
+    manifest = persist(write_codes(docs, vocabulary, end_id, folder, id_column=id_column, text_column=text_column, file_ids=file_ids), "manifest")
     return read_codes(manifest, folder)

@@ -22,8 +22,11 @@ BLOCK_IDS = 1 << 20
 def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str, *, id_column: str = "doc_id", text_column: str = "text", id_bytes: int = 2) -> DataFrame:
     """Encode whole texts (null: empty) and write one flat file a task; a row for each document: file, place (from 0) and id.
 
-    Ids in a file stand in the task's order of rows.  Null ids, repeated rows and empty texts are
-    kept; an empty table gives no files and no rows.  Columns besides the two are not read.
+    Ids in a file stand in the task's order of rows.  Null ids, repeated rows (also of different
+    text) and empty texts are kept, and texts may be of any length; an empty table gives no files
+    and no rows.  Columns besides the two are not read.  A special token's string in a text is
+    ordinary text here, so that its id can part documents; an end id that still turns up within a
+    text is refused, for the scan could not tell it from an end.
     """
     picked = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
 
@@ -32,12 +35,14 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
 
         from .tokens import encoder, with_end
 
-        tool, name, place = encoder(vocabulary), f"part-{TaskContext.get().partitionId():06d}.ids", 0
+        tool, name, place = encoder(vocabulary, ordinary=True), f"part-{TaskContext.get().partitionId():06d}.ids", 0
         kind = "<u2" if id_bytes == 2 else "<u4"
 
         with whole_file(f"{folder}/{name}") as out:
             for batch in batches:
                 for a, b, ids, counts in tool.batches(batch.column(1)):
+                    if (ids == end_id).any():
+                        raise ValueError(f"the end id {end_id} occurs within a text; choose another")
                     ids, _ = with_end(ids, counts, end_id)
                     if id_bytes == 2 and len(ids) and int(ids.max()) > 0xFFFF:
                         raise ValueError("an id does not fit two bytes; use id_bytes=4")

@@ -31,14 +31,21 @@ MARK[48:58] = False
 
 
 class Encoder:
-    """Encodes texts in bulk; one for each Python worker."""
+    """Encodes texts in bulk; one for each Python worker.
 
-    def __init__(self, path: str):
+    Strings of the vocabulary's added tokens in a text become those tokens, as the library has it,
+    unless ``ordinary``: then special ones are text like any other.
+    """
+
+    def __init__(self, path: str, ordinary: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.path, self.tool = path, Tokenizer.from_file(path)
-        self.tool.encode_special_tokens = True  # such strings in a text are ordinary text
+        self.tool.encode_special_tokens = ordinary
+        added = self.tool.get_added_tokens_decoder().values()
+        #: Strings that the library looks for before all else: a row that holds one is encoded whole.
+        self.added = [t.content.encode() for t in added if not (ordinary and t.special)]
         self._clear()
 
     def _clear(self) -> None:
@@ -66,8 +73,30 @@ class Encoder:
         self.first, self.count = np.insert(self.first, where, firsts), np.insert(self.count, where, counts)
         self.keys = np.insert(self.keys, where, keys)
 
+    def _marked(self, data: np.ndarray, offsets: np.ndarray) -> list[int]:
+        """Rows that hold the string of an added token, ascending."""
+        raw, rows = data.tobytes(), set()
+        for mark in self.added:
+            at = raw.find(mark)
+            while at >= 0:
+                row = int(np.searchsorted(offsets, at, "right")) - 1
+                if at + len(mark) <= offsets[row + 1]:
+                    rows.add(row)
+                at = raw.find(mark, at + 1)
+        return sorted(rows)
+
     def flat(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, number of ids of each row) of concatenated UTF-8 texts."""
+        marked, parts, at = self._marked(data, offsets), [], 0
+        for row in [*marked, len(offsets) - 1]:
+            parts.append(self._flat(data[offsets[at] : offsets[row]], offsets[at : row + 1] - offsets[at]))
+            if row < len(offsets) - 1:
+                parts.append(self._encode([data[offsets[row] : offsets[row + 1]].tobytes().decode("utf-8", "replace")]))
+            at = row + 1
+        return parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def _flat(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`flat`, for rows without added tokens."""
         if not len(data):
             return np.empty(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         space = data == 32
@@ -125,14 +154,14 @@ class Encoder:
             yield a, b, ids, counts
 
 
-_KEPT: dict[str, Encoder] = {}
+_KEPT: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, ordinary: bool = False) -> Encoder:
     """The worker's encoder for a vocabulary file."""
-    if path not in _KEPT:
-        _KEPT[path] = Encoder(path)
-    return _KEPT[path]
+    if (path, ordinary) not in _KEPT:
+        _KEPT[path, ordinary] = Encoder(path, ordinary)
+    return _KEPT[path, ordinary]
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

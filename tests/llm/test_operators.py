@@ -44,7 +44,6 @@ def ids():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -99,6 +98,43 @@ def test_codes_round_trip(docs, none, rows, ids):
     assert round_trip(none, VOCABULARY, 2).count() == 0
 
 
+def test_special_strings_in_texts(spark, ids):
+    from tokenizers import Tokenizer
+
+    from sylva.llm.codes import round_trip
+    from sylva.llm.packing import cut_pieces
+    from sylva.llm.token_scan import token_counts
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "plain", "<|endoftext|><|endoftext|> x", "<|endoftext|", "x" * 100 + "<|endoftext|>é", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    crc = lambda own: zlib.crc32(np.array(own, "<u4").tobytes())
+    got = {r.doc_id: r.ids_crc32 for r in round_trip(df, VOCABULARY, 2).collect()}
+    assert got == {k: crc([*ids(t), 2]) for k, t in enumerate(texts)} and 50256 in ids(texts[0])
+    got = {r.doc_id: r.ids_crc32 for r in cut_pieces(df, VOCABULARY, 0, 2048).collect()}
+    assert got == {k: crc([*ids(t), 0]) for k, t in enumerate(texts)}
+    # the separator scan takes them as ordinary text, and refuses an end id that texts hold
+    t = Tokenizer.from_file(VOCABULARY)
+    t.encode_special_tokens = True
+    got = {r.doc_id: r.n_tokens for r in token_counts(df, VOCABULARY, 50256).collect()}
+    assert got == {k: len(t.encode(x or "", add_special_tokens=False).ids) for k, x in enumerate(texts)}
+    with pytest.raises(Exception, match="occurs within a text"):
+        token_counts(df, VOCABULARY, ids("plain")[0]).collect()
+
+
+def test_codes_of_repeated_and_missing_ids(spark, ids):
+    from sylva.llm.codes import round_trip
+
+    draw = random.Random(3)
+    own = [(k, " ".join(draw.choice("one two three".split()) for _ in range(draw.randint(0, 30)))) for k in [None] * 40 + [-(2**63)] * 3 + [7] * 60 + list(range(20))]
+    df = spark.createDataFrame(own, "doc_id long, text string").repartition(6)
+    for file_ids in (1 << 24, 50):
+        got = sorted(round_trip(df, VOCABULARY, 2, file_ids=file_ids).collect(), key=lambda r: r.start)
+        assert [r.doc_id for r in got] == sorted((k for k, _ in own), key=lambda k: (k is not None, k or 0))
+        assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+        want = sorted((repr(k), zlib.crc32(np.array([*ids(t), 2], "<u4").tobytes())) for k, t in own)
+        assert sorted((repr(r.doc_id), r.ids_crc32) for r in got) == want
+
+
 def test_codes_random_access(tmp_path):
     from sylva.llm.codes import CodeFile, write_file
 
