@@ -39,8 +39,8 @@ MOST_FREQUENT = 2_000_000
 BUCKET = 1 << 20
 #: Pairs verified in one group, about.
 GROUP_PAIRS = 4096
-#: Members that a long list's largest component sends to the rest before pairs across components are proposed; members of lists crossed at once, about.
-LEADERS, LIST_ROWS = 8, 200_000
+#: Members that a long list's largest component sends to the rest before pairs across components are proposed; members of lists on one side of a tile, about.
+LEADERS, TILE_ROWS = 8, 512
 #: Candidate ids that are broadcast as they are; beyond, as a Bloom filter of as many bytes.
 MOST_IDS = 2_000_000
 
@@ -347,9 +347,9 @@ def jaccard_components(docs: DataFrame, *, size: int = 5, percent: int = 75, id_
 
     Words are runs of other than ASCII white space; a text of fewer than ``size`` words is one
     shingle; null and empty texts have none and link with nothing.  Two documents link when
-    100 * intersection >= percent * union (percent from 50 to 100).  Repeated rows are linked with
+    100 * intersection >= percent * union (percent from 50 to 99).  Repeated rows are linked with
     each other; a row with a null id is kept, links like any other and never names a component
-    (if a component has no other, its id is null).  An empty table gives no rows.
+    (if a component has no other, its id is null).  Texts are whole, of any length.  An empty table gives no rows.
     """
     if not 50 <= percent <= 99:
         raise ValueError("percent must lie between 50 and 99")
@@ -416,32 +416,42 @@ def _crossing(own: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs of a long list's members in different components that the bitmaps let pass.
 
     Lists that share their largest component mostly repeat each other's pairs: they are worked on
-    together, a bounded number of members at once, and each pair is looked at once there.
+    together, and each pair is looked at once there.  The members of such a group are cut into
+    chunks by hash, those of the largest component (which never pair among themselves) apart from
+    the rest; a tile is a chunk of the rest with another, or with one of the largest component, so
+    no task holds more than two chunks, whatever the size of the group.
     """
     each = own.groupBy("long_list", "component").agg(F.count("*").alias("k"))
-    main = each.groupBy("long_list").agg(F.max(F.struct("k", "component")).alias("x"), F.sum("k").alias("n_list")).select("long_list", F.col("x.component").alias("main"), "n_list")
-    parts = main.groupBy("main").agg(F.ceil(F.sum("n_list") / LIST_ROWS).alias("parts"))
-    placed = main.join(parts, "main").select("long_list", F.xxhash64("main", F.pmod(F.xxhash64("long_list"), F.col("parts"))).alias("grp"))
-    rows = own.join(placed, "long_list").join(classes.select("mark", "n", "bitmap"), "mark").select("grp", "long_list", "mark", "component", "n", "bitmap")
+    main = each.groupBy("long_list").agg(F.max(F.struct("k", "component")).alias("x")).select(F.col("long_list").alias("w"), F.col("x.component").alias("main"))
+    sided = own.join(main, F.col("long_list") == F.col("w")).select("main", (F.col("component") == F.col("main")).alias("inner"), "long_list", "mark", "component")
+    chunks = sided.groupBy("main").agg(*[F.ceil(F.count_if(side) / TILE_ROWS).alias(name) for side, name in ((~F.col("inner"), "rest_chunks"), (F.col("inner"), "main_chunks"))]).withColumnRenamed("main", "w")
+    cut = lambda name: F.pmod(F.xxhash64("mark"), F.col(name))
+    count = lambda name: F.sequence(F.lit(0).cast("long"), F.col(name) - 1)
+    # a row of the rest meets all chunks of the rest (as the left or the right side) and all of the largest component
+    with_rest = F.transform(count("rest_chunks"), lambda k: F.struct(F.least(k, F.col("c")).alias("x"), F.greatest(k, F.col("c")).alias("y"), F.lit(False).alias("m")))
+    with_main = F.transform(count("main_chunks"), lambda k: F.struct(F.col("c").alias("x"), k.alias("y"), F.lit(True).alias("m")))
+    from_main = F.transform(count("rest_chunks"), lambda k: F.struct(k.alias("x"), F.col("c").alias("y"), F.lit(True).alias("m")))
+    placed = sided.join(chunks, F.col("main") == F.col("w")).withColumn("c", F.when(F.col("inner"), cut("main_chunks")).otherwise(cut("rest_chunks")))
+    placed = placed.withColumn("tile", F.explode(F.when(F.col("inner"), from_main).otherwise(F.concat(with_rest, with_main))))
+    rows = placed.join(classes.select("mark", "n", "bitmap"), "mark").select("main", "tile", F.when(F.col("tile.m"), F.col("inner")).otherwise(F.col("c") == F.col("tile.y")).alias("right"), (~F.col("tile.m") & (F.col("tile.x") == F.col("tile.y"))).alias("same"), "long_list", "mark", "component", "n", "bitmap")
 
     def cross(table: pa.Table) -> pa.Table:
         lists, marks, comps, sizes = (table.column(x).to_numpy() for x in ("long_list", "mark", "component", "n"))
+        right, same = (table.column(x).to_numpy(zero_copy_only=False).astype(bool) for x in ("right", "same"))
         known, firsts, place = np.unique(marks, return_index=True, return_inverse=True)
         maps, sizes, seen = table.column("bitmap").take(pa.array(firsts)).to_pylist(), sizes[firsts], np.empty(0, np.int64)
         order = np.argsort(lists, kind="stable")
         cuts = np.flatnonzero(np.diff(lists[order], prepend=~lists[order][:1]))
         for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
-            own_places, own_comps = place[order[x:y]], comps[order[x:y]]
-            found = []
-            for comp in np.unique(own_comps)[1:]:  # each component with those before it
-                here, there = own_places[own_comps == comp], own_places[own_comps < comp]
-                a, b = np.repeat(here, len(there)), np.tile(there, len(here))
-                near = percent * np.maximum(sizes[a], sizes[b]) <= 100 * np.minimum(sizes[a], sizes[b])
-                a, b = a[near], b[near]
-                found.append(np.minimum(a, b) * len(known) + np.maximum(a, b))
-            seen = _distinct(np.concatenate([seen, *found]))
+            rows_here = order[x:y]
+            here, there = (rows_here, rows_here) if same[0] else (rows_here[~right[rows_here]], rows_here[right[rows_here]])
+            i, j = np.nonzero(comps[here][:, None] != comps[there][None, :])
+            a, b = place[here[i]], place[there[j]]
+            near = (percent * np.maximum(sizes[a], sizes[b]) <= 100 * np.minimum(sizes[a], sizes[b])) & ((a < b) | ~same[0])
+            a, b = a[near], b[near]
+            seen = _distinct(np.concatenate([seen, np.minimum(a, b) * len(known) + np.maximum(a, b)]))
         a, b = seen // len(known), seen % len(known)
         kept = np.fromiter((_may_link(maps[i], maps[j], int(sizes[i]), int(sizes[j]), percent) for i, j in zip(a.tolist(), b.tolist(), strict=True)), bool, len(a))
         return pa.table({"a": pa.array(known[a[kept]]), "b": pa.array(known[b[kept]])})
 
-    return rows.groupBy("grp").applyInArrow(cross, "a long, b long")
+    return rows.groupBy("main", "tile").applyInArrow(cross, "a long, b long")
