@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import components
 from .shared import fresh_path, open_fs, persist, whole_file
+from .textkit import ragged
 
 #: Rows that centroids and codebooks are fitted to at most; coarse lists at most; subspaces and codewords in each.
 SAMPLE, MOST_LISTS, SUBSPACES, CODEWORDS = 16_384, 1024, 8, 64
-#: Vectors of a block, and queries that are compared at once.
-BLOCK, STEP = 4096, 256
+#: Vectors of a block, queries that are compared at once, and successive partners of a block that one task takes.
+BLOCK, STEP, RUN = 4096, 256, 2
 #: What rounding may take from a bound, in double and (squares, sums of eight) in single precision.
 SLACK, ROUNDING = 1e-9, 1e-4
 
@@ -115,6 +116,9 @@ def _hooks(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class _Block:
     def __init__(self, folder: str, number: int):
         system, path = open_fs(f"{folder}/block-{number:08d}.npz")
+        if system.get_file_info(path).type.name != "File":  # no vector fell on this part of a list
+            self.rows = np.empty(0, np.int64)
+            return
         with system.open_input_file(path) as source:
             held = np.load(io.BytesIO(source.read()))
         self.rows, self.list, self.codes, self.error, self.constant = held["rows"], held["list"], held["codes"], held["error"], held["constant"]
@@ -214,21 +218,18 @@ def _links(spark, sound: DataFrame, width: int, t: float, lists: int | None, blo
     sizes = {r[0]: (r[1], r[2]) for r in index.groupBy("list").agg(F.count("*"), F.max("distance")).collect()}  # a row a list
     radius = np.array([sizes.get(k, (0, -1.0))[1] for k in range(len(q.centres))])
     # lists into blocks: (list, parts, first block)
-    plan, blocks, room = [], [], 0
+    plan, n_blocks, room = [], 0, 0
     for k in sorted(sizes):
         count = sizes[k][0]
         if count > block:
             parts = -(-count // block)
-            plan.append((k, parts, len(blocks)))
-            blocks += [[k] for _ in range(parts)]
-            room = 0
+            plan.append((k, parts, n_blocks))
+            n_blocks, room = n_blocks + parts, 0
         else:
-            if not blocks or room < count:
-                blocks.append([])
-                room = block
-            blocks[-1].append(k)
+            if room < count:
+                n_blocks, room = n_blocks + 1, block
             room -= count
-            plan.append((k, 1, len(blocks) - 1))
+            plan.append((k, 1, n_blocks - 1))
     folder = fresh_path(spark, "blocks")
 
     def write(table: pa.Table) -> pa.Table:
@@ -243,17 +244,27 @@ def _links(spark, sound: DataFrame, width: int, t: float, lists: int | None, blo
 
     placed = spark.createDataFrame(plan, "list long, parts long, first long")
     blocked = index.join(F.broadcast(placed), "list").withColumn("block", F.col("first") + F.pmod(F.xxhash64("row"), F.col("parts")))  # at most MOST_LISTS rows
-    there = {r[0] for r in persist(blocked.drop("distance", "parts", "first").groupBy("block").applyInArrow(write, "block long"), "written").collect()}  # a row a block
-    # blocks whose lists are within reach of each other
+    persist(blocked.drop("distance", "parts", "first").groupBy("block").applyInArrow(write, "block long"), "written")
+    # blocks whose lists are within reach of each other: each row of blocks is looked through by a task, none by the driver
     r = np.sqrt(max(0.0, 2 - 2 * t))
     gaps = np.sqrt(np.maximum(0, (q.centres**2).sum(1)[:, None] + (q.centres**2).sum(1) - 2 * q.centres @ q.centres.T))
     near = (gaps <= radius[:, None] + radius[None, :] + r + SLACK) & (radius[:, None] >= 0) & (radius[None, :] >= 0)
-    member = np.zeros((len(blocks), len(q.centres)), np.float32)
-    for k, own in enumerate(blocks):
-        member[k, own] = 1
-    reach = (member @ near.astype(np.float32) @ member.T) > 0
-    pairs = [(a, b) for a in range(len(blocks)) for b in np.flatnonzero(reach[a, a:]) + a if a in there and int(b) in there]
-    tiles = spark.createDataFrame([(int(a), int(b)) for a, b in pairs], "a long, b long").repartition(max(1, min(len(pairs), 4096)), "a", "b")
+    # lists by their first block, and near lists, are of the number of lists
+    held_lists, parts, firsts = (np.array(x, np.int64) for x in zip(*plan, strict=True))
+    reach = spark.sparkContext.broadcast((near, held_lists, parts, firsts))
+
+    def partners(batches):
+        near, held_lists, parts, firsts = reach.value
+        for batch in batches:
+            for a in batch.column(0).to_pylist():
+                own = held_lists[(firsts <= a) & (a < firsts + parts)]
+                met = np.flatnonzero(near[np.ix_(own, held_lists)].any(0))
+                found = np.unique(ragged(firsts[met], parts[met]))
+                found = found[found >= a]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), a)), pa.array(found)], ["a", "b"])
+
+    pairs = persist(spark.range(0, n_blocks, 1, max(1, min(n_blocks, 1000))).mapInArrow(partners, "a long, b long"), "pairs")
+    tiles = pairs.repartition(max(1, min(pairs.count(), 50_000)), "a", F.floor(F.col("b") / RUN)).sortWithinPartitions("a", "b")
 
     def work(batches):
         held: dict[int, _Block] = {}
@@ -263,6 +274,8 @@ def _links(spark, sound: DataFrame, width: int, t: float, lists: int | None, blo
                     if k not in held:
                         held = {x: y for x, y in held.items() if x in (a, b)} | {k: _Block(folder, k)}
                 left, right = held[a], held[b]
+                if not len(left.rows) or not len(right.rows):
+                    continue
                 i, j = _tile(left, right, shared.value, radius, t, [0, 0])
                 if not len(i):
                     continue
