@@ -2,9 +2,12 @@
 
 Every rule's regular expression is parsed on the driver and turned into a Boolean query of
 trigrams that each match must contain (ASCII letters lower-cased).  One scan lists, for each
-trigram of any query, the documents that hold it; the postings are intersected by document, a
-bit for each trigram, and give each document's candidate rules.  Candidates are verified with the
-regular expression itself; rules from which no mandatory trigram follows scan every document.
+trigram of any query, the documents that hold it (each alternative of a query keeps its few rarest
+trigrams there: a weaker query, so nothing is lost); the postings are intersected by document, a
+bit for each trigram, and give each document's candidate rules.  These rows of two numbers go to
+the documents, broadcast up to a stated count and by a shuffle beyond it.  Candidates are verified
+with the regular expression itself; rules from which no mandatory trigram follows scan every
+document.
 """
 
 from __future__ import annotations
@@ -16,6 +19,12 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .shared import persist
+
+#: Trigrams of an alternative that are looked up, and letters by how common they are: trigrams of rare ones come first.
+MOST_TRIGRAMS, COMMON = 2, "etaoinsrhldcumfpgwybvkxjqz"
+#: Candidates that are broadcast at most (16 bytes each); matches that are counted off one by one before a new start.
+MOST_BROADCAST, RUN = 2_000_000, 256
 #: More exact strings than this for a part of an expression are no longer listed.
 MOST_STRINGS = 64
 
@@ -140,6 +149,12 @@ def trigram_query(pattern: str) -> Query:
     return _of(parser.parse(pattern)).asked()
 
 
+def rarest(query: Query, most: int = MOST_TRIGRAMS) -> Query:
+    """The query with at most ``most`` trigrams in each alternative: those of the rarest characters."""
+    rank = lambda g: sum(COMMON.find(c) if c in COMMON else len(COMMON) for c in g)
+    return frozenset(frozenset(sorted(x, key=lambda g: (-rank(g), g))[:most]) for x in query)
+
+
 def scans_fully(rule: Rule) -> bool:
     return frozenset() in trigram_query(rule.pattern)
 
@@ -153,7 +168,7 @@ def trigram_postings(docs: DataFrame, trigrams: Sequence[str], *, id_column: str
 
 def candidate_rules(docs: DataFrame, rules: Sequence[Rule], *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, rules): a bit for each indexed rule whose trigram query the document's postings satisfy; only documents with some."""
-    asked = {k: trigram_query(r.pattern) for k, r in enumerate(rules)}
+    asked = {k: rarest(trigram_query(r.pattern)) for k, r in enumerate(rules)}
     asked = {k: q for k, q in asked.items() if frozenset() not in q}
     vocabulary = sorted({g for q in asked.values() for x in q for g in x})
     bit = {g: k for k, g in enumerate(vocabulary)}
@@ -178,21 +193,41 @@ def candidate_rules(docs: DataFrame, rules: Sequence[Rule], *, id_column: str =
     return sets.select(F.col("doc_id").alias("_doc"), bits.alias("_rules")).where("_rules != 0")
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once a row, also inside lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _before(rows: Column, value, join, zero: Column, kind: str) -> Column:
+    """For each of an array's rows, the values of all rows before it joined: in stretches of RUN, so that time grows in proportion to the rows."""
+    none = F.array().cast(f"array<{kind}>")
+    run = lambda items, at, step: F.aggregate(items, F.struct(at.alias("at"), none.alias("out")), lambda acc, x: F.struct(join(acc["at"], step(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+
+    def of_stretches(parts: Column) -> Column:
+        sums = F.transform(parts, lambda part: F.aggregate(part, zero, lambda acc, x: join(acc, value(x))))
+        return F.flatten(F.transform(F.arrays_zip(parts.alias("part"), run(sums, zero, lambda x: x).alias("at")), lambda z: run(z["part"], z["at"], value)))
+
+    def cut(own: Column) -> Column:
+        starts = F.when(F.size(own) > 0, F.sequence(F.lit(0), F.size(own) - 1, F.lit(RUN))).otherwise(F.array().cast("array<int>"))
+        return _let(F.transform(starts, lambda k: F.slice(own, k + 1, F.lit(RUN))), of_stretches)
+
+    return _let(rows, cut)
+
+
 def _spans(text: Column, rule: Rule) -> Column:
-    """array<struct<start, end, kind_no...>> of a rule's kept matches, in code points: what stands between matches gives their places."""
+    """array<struct<start, end>> of a rule's kept matches, in code points: what stands between matches gives their places."""
     between = F.transform(F.split(text, rule.pattern, -1), F.length)
     matches = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.length)
     tested = matches if rule.group == 0 else F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), F.length)
-    rows = F.arrays_zip(F.slice(between, 1, F.size(matches)).alias("gap"), matches.alias("size"), tested.alias("tested"))
-    run = F.aggregate(
-        rows,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["size"]).alias("at"),
-            F.when(x["tested"] >= rule.least, F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["size"]).alias("end"))))).otherwise(acc["spans"]).alias("spans"),
-        ),
-    )
-    return run["spans"]
+
+    def place(rows: Column) -> Column:
+        before = _before(rows, lambda x: x["gap"] + x["size"], lambda x, y: x + y, F.lit(0), "int")
+        placed = F.transform(F.arrays_zip(rows.alias("row"), before.alias("at")), lambda z: F.struct((z["at"] + z["row"]["gap"]).alias("start"), (z["at"] + z["row"]["gap"] + z["row"]["size"]).alias("end"), z["row"]["tested"].alias("tested")))
+        return F.filter(placed, lambda x: x["tested"] >= rule.least)
+
+    # the text before each match, the match, and what its length is tested by
+    rows = F.filter(F.arrays_zip(between.alias("gap"), matches.alias("size"), tested.alias("tested")), lambda x: x["size"].isNotNull())
+    return _let(rows, place)
 
 
 def _labelled(order: int, kind: str):
@@ -203,15 +238,17 @@ def find_secrets(docs: DataFrame, rules: Sequence[Rule] = BASE + MORE, *, id_col
     """doc_id, the columns of ``keep``, and _spans: array<struct<start, order, kind, end>> of whole texts, sorted; one row a document.
 
     Code points, end exclusive.  Null or empty texts have no span; null ids and repeated rows (also
-    of different text) are scanned each; an empty table gives no rows; ties of start stand in the
-    order of the rules.  Columns that are not asked for are not read, so clashing names do no harm.
+    of different text) are scanned each, texts of any length; an empty table gives no rows; ties of
+    start stand in the order of the rules.  Columns that are not asked for are not read, so clashing
+    names do no harm.  The candidates of the index are written down when this is called.
     """
     if len(rules) > 62:
         raise ValueError("at most 62 rules")
-    found = candidate_rules(docs.where(F.col(id_column).isNotNull()), rules, id_column=id_column, text_column=text_column)
+    found = persist(candidate_rules(docs.where(F.col(id_column).isNotNull()), rules, id_column=id_column, text_column=text_column), "candidates")
+    found = F.broadcast(found) if found.count() <= MOST_BROADCAST else found.hint("shuffle_hash")
     picked = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"), *[F.col(c).alias(f"_keep{k}") for k, c in enumerate(keep)])
     # rows without an id are in no posting: every rule is verified on them
-    joined = picked.join(found.hint("shuffle_hash"), F.col("_id") == F.col("_doc"), "left").withColumn("_asked", F.when(F.col("_id").isNull(), F.lit((1 << 62) - 1).cast("long")).otherwise(F.coalesce("_rules", F.lit(0).cast("long"))))
+    joined = picked.join(found, F.col("_id") == F.col("_doc"), "left").withColumn("_asked", F.when(F.col("_id").isNull(), F.lit((1 << 62) - 1).cast("long")).otherwise(F.coalesce("_rules", F.lit(0).cast("long"))))
     none = F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>")
     parts = []
     for k, rule in enumerate(rules):
@@ -230,17 +267,16 @@ def span_text(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column, mark: str = "<secret>") -> Column:
-    """The text with each stretch that spans cover replaced by ``mark``: overlapping and touching spans become one."""
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    run = F.aggregate(
-        spans,
-        state,
-        lambda acc, x: F.struct(
-            F.greatest(acc["at"], x["end"]).alias("at"),
-            F.when(x["end"] <= acc["at"], acc["out"])
-            .when((x["start"] <= acc["at"]) & (acc["at"] > 0), acc["out"])
-            .otherwise(F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark)))
-            .alias("out"),
-        ),
-    )
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(run["out"], F.substring(text, run["at"] + 1, F.length(text))))
+    """The text with each stretch that spans cover replaced by ``mark``: overlapping and touching spans become one.
+
+    Pieces are cut from four-byte code points, where a place is found at once.
+    """
+    reach = _before(spans, lambda x: x["end"], F.greatest, F.lit(0), "int")
+
+    def whole(wide: Column) -> Column:
+        cut = lambda at, end: F.decode(F.substring(wide, at * 4 + 1, (end - at) * 4), "UTF-32")
+        fresh = lambda z: (z["span"]["end"] > z["at"]) & ((z["span"]["start"] > z["at"]) | (z["at"] == 0))
+        pieces = F.transform(F.arrays_zip(spans.alias("span"), reach.alias("at")), lambda z: F.when(fresh(z), F.concat(cut(z["at"], z["span"]["start"]), F.lit(mark))).otherwise(""))
+        return F.concat(F.array_join(pieces, ""), cut(F.array_max(F.transform(spans, lambda x: x["end"])), F.length(text)))
+
+    return F.when(F.size(spans) == 0, text).otherwise(_let(F.encode(text, "UTF-32"), whole))
