@@ -8,6 +8,7 @@ phrase and counts its edits; its place is reported in words.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -45,6 +46,18 @@ NOTICES = (
     Notice("cc0", "creative commons zero", 2),
     Notice("cc0", "dedicated to the public domain", 3),
     Notice("isc", "permission to use copy modify and or distribute this software", 5),
+    Notice("lgpl", "lesser general public license", 2),
+    Notice("agpl", "affero general public license", 2),
+    Notice("epl", "eclipse public license", 2),
+    Notice("cddl", "common development and distribution license", 4),
+    Notice("bsl", "boost software license", 2),
+    Notice("artistic", "the artistic license", 2),
+    Notice("zlib", "freely subject to the following restrictions", 4),
+    Notice("unlicense", "free and unencumbered software released into the public domain", 5),
+    Notice("cc-by-sa", "creative commons attribution sharealike", 3),
+    Notice("cc-by-nc", "creative commons attribution noncommercial", 3),
+    Notice("no-warranty", "without warranty of any kind express or implied", 4),
+    Notice("proprietary", "unauthorized copying of this file", 3),
 )
 
 PLACES = "array<struct<label:string,start:long,end:long,edits:int,base:boolean>>"
@@ -99,10 +112,11 @@ class _Finder:
                     line = raw.find(b"\n", at, b)
                     b = line if line >= 0 else b
                     windows.append((a, b))
-            known = set(exact)
+            # exact places in order: their starts and ends both ascend
+            starts, ends = [x for x, _ in exact], [y for _, y in exact]
             merged: list[list[int]] = []
-            for a, b in sorted(set(windows)):
-                if merged and a <= merged[-1][1] and b"\n" not in raw[merged[-1][0] : b]:
+            for a, b in sorted(set(windows)):  # windows of two lines never touch
+                if merged and a <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], b)
                 else:
                     merged.append([a, b])
@@ -113,16 +127,19 @@ class _Finder:
                 while b < len(raw) and raw[b] not in b" \n":
                     b += 1
                 text = raw[a:b].decode("utf-8", "replace")
+                at, byte = 0, a  # a place in the text and its byte: matches come in order
                 for m in self.tests[k].finditer(text, overlapped=False):
                     if not m[0]:
                         continue
-                    x = a + len(text[: m.start()].encode("utf-8", "replace"))
+                    x = byte + len(text[at : m.start()].encode("utf-8", "replace"))
                     y = x + len(m[0].encode("utf-8", "replace"))
+                    at, byte = m.end(), y
                     while x < y and raw[x] == 32:  # an insertion at an end
                         x += 1
                     while y > x and raw[y - 1] == 32:
                         y -= 1
-                    if not any(x < q and p < y for p, q in known):
+                    near = bisect_right(ends, x)  # the first exact place that ends beyond x
+                    if near == len(ends) or starts[near] >= y:
                         found.append((k, x, y, sum(m.fuzzy_counts)))
         return found
 
@@ -132,7 +149,8 @@ def find_notices(docs: DataFrame, notices: Sequence[Notice] = NOTICES, *, id_col
 
     Places are sorted by start, end, label; base ones are exact.  An inexact place that overlaps an
     exact one of its phrase is not listed.  Null and empty texts have no words and no places; null
-    ids and repeated rows are kept; an empty table gives no rows; further columns are not read.
+    ids and repeated rows (also of different text) are kept, texts are whole, of any length; an
+    empty table gives no rows; further columns are not read.
     """
     picked = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("_text"))
     kind = picked.schema["doc_id"].dataType.simpleString()
@@ -168,6 +186,11 @@ def labels_of(places: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda p: p["label"]))), ",")
 
 
+def place_text(places: Column) -> Column:
+    """label:start:end:edits of each place, comma-joined."""
+    return F.array_join(F.transform(places, lambda p: F.concat_ws(":", p["label"], *[p[x].cast("string") for x in ("start", "end", "edits")])), ",")
+
+
 def certainty(places: Column) -> Column:
     """1 with an exact place, less by 1/8 for each edit of the best inexact one, 0 without a place."""
     best = F.array_min(F.transform(places, lambda p: p["edits"]))
