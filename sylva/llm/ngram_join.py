@@ -393,8 +393,9 @@ def jaccard_components(docs: DataFrame, *, size: int = 5, percent: int = 75, id_
         # what is still apart is compared in full
         crossing = _crossing(_mixed(own.select("long_list", "mark"), joined), classes, percent).distinct()
         joined = _more(joined, _verify(crossing, sets, percent))
-    named = sizes.join(joined.select(F.col("node").alias("mark"), F.col("component").alias("_component")), "mark", "left").select("doc_id", "n_shingles", "mark", F.coalesce("_component", "mark").alias("_component"))
-    least = named.where("_component IS NOT NULL").groupBy("_component").agg(F.min("doc_id").alias("component_id"))
+    # written down, so that the join on components is a plain one, of which Spark may split a large component's side
+    named = persist(sizes.join(joined.select(F.col("node").alias("mark"), F.col("component").alias("_component")), "mark", "left").select("doc_id", "n_shingles", "mark", F.coalesce("_component", "mark").alias("_component")), "named")
+    least = persist(named.where("_component IS NOT NULL").groupBy("_component").agg(F.min("doc_id").alias("component_id")), "least")
     return named.join(least, "_component", "left").select("doc_id", "n_shingles", F.when(F.col("mark").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
