@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .mixing import CELL_DOCS
+from .mixing import CELL_DOCS, POWER
 from .secrets import BASE, MORE, Rule
 
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -11,30 +11,35 @@ LOWERED = "translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefgh
 PARETO = f"""
 WITH docs AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(COALESCE(text, ''), '{SPACE}')) AS BIGINT) size,
-         (CAST(CAST('0x' || substr(md5('mix:' || COALESCE(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496 u FROM documents),
-sums AS (SELECT source, CAST(SUM(size) AS BIGINT) source_size, COUNT(*) n_docs FROM docs GROUP BY 1),
+         (CAST(CAST('0x' || substr(md5('mix:' || COALESCE(CAST(doc_id AS VARCHAR), md5(COALESCE(text, '')))), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496 u FROM documents),
+classed AS (SELECT *, length(bin(size)) - 1 c FROM docs),
+classes AS (SELECT source, c, CAST(SUM(size) AS BIGINT) words, COUNT(*) n FROM classed GROUP BY 1, 2),
+sums AS (SELECT source, CAST(SUM(words) AS BIGINT) source_size, CAST(SUM(n) AS BIGINT) n_docs FROM classes GROUP BY 1),
 weighed AS (SELECT *, CAST([1, 2, 3][1 + (ROW_NUMBER() OVER (ORDER BY source IS NULL, source COLLATE "C") - 1) % 3] AS DOUBLE) w FROM sums),
 priced AS (SELECT *, source_size * CAST(3 AS DOUBLE) / w stop, CAST(SUM(source_size) OVER () AS DOUBLE) total, SUM(w) OVER () all_w FROM weighed),
 levels AS (SELECT *, (total - COALESCE(SUM(source_size * CAST(3 AS DOUBLE)) OVER before, 0)) / (all_w - COALESCE(SUM(w) OVER before, 0)) level
   FROM priced WINDOW before AS (ORDER BY stop, source IS NULL, source COLLATE "C" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 targets AS (SELECT *, LEAST(source_size * CAST(3 AS DOUBLE), COALESCE((SELECT MAX(level) FROM levels WHERE level <= stop) * w, source_size * CAST(3 AS DOUBLE))) target FROM levels),
-rated AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE target / source_size END rate, GREATEST(1, CEIL(n_docs / CAST({CELL_DOCS} AS DOUBLE))) cells FROM targets),
-part AS (SELECT *, LEAST(GREATEST(rate - FLOOR(rate), 1e-9), 1 - 1e-9) f FROM rated),
-due AS (SELECT d.*, p.source_size, p.target, p.cells, p.f / (1 - p.f) odds, LEAST(p.rate, 3) expected FROM docs d JOIN part p ON d.source IS NOT DISTINCT FROM p.source),
+measured AS (SELECT k.source, c, words, POW(CAST(2 AS DOUBLE), c * CAST({POWER} AS DOUBLE)) m, target FROM classes k JOIN targets t ON k.source IS NOT DISTINCT FROM t.source),
+steps AS (SELECT *, 3 / m stop, COALESCE(SUM(words * CAST(3 AS DOUBLE)) OVER before, 0) stopped, SUM(words * m) OVER (PARTITION BY source) - COALESCE(SUM(words * m) OVER before, 0) rest
+  FROM measured WINDOW before AS (PARTITION BY source ORDER BY 3 / m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+tried AS (SELECT *, (target - stopped) / NULLIF(rest, 0) rate FROM steps),
+rates AS (SELECT source, c, LEAST(COALESCE(MAX(CASE WHEN rate <= stop THEN rate END) OVER (PARTITION BY source), MAX(stop) OVER (PARTITION BY source)) * m, 3) expected FROM tried),
+due AS (SELECT d.*, t.source_size, t.target, GREATEST(1, CEIL(t.n_docs / CAST({CELL_DOCS} AS DOUBLE))) cells, r.expected FROM classed d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source JOIN rates r ON d.source IS NOT DISTINCT FROM r.source AND d.c = r.c),
 ranked AS (SELECT *, CASE WHEN size > 0 THEN CAST(FLOOR(expected) AS BIGINT) ELSE 0 END sure FROM due),
 q AS (SELECT *, (u / (1 - u)) / (LEAST(GREATEST(expected - sure, 1e-9), 1 - 1e-9) / (1 - LEAST(GREATEST(expected - sure, 1e-9), 1 - 1e-9))) q, size > 0 AND sure < 3 open FROM ranked),
-celled AS (SELECT *, LEAST(FLOOR(q * odds / (1 + q * odds) * cells), cells - 1) cell FROM q),
+celled AS (SELECT *, LEAST(FLOOR(q / (1 + q) * cells), cells - 1) cell FROM q),
 by_cell AS (SELECT source, cell, SUM(sure * size) sure_words, SUM(CASE WHEN open THEN size ELSE 0 END) words, MAX(target) target FROM celled GROUP BY 1, 2),
 placed AS (SELECT source, cell, words, target - SUM(sure_words) OVER (PARTITION BY source) need, SUM(words) OVER (PARTITION BY source ORDER BY cell) - words before FROM by_cell),
 known AS (SELECT c.*, p.words, p.need, p.before FROM celled c JOIN placed p ON c.source IS NOT DISTINCT FROM p.source AND c.cell = p.cell),
-split AS (SELECT *, ROW_NUMBER() OVER o k, before + SUM(size) OVER o run FROM known WHERE open AND NOT (before + words <= need OR before >= need)
+split AS (SELECT *, ROW_NUMBER() OVER o k, before + SUM(size) OVER o run FROM known WHERE open AND NOT (before + words <= need OR before + 0.5 >= need)
   WINDOW o AS (PARTITION BY source, cell ORDER BY q, doc_id, size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 gap AS (SELECT *, need - COALESCE(MAX(CASE WHEN run <= need THEN run END) OVER (PARTITION BY source, cell), before) gap FROM split),
 last AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY source, cell ORDER BY CASE WHEN run > need AND ABS(gap - size) < gap THEN 0 ELSE 1 END, ABS(gap - size), k) pick FROM gap)
 SELECT doc_id, size, source_size, target, (sure + CASE WHEN run <= need OR (pick = 1 AND run > need AND ABS(gap - size) < gap) THEN 1 ELSE 0 END) * size taken FROM last
 UNION ALL
-SELECT doc_id, size, source_size, target, (sure + CASE WHEN open AND before + words <= need AND before < need THEN 1 ELSE 0 END) * size FROM known
-WHERE NOT open OR before + words <= need OR before >= need
+SELECT doc_id, size, source_size, target, (sure + CASE WHEN open AND before + words <= need AND before + 0.5 < need THEN 1 ELSE 0 END) * size FROM known
+WHERE NOT open OR before + words <= need OR before + 0.5 >= need
 """
 
 DEDUP = """
@@ -47,10 +52,10 @@ FROM v LEFT JOIN (SELECT a, COUNT(*) n FROM links GROUP BY a) x ON x.a = vec_id
 """
 
 TOP_K = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: FLOOR(64 * CAST(x AS DOUBLE))) e FROM embeddings
+WITH v AS (SELECT ROW_NUMBER() OVER () r, vec_id, list_transform(embedding, lambda x: FLOOR(64 * CAST(x AS DOUBLE))) e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
-SELECT query_id, CAST(k AS INTEGER) rank, vec_id, score FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) k FROM s) WHERE k <= 20
+s AS (SELECT q.r, q.vec_id query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(k AS INTEGER) rank, vec_id, score FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY r ORDER BY score DESC, vec_id) k FROM s) WHERE k <= 20
 """
 
 JACCARD = f"""

@@ -47,7 +47,7 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices of every document, exact and with few edits."""
-    from .licenses import certainty, find_notices, labels_of
+    from .licenses import certainty, find_notices, labels_of, place_text
 
     found = find_notices(table(spark, sf_dir, "documents"))
     base = F.filter("places", lambda p: p["base"])
@@ -61,6 +61,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         labels_of(base).alias("base_labels"),
         labels_of(F.col("places")).alias("labels"),
         certainty(F.col("places")).alias("score"),
+        place_text(F.col("places")).alias("spans"),
     )
 
 

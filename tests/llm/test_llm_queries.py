@@ -30,7 +30,7 @@ def test_against_sql(spark, duck, sf_dir, name):
     assert [tuple(round(v, 6) if isinstance(v, float) and not math.isnan(v) else v for v in r) for r in got] == [tuple(round(v, 6) if isinstance(v, float) and not math.isnan(v) else v for v in r) for r in want]
 
 
-@pytest.mark.parametrize(("name", "columns"), [("op2_token_counts", "doc_id n_tokens"), ("op3_token_codes", "doc_id start n_tokens ids_crc32"), ("op5_license_scan", "doc_id n_words n_base first_word last_word base_labels labels score"), ("op8_toxicity", "doc_id held_out score predicted"), ("op9_best_fit_packing", "doc_id piece start length ids_crc32 sequence_id offset")])
+@pytest.mark.parametrize(("name", "columns"), [("op2_token_counts", "doc_id n_tokens"), ("op3_token_codes", "doc_id start n_tokens ids_crc32"), ("op5_license_scan", "doc_id n_words n_base first_word last_word base_labels labels score spans"), ("op8_toxicity", "doc_id held_out score predicted"), ("op9_best_fit_packing", "doc_id piece start length ids_crc32 sequence_id offset")])
 def test_columns(spark, sf_dir, name, columns):
     from sylva.llm.queries import QUERIES
 

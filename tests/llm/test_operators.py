@@ -197,9 +197,29 @@ def test_mixing(spark, docs, none, rows):
     assert mix_sources(none).count() == 0
     even = spark.createDataFrame([(k, f"s{k % 3}", 10 + k % 5) for k in range(3000)], "doc_id long, source string, n int").withColumn("text", F.lit(None).cast("string"))
     taken = defaultdict(int)
-    for r in mix_sources(even, size=F.col("n"), measure=F.col("n").cast("double")).collect():
-        taken[r.source, r.target] += r.taken
-    assert all(abs(v - t) <= 10 for (_, t), v in taken.items())
+    for power in (0.0, 0.5, 2.0):
+        taken.clear()
+        for r in mix_sources(even, size=F.col("n"), power=power).collect():
+            taken[r.source, r.target] += r.taken
+        assert all(abs(v - t) <= 10 for (_, t), v in taken.items())
+
+
+def test_longer_documents_are_due_more_copies(spark):
+    from sylva.llm.mixing import mix_sources
+
+    rows = [(k, f"s{k % 2}", 4 ** (k % 5)) for k in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n int").withColumn("text", F.lit(None).cast("string"))
+    copies, targets, words = defaultdict(list), {}, defaultdict(int)
+    for r in mix_sources(df, size=F.col("n")).collect():
+        copies[r.source, r.size].append(r.copies)
+        targets[r.source] = r.target
+        words[r.source] += r.taken
+    for source, target in targets.items():
+        mean = [sum(copies[source, 4**k]) / len(copies[source, 4**k]) for k in range(5)]
+        assert all(a < b or b > 2.9 for a, b in zip(mean, mean[1:], strict=False)) and abs(words[source] - target) <= 256
+        rates = [m / 2**k for k, m in enumerate(mean) if m < 2.9]  # in proportion to the root of the size class
+        assert max(rates) < 1.35 * min(rates) + 0.02
+    assert all(0 <= c <= 3 for own in copies.values() for c in own)
 
 
 def test_targets_stop(spark):
@@ -330,6 +350,65 @@ def test_fuzzy_notices(spark):
     assert got[5] == [("reserved", 0, 2, 1, False)] and got[6] == []
 
 
+def test_fuzzy_places_against_all_word_spans(spark):
+    from sylva.llm.licenses import NOTICES, find_notices
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    draw, tested = random.Random(11), [n for n in NOTICES if n.edits and len(n.phrase) < 40]
+    texts = []
+    for k in range(60):
+        words = [draw.choice(["a", "of", "general", "public", "licence", "été", "rights", "free"]) for _ in range(draw.randint(0, 8))]
+        for n in draw.sample(tested, 2):
+            own = list(n.phrase)
+            for _ in range(draw.randint(0, n.edits + 2)):
+                at = draw.randrange(len(own))
+                own[at] = draw.choice(["", own[at] + "x", "é", own[at], "q"])
+            words.insert(draw.randint(0, len(words)), "".join(own))
+        texts.append((k, " ".join(words)))
+    got = {r.doc_id: r.places for r in find_notices(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for k, text in texts:
+        words = [w.decode() for w in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(text).encode())]
+        for p in got[k]:  # within the bound
+            phrases = [n for n in NOTICES if n.label == p.label]
+            assert any(distance(" ".join(words[p.start : p.end]), n.phrase) <= p.edits <= n.edits for n in phrases)
+        for n in tested:  # no span within the bound is missed
+            size = len(n.phrase.split())
+            for a in range(len(words)):
+                for b in range(a + 1, min(len(words), a + size + 2) + 1):
+                    if distance(" ".join(words[a:b]), n.phrase) <= n.edits:
+                        assert any(p.label == n.label and p.start < b and a < p.end for p in got[k]), (text, n, words[a:b])
+
+
+def test_time_of_many_notices():
+    from time import perf_counter
+
+    from sylva.llm.licenses import NOTICES, _Finder
+
+    finder, seconds = _Finder(NOTICES), []
+    for n in (1000, 4000):
+        raw = b"general public license all rights reserved " * n
+        began = perf_counter()
+        assert len([p for p in finder.places(raw) if p[3] == 0]) == 2 * n
+        seconds.append(perf_counter() - began)
+    assert seconds[1] < 10 * seconds[0] + 0.5
+
+
+def test_many_secrets_in_one_text(spark):
+    from sylva.llm.secrets import find_secrets, redact
+
+    n = 20_000
+    text = "é " + "token=abcdef1 " * n + "end"
+    row = find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"), keep=["text"]).select(redact(F.col("text"), F.col("_spans")).alias("clean"), F.size("_spans").alias("n"), F.col("_spans")[n - 1]["start"].alias("last")).first()
+    assert row.n == n and row.clean == "é " + "<secret> " * n + "end" and row.last == 2 + 14 * (n - 1)
+
+
 VECTORS = "vec_id long, embedding array<float>, row long, v int, list int"
 
 
@@ -370,18 +449,33 @@ def test_near_vectors(spark, vectors):
 def test_top_k(spark, vectors):
     from sylva.llm.topk import exact_top_k
 
-    rows, df = vectors
+    rows, _ = vectors
+    rows = [*rows, (20, rows[33][1], 1, 1, 1), (20, rows[20][1], 1, 1, 1), (40, [3.0, -1.5], 1, 1, 1), (60, [], 1, 1, 1), (80, [float(2**40)] * 12, 1, 1, 1)]
+    df = spark.createDataFrame(rows, VECTORS).repartition(4)
     own = [(k, [int(np.floor(64 * float(np.float32(x)))) for x in e]) for k, e, *_ in rows if k is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)]
     want = []
-    for q, v in own:
+    for i, (q, v) in enumerate(own):
         if q % 20:
             continue
-        best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), k) for k, w in own if k != q and len(w) == len(v))[:7]
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), k) for j, (k, w) in enumerate(own) if j != i and len(w) == len(v))[:7]
         want += [(q, n + 1, k, -s) for n, (s, k) in enumerate(best)]
-    for shard, block in ((4096, 512), (50, 4)):
-        got = exact_top_k(df, F.col("vec_id") % 20 == 0, 7, shard=shard, block=block).collect()
+    for shard, block, tiles, fan in ((4096, 512, 4, 16), (50, 4, 3, 2)):
+        got = exact_top_k(df, F.col("vec_id") % 20 == 0, 7, shard=shard, block=block, tiles_a_task=tiles, fan=fan).collect()
         assert sorted(map(tuple, got)) == sorted(want)
     assert exact_top_k(spark.createDataFrame([], VECTORS), F.col("vec_id") % 20 == 0, 7).count() == 0
+    assert exact_top_k(df, F.lit(False), 7).count() == 0
+
+
+def test_partial_selection_with_ties():
+    from sylva.llm.topk import select
+
+    draw = np.random.default_rng(3)
+    for n, m, top in ((4, 30, 3), (3, 5, 20), (2, 1, 1), (5, 40, 2**61)):
+        scores, ids, own = draw.integers(-top, top, (n, m)), draw.integers(0, 9, m), draw.random((n, m)) < 0.2
+        got = select(scores, ids, own, 6)
+        for i in range(n):
+            want = sorted((-int(scores[i, j]), int(ids[j])) for j in range(m) if not own[i, j])[:6]
+            assert [(-int(s), int(k)) for k, s, e in zip(got.ids[i], got.scores[i], got.empty[i], strict=True) if not e] == want
 
 
 def test_toxicity(spark, docs, none):
