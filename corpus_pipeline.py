@@ -34,13 +34,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a 5-gram Jaccard similarity of 0.75 the one with the least id; all without words or id stay.
 
-    Rows that repeat an id with the same text stay once.
+    Rows are told apart by a number, not by their id: of rows that repeat an id with the same text
+    one stays, and one whose text is linked with no other stays whatever other rows of its id do.
     """
     # a number for each row, written down, so that rows of one id are told apart
     rows = persist(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
     groups = jaccard_components(rows, id_column="_row").where("n_shingles > 0").select(F.col("doc_id").alias("_row"), "component_id")
     named = persist(rows.where("doc_id IS NOT NULL").select("_row", "doc_id").join(groups, "_row"), "grouped")
-    best = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("best"))
+    best = persist(named.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("best")), "best")
     gone = named.join(best, "component_id").where(F.col("_row") != F.col("best._row")).select("_row")
     return rows.join(gone, "_row", "left_anti").select(*COLUMNS)
 
@@ -64,7 +65,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """Sequences of at most 2048 tokens: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Rows that repeat an id (the mix copies documents) are packed each; null texts are empty ones;
+    null ids are kept; an empty table gives no rows.
+    """
     return pack_documents(docs, vocabulary(), 0, 2048)
 
 
