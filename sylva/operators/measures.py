@@ -114,6 +114,72 @@ def rarefaction(placements: DataFrame, edges: DataFrame, k_max: int, k_min: int
     return each.groupBy("sample", "k").agg(F.sum(F.when(inner, u).otherwise(0.0)).alias("unrooted"), F.sum((1 - missed(d)) * F.col("len")).alias("rooted"), F.sum(F.when(F.col("n") > 1, quad).otherwise(0.0)).alias("quadratic"))
 
 
+def rarefaction_variance(placements: DataFrame, edges: DataFrame, k_max: int, k_min: int = 2) -> DataFrame:
+    """Variance of the PD of k of a sample's queries: (sample, k, unrooted, rooted), by best placements.
+
+    The sum over pairs of stretches of the covariance that both are in the spanned tree, times
+    their lengths.  A covariance depends on the numbers d of queries below either stretch, and on
+    whether one lies above the other.  So all pairs are first taken to lie apart, from the
+    lengths summed by d; pairs of which one is above the other are found along the paths of the
+    edges, summed by their two numbers, and put right.  The root's own stretch does not count.
+    """
+    best = P.ranked(placements).where("rank_in_pq = 1")
+    totals = best.groupBy("sample").agg(F.count("*").alias("n"))
+    units = best.select("sample", "pq_id", "loc", F.col("distal_bl").alias("pos"), F.lit(1.0).alias("m"))
+    top = edges.where("parent_id IS NULL").select(F.col("id").alias("_root"))
+    prof = P.profile(units, edges).withColumn("d", F.round("r").cast("long")).join(F.broadcast(top), F.col("edge") == F.col("_root"), "left_anti")
+    parts = prof.groupBy("sample", "edge", "d").agg(F.sum("len").alias("len")).where("len > 0 AND d > 0")
+    apart = parts.groupBy("sample", "d").agg(F.sum("len").alias("len"))
+    pairs = apart.select("sample", F.col("d").alias("d1"), F.col("len").alias("l1")).join(apart.select("sample", F.col("d").alias("d2"), F.col("len").alias("l2")), "sample").select("sample", "d1", "d2", (F.col("l1") * F.col("l2")).alias("v"), F.lit("apart").alias("kind"))
+    same = parts.groupBy("sample", "d").agg(F.sum(F.col("len") * F.col("len")).alias("v")).select("sample", F.col("d").alias("d1"), F.col("d").alias("d2"), "v", F.lit("same").alias("kind"))
+    # d1 above d2: on an edge above, or further up the same edge
+    up = parts.select("sample", F.col("edge").alias("id"), F.col("d").alias("d2"), F.col("len").alias("l2")).join(edges.select("id", F.explode("path").alias("edge")), "id")
+    over = up.join(parts.select("sample", "edge", F.col("d").alias("d1"), F.col("len").alias("l1")), ["sample", "edge"]).where("edge <> id OR d1 > d2")
+    serial = over.groupBy("sample", "d1", "d2").agg(F.sum(F.col("l1") * F.col("l2")).alias("v")).withColumn("kind", F.lit("serial"))
+    each = pairs.unionByName(same).unionByName(serial).join(F.broadcast(totals), "sample").where(F.col("n") >= k_min).withColumn("k", F.explode(F.sequence(F.lit(k_min), F.least(F.lit(k_max), F.col("n")).cast("int"))))
+    n, d1, d2 = F.col("n"), F.col("d1"), F.col("d2")
+
+    def missed(d: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(0), F.col("k") - 1), F.lit(1.0), lambda acc, i: acc * F.greatest(n - d - i, F.lit(0)) / (n - i))
+
+    for name, x in (("q1", d1), ("q2", d2), ("p1", n - d1), ("p2", n - d2), ("both", d1 + d2), ("across", n - d1 + d2)):
+        each = each.withColumn(name, missed(x))
+    q1, q2, p1, p2, both, across = (F.col(x) for x in ("q1", "q2", "p1", "p2", "both", "across"))
+    beside = both - q1 * q2 + (1 - q1) * p2 + (1 - q2) * p1 - p1 * p2
+    above = across - p1 * q2 + (1 - p1) * p2 + (1 - q2) * q1 - q1 * p2
+    alone = (1 - q1 - p1) - (1 - q1 - p1) * (1 - q1 - p1)
+    rooted_beside, rooted_above, rooted_alone = both - q1 * q2, q1 - q1 * q2, q1 - q1 * q1
+    put_right = lambda pair, serial, one: F.when(F.col("kind") == "apart", pair).when(F.col("kind") == "serial", 2 * serial - 2 * pair).otherwise(one - pair)
+    return each.groupBy("sample", "k").agg(F.sum(F.col("v") * put_right(beside, above, alone)).alias("unrooted"), F.sum(F.col("v") * put_right(rooted_beside, rooted_above, rooted_alone)).alias("rooted"))
+
+
+def representative_edges(features: DataFrame, edges: DataFrame, distance: float) -> DataFrame:
+    """(edge): edges that stand for others near them, by the Euclidean distance of their values over the samples.
+
+    From the leaves up, an edge's candidates are those of its children; the ones farther than
+    ``distance`` from it are kept as they are, the others go on, or the edge itself if there are none.
+    The work is the tree's, on a vector of the samples for each edge.
+    """
+    wide = features.groupBy("edge").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample", "x"))), lambda v: v["x"]).alias("v"))
+    rows = edges.select("id", "parent_id").join(wide, F.col("id") == F.col("edge")).orderBy("id").collect()  # a row an edge
+    value = {r.id: r.v for r in rows}
+    waiting: dict[int, set[int]] = {r.id: set() for r in rows}
+    kept: set[int] = set()
+    inner = {r.parent_id for r in rows}
+    for r in rows:  # children before their parents
+        if r.id in inner:
+            near = {j for j in waiting[r.id] if sum((a - b) ** 2 for a, b in zip(value[r.id], value[j], strict=True)) ** 0.5 < distance}
+            kept |= waiting[r.id] - near
+            on = near or {r.id}
+        else:
+            on = {r.id}
+        if r.parent_id is None:
+            kept |= on
+        else:
+            waiting[r.parent_id] |= on
+    return edges.sparkSession.createDataFrame([(k,) for k in sorted(kept)], "edge int")
+
+
 def edge_widths(units: DataFrame, edges: DataFrame, total_width: float = 300.0, factor: float = 0.0) -> DataFrame:
     """(sample, edge, m, width): mass of each edge and its drawn width; the total absolute mass has ``total_width`` unless a factor is given."""
     per = P.by_edge(units)

@@ -6,6 +6,8 @@ coarsest), ``lineage`` (tax_id, anc_tax_id, rank, rank_order), a row for each an
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 #: What a share may miss of a cutoff by rounding.
@@ -234,26 +236,114 @@ def nbc_classify(query_words: DataFrame, reference_words: DataFrame, seq_taxa: D
     return scored.groupBy("name").agg(F.max_by(F.struct("tax_id", "score"), F.struct("score", "tax_id")).alias("x")).select("name", "x.tax_id", "x.score")
 
 
-def nbc_bootstrap(query_words: DataFrame, reference_words: DataFrame, seq_taxa: DataFrame, lines: DataFrame, n: int = 100, seed: int = 1) -> DataFrame:
+def nbc_bootstrap(query_words: DataFrame, reference_words: DataFrame, seq_taxa: DataFrame, lines: DataFrame, n: int = 100, seed: int = 1, length: int = 8) -> DataFrame:
     """(name, rank, tax_id, bootstrap): share of n replicates whose best taxon lies at or below each taxon.
 
-    A replicate draws every word a Poisson number of times, by a hash of seed, replicate, name and
-    word; a name whose words a replicate misses altogether does not count there.
+    A replicate draws columns, not words of a sequence: every word of length ``length`` a Poisson
+    number of times of mean 1 / length, by a hash of seed, replicate and word, the same for all
+    sequences.  It counts for a sequence only if the words that it holds there come within 15 %
+    of its number of words over the length; of 5 n replicates the first n that count are taken.
     """
-    u = (F.pmod(F.xxhash64(F.lit(seed), "_b", "name", "word"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    total, term, copies = 0.0, 0.36787944117144233, F.lit(0)
+    u = (F.pmod(F.xxhash64(F.lit(seed), "_b", "word"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    total, term, copies = 0.0, math.exp(-1.0 / length), F.lit(0)
     for k in range(8):
         total += term
         copies = copies + F.when(u > total, 1).otherwise(0)
-        term /= k + 1
-    drawn = query_words.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("_c", copies).where("_c > 0")
-    each = drawn.select(F.concat_ws("\t", "name", F.col("_b").cast("string")).alias("name"), "word", (F.col("n") * F.col("_c")).alias("n"))
+        term /= (k + 1) * length
+    whole = query_words.groupBy("name").agg(F.floor(F.sum("n") / length).alias("_want"))
+    drawn = query_words.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(5 * n)))).withColumn("_c", copies).where("_c > 0").withColumn("n", F.col("n") * F.col("_c"))
+    held = drawn.groupBy("name", "_b").agg(F.sum("n").alias("_held")).join(whole, "name").where(F.abs(F.col("_held") - F.col("_want")) <= F.floor(F.col("_want") * 15 / 100))
+    first = held.withColumn("_k", F.row_number().over(W.partitionBy("name").orderBy("_b"))).where(F.col("_k") <= n).select("name", "_b")
+    each = drawn.join(first, ["name", "_b"], "left_semi").select(F.concat_ws("\t", "name", F.col("_b").cast("string")).alias("name"), "word", "n")
     won = nbc_classify(each, reference_words, seq_taxa).select(F.split("name", "\t")[0].alias("name"), "tax_id")
     whole = won.groupBy("name").agg(F.count("*").alias("_all"))
     votes = won.join(lines, "tax_id").groupBy("name", "rank", F.col("anc_tax_id").alias("_a")).agg(F.count("*").alias("_k"))
     return votes.join(whole, "name").select("name", "rank", F.col("_a").alias("tax_id"), (F.col("_k") / F.col("_all")).alias("bootstrap"))
 
 
+def pack_words(word_counts: DataFrame) -> DataFrame:
+    """(name, code, n): words as numbers of two bits a base, A, C, G, T from 0."""
+    code = F.aggregate(F.split("word", ""), F.lit(0).cast("long"), lambda acc, c: acc * 4 + F.instr(F.lit("ACGT"), c) - 1)
+    return word_counts.select("name", code.alias("code"), "n")
+
+
+def auto_rank(seq_taxa: DataFrame, lines: DataFrame, percent: int = 80) -> str:
+    """The most specific rank that more than ``percent`` of the sequences (whole percents) have a taxon of; ValueError if there is none."""
+    n_all = seq_taxa.select("name").distinct().count()
+    have = seq_taxa.join(lines, "tax_id").groupBy("rank", "rank_order").agg(F.countDistinct("name").alias("k"))
+    found = have.where(F.floor(F.col("k") * 100 / n_all) > percent).orderBy(F.desc("rank_order")).select("rank").first()  # a row a rank
+    if found is None:
+        raise ValueError("no rank is common enough")
+    return found[0]
+
+
+def rank_labels(seq_taxa: DataFrame, lines: DataFrame, rank: str = "auto") -> DataFrame:
+    """(name, tax_id) to train on: each sequence's taxon of one rank, of the automatic one, or of every rank ("all")."""
+    own = seq_taxa.join(lines, "tax_id")
+    if rank != "all":
+        own = own.where(F.col("rank") == (auto_rank(seq_taxa, lines) if rank == "auto" else rank))
+    return own.select("name", F.col("anc_tax_id").alias("tax_id")).distinct()
+
+
+def on_best_lineage(votes: DataFrame, best: DataFrame, lines: DataFrame) -> DataFrame:
+    """Bootstrap votes (name, rank, tax_id, ...) on the lineage of the taxon that the sequence's words (each once) name: (name, tax_id) in ``best``."""
+    own = best.select("name", "tax_id").join(lines.select("tax_id", "anc_tax_id"), "tax_id").select("name", F.col("anc_tax_id").alias("tax_id"))
+    return votes.join(own, ["name", "tax_id"], "left_semi")
+
+
+def hybrid2f(placed: DataFrame, bayes: DataFrame, lines: DataFrame) -> DataFrame:
+    """(name, tax_id, source): always the Bayesian taxon, of names that both inputs have."""
+    return bayes.join(placed.select("name").distinct(), "name", "left_semi").select("name", "tax_id", F.lit("nbc").alias("source"))
+
+
+def unmatched(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(name, missing): names that only one of two classifiers has, which hybrids drop: for a warning or a count."""
+    both = left.select(F.col("name").alias("l")).distinct().join(right.select(F.col("name").alias("r")).distinct(), F.col("l") == F.col("r"), "full_outer")
+    return both.where("l IS NULL OR r IS NULL").select(F.coalesce("l", "r").alias("name"), F.when(F.col("l").isNull(), "left").otherwise("right").alias("missing"))
+
+
+# -- the taxonomy as a tree
+
+
+def tax_tree(taxa: DataFrame, lines: DataFrame, tips: DataFrame, lengths: str = "unit") -> DataFrame:
+    """``edges`` of the taxa on the lineages of ``tips`` (tax_id), labelled by tax_id; branches are 1 long, or 1 / (rank + 1) for "inverse".
+
+    Taxa are the taxonomy's, so the tree is made on the driver.  More than one root is an error.
+    """
+    from ..plans.tree import Node, edges_frame, number
+
+    if lengths not in ("unit", "inverse"):
+        raise ValueError(f"lengths are unit or inverse, not {lengths}")
+    used = tips.select("tax_id").distinct().join(lines.select("tax_id", "anc_tax_id", "rank_order"), "tax_id").select(F.col("anc_tax_id").alias("tax_id"), "rank_order").distinct()
+    rows = used.join(taxa.select("tax_id", "parent_id"), "tax_id").orderBy("tax_id").collect()  # a row a taxon
+    nodes = {r.tax_id: Node(r.tax_id, 1.0 if lengths == "unit" else 1.0 / (r.rank_order + 1)) for r in rows}
+    roots = [r.tax_id for r in rows if r.parent_id not in nodes or r.parent_id == r.tax_id]
+    if len(roots) != 1:
+        raise ValueError(f"the taxonomy has {len(roots)} roots: {roots[:3]}")
+    for r in rows:
+        if r.tax_id != roots[0]:
+            nodes[r.parent_id].children.append(nodes[r.tax_id])
+    return edges_frame(taxa.sparkSession, number(nodes[roots[0]]))
+
+
+def tax_mass(placements: DataFrame, tree: DataFrame, *, point: bool = False, weight: str = "ml_ratio") -> DataFrame:
+    """Mass units on a taxonomic tree: a placement's weight at its taxon, or at the root without one, over the sample's sum of weights.
+
+    Queries weigh by the sum of their weights, not alike.  A taxon that the tree lacks is an error.
+    """
+    from ..plans.profile import ranked
+
+    own = ranked(placements, weight)
+    if point:
+        own = own.where("rank_in_pq = 1")
+    at = tree.select(F.col("label").alias("_t"), F.col("id").alias("_id"))
+    root = tree.where("parent_id IS NULL").select(F.col("id").alias("_root"))
+    placed = own.drop("loc").join(F.broadcast(root)).join(at, F.col("classification") == F.col("_t"), "left")  # one row; a row a taxon
+    loc = F.when(F.col("classification").isNull(), F.col("_root")).when(F.col("_id").isNotNull(), F.col("_id")).otherwise(F.raise_error(F.concat(F.lit("not in the tree: "), F.col("classification"))).cast("int"))
+    totals = own.groupBy("sample").agg(F.sum(weight).alias("_total")).withColumnRenamed("sample", "_sample")
+    return placed.join(totals, F.col("sample") == F.col("_sample")).select("sample", "pq_id", loc.alias("loc"), F.lit(0.0).alias("pos"), F.lit(0.0).alias("pend"), "rank_in_pq", (F.col(weight) / F.col("_total")).alias("m"))
+
+
 def infer_taxa(placements: DataFrame, leaf_taxa: DataFrame, edges: DataFrame, lines: DataFrame, keep: float = 0.01) -> DataFrame:
     """(name, tax_id): for untagged sequences the deepest common taxon of the tagged leaves below their placements.
 
