@@ -1,8 +1,8 @@
 """Best-fit packing of token pieces into sequences of fixed length, as a tree of residual rounds.
 
 Round 0: the pieces are dealt into groups of bounded size by a hash; each group packs its own by
-best fit, longest first.  Bins that no open bin of any group fits into are closed; the underfull
-ones become items of the next round, in which neighbouring groups merge until a group again holds
+best fit, longest first.  Nearly full bins (a room of 1/1024 at most), and bins that no open bin of
+any group fits into, are closed; the underfull ones become items of the next round, in which neighbouring groups merge until a group again holds
 its bounded number of bins (or are dealt anew, if they cannot be fewer).  Rounds go on until one
 group is left, or a round closes no bin and saves none; then what is open is closed as it is.
 """
@@ -19,6 +19,8 @@ from .shared import forget, persist_at
 
 #: Items (pieces, later bins) that one group packs at most, about (bounds a task's memory).
 GROUP_ROWS = 60_000
+#: A bin is nearly full, and closed, if its room is at most this part of the capacity (2 of 2048 tokens).
+NEARLY = 1024
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -97,7 +99,7 @@ def pack(pieces: DataFrame, capacity: int, *, group_rows: int = GROUP_ROWS) -> D
     open_rows, round_no, before = keyed, 0, None
     while True:
         final = groups == 1
-        result, path_now = persist_at(_round(open_rows, capacity, int(low), round_no, final, schema), f"pack{round_no}")
+        result, path_now = persist_at(_round(open_rows, capacity, max(int(low), capacity // NEARLY + 1), round_no, final, schema), f"pack{round_no}")
         closed.append(result.where("_closed"))
         if final:
             break
@@ -128,7 +130,7 @@ def pack(pieces: DataFrame, capacity: int, *, group_rows: int = GROUP_ROWS) -> D
 
 
 def _round(rows: DataFrame, capacity: int, least: int, round_no: int, final: bool, schema) -> DataFrame:
-    """Each group packs its items once: pieces in round 0, then bins with all their members."""
+    """Each group packs its items once: pieces in round 0, then bins with all their members; bins with less room than ``least`` are closed."""
     fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in schema) + ", _closed boolean"
 
     def one(table: pa.Table) -> pa.Table:
@@ -156,5 +158,9 @@ def _round(rows: DataFrame, capacity: int, least: int, round_no: int, final: boo
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, *, id_column: str = "doc_id", text_column: str = "text", group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Encode, cut and pack whole documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """Encode, cut and pack whole documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Null and empty texts are one piece of the end id; texts may be of any length; null ids,
+    repeated ids and rows are packed each; an empty table gives no rows.
+    """
     return pack(cut_pieces(docs, vocabulary, end_id, capacity, id_column=id_column, text_column=text_column), capacity, group_rows=group_rows)
