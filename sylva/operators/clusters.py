@@ -291,6 +291,28 @@ def covariance(features: DataFrame, epsilon: float = 1e-5, scale: bool = False)
     return a.join(b, "sample").where("edge1 <= edge2").groupBy("edge1", "edge2").agg((F.sum(F.col("x1") * F.col("x2")) / (F.max("_n") - 1)).alias("cov"))
 
 
+def metric_covariance(features: DataFrame, edges: DataFrame, epsilon: float = 1e-5) -> DataFrame:
+    """(edge1, edge2, cov): :func:`covariance` under branch lengths, times the root of the product of the two."""
+    one, two = (edges.select(F.col("id").alias(f"edge{k}"), F.col("bl").alias(f"_bl{k}")) for k in (1, 2))
+    return covariance(features, epsilon).join(one, "edge1").join(two, "edge2").select("edge1", "edge2", (F.col("cov") * F.sqrt(F.col("_bl1") * F.col("_bl2"))).alias("cov"))
+
+
+def length_products(prof: DataFrame) -> DataFrame:
+    """(sample1, sample2, value): products of the samples' centred profiles 1 - 2r, stretches weighted by length, divisor n - 1.
+
+    A grouped sum over the stretches; the result is samples x samples.
+    """
+    each = W.partitionBy("edge", "a")
+    own = prof.select("edge", "a", "len", "sample", (1 - 2 * F.col("r") - F.avg(1 - 2 * F.col("r")).over(each)).alias("c"), F.count("*").over(each).alias("n"))
+    other = own.select("edge", "a", F.col("sample").alias("sample2"), F.col("c").alias("c2"))
+    return own.join(other, ["edge", "a"]).groupBy(F.col("sample").alias("sample1"), "sample2").agg((F.sum(F.col("c") * F.col("c2") * F.col("len")) / (F.max("n") - 1)).alias("value"))
+
+
+def one_sided(values: DataFrame, observed: float, column: str = "value") -> DataFrame:
+    """(p): the share of values at or above what was observed."""
+    return values.agg(F.avg((F.col(column) >= observed).cast("double")).alias("p"))
+
+
 def eigen(matrix: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The n largest eigenvalues and their vectors (rows); each vector's entry of largest size is positive."""
     values, vectors = np.linalg.eigh(matrix)

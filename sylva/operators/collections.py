@@ -166,12 +166,53 @@ def trim_leaves(units: DataFrame, edges: DataFrame, min_mass: float = 0.001) ->
     return sums.withColumn("kept", F.col("path_mass") >= min_mass)
 
 
+def _uniform(text: Column) -> Column:
+    """A number in [0, 1) from the first 52 bits of a text's MD5."""
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(2**52)
+
+
 def rarefy(names: DataFrame, n: int, seed: int = 1) -> DataFrame:
     """n reads of each sample drawn without replacement, every unit of mass a read: names with their drawn mass.
 
-    Reads are ranked by a hash of seed, query, name and number: the draw repeats, and needs no
-    generator's state.  A sample with fewer reads gives all of them.
+    Reads are ranked by the MD5 of seed, sample, query, name and number: the draw repeats, and
+    needs no generator's state.  A sample with fewer reads gives all of them.  Reads are counted
+    by the first 16 bits, so only those of the one stretch that the n-th falls in are ordered.
     """
     reads = names.withColumn("_k", F.explode(F.sequence(F.lit(1), F.greatest(F.col("mass").cast("int"), F.lit(1)))))
-    order = W.partitionBy("sample").orderBy(F.xxhash64(F.lit(seed), "sample", "pq_id", "name", "_k"), "pq_id", "name", "_k")
-    return reads.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).groupBy(*KEYS, "name").agg(F.count("*").cast("double").alias("mass"))
+    reads = reads.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), "sample", F.col("pq_id").cast("string"), "name", F.col("_k").cast("string")))).withColumn("_b", F.substring("_h", 1, 4))
+    sizes = reads.groupBy("sample", "_b").agg(F.count("*").alias("_c"))
+    need = sizes.select("sample", "_b", (n - (F.sum("_c").over(W.partitionBy("sample").orderBy("_b")) - F.col("_c"))).alias("_need")).where("_need > 0")
+    order = W.partitionBy("sample", "_b").orderBy("_h", "pq_id", "name", "_k")
+    return reads.join(need, ["sample", "_b"]).withColumn("_r", F.row_number().over(order)).where("_r <= _need").groupBy(*KEYS, "name").agg(F.count("*").cast("double").alias("mass"))
+
+
+def rarefy_multinomial(names: DataFrame, n: int, seed: int = 1) -> DataFrame:
+    """n reads of each sample drawn with replacement, in proportion to mass: names with their drawn mass.
+
+    Draw j is a place on the sample's mass, by the MD5 of seed, sample and j.  Names lie there by
+    a hash of theirs; a place is looked up among the sums of 4096 stretches, then within one.
+    """
+    own = names.withColumn("_b", F.substring(F.md5(F.concat_ws(":", F.col("pq_id").cast("string"), "name")), 1, 3))
+    sums = own.groupBy("sample", "_b").agg(F.sum("mass").alias("_m"))
+    along, whole = W.partitionBy("sample").orderBy("_b"), W.partitionBy("sample")
+    placed = sums.select("sample", "_b", (F.sum("_m").over(along) - F.col("_m")).alias("_from"), F.sum("_m").over(along).alias("_to"), F.sum("_m").over(whole).alias("_total"))
+    # stretches by slices of the whole, so that draws meet them by equality
+    slices = 256
+    first, last = F.floor(F.col("_from") / F.col("_total") * slices), F.least(F.floor(F.col("_to") / F.col("_total") * slices), F.lit(slices - 1))
+    sliced = placed.withColumn("_slice", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    draws = sums.select("sample").distinct().withColumn("_j", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("_u", _uniform(F.concat_ws(":", F.lit(str(seed)), "sample", F.col("_j").cast("string"))))
+    draws = draws.withColumn("_slice", F.floor(F.col("_u") * slices).cast("int"))
+    at = draws.join(sliced, ["sample", "_slice"]).withColumn("_x", F.col("_u") * F.col("_total")).where("_x >= _from AND _x < _to").select("sample", "_b", "_x", "_from")
+    within = W.partitionBy("sample", "_b").orderBy("pq_id", "name")
+    spans = own.select("sample", "_b", "pq_id", "name", (F.sum("mass").over(within.rowsBetween(W.unboundedPreceding, 0)) - F.col("mass")).alias("_lo"), "mass")
+    hit = at.join(spans, ["sample", "_b"]).where("_x >= _from + _lo AND _x < _from + _lo + mass")
+    return hit.groupBy(*KEYS, "name").agg(F.count("*").cast("double").alias("mass"))
+
+
+def sorted_run(placements: DataFrame, names: DataFrame) -> DataFrame:
+    """Placements in a settled order: queries by their least name (``place``, from 1), placements by weight (``rank_in_pq``)."""
+    from ..plans.profile import ranked
+
+    first = names.groupBy(*KEYS).agg(F.min("name").alias("_name"))
+    queries = first.withColumn("place", F.row_number().over(W.partitionBy("sample").orderBy("_name", "pq_id"))).drop("_name")
+    return ranked(placements).join(queries, KEYS).orderBy("sample", "place", "rank_in_pq")

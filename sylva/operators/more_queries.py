@@ -84,10 +84,7 @@ def indep_c(spark, sf_dir):
     tree, placed = _model(spark, sf_dir)
     values = {r[0]: float(r[1]) for r in S.table(spark, sf_dir, "supplier").select("s_name", "s_acctbal").collect()}
     best = P.ranked(placed).where("rank_in_pq = 1").select("sample", "pq_id", "loc", "distal_bl")
-    places = sorted(tuple(r) for r in best.select("loc", "distal_bl").distinct().collect())  # places on the tree, not queries
-    found = R.contrast_values(tree_of(tree), values, places)
-    at = spark.createDataFrame([(e, d, float(v)) for (e, d), v in zip(places, found, strict=True)], "loc int, distal_bl double, value double")
-    return _rounded(best.join(at, ["loc", "distal_bl"]).select("sample", "pq_id", "value"))
+    return _rounded(R.carry_values(best, tree_of(tree), values).select("sample", "pq_id", "value"))
 
 
 @query()

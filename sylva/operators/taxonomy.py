@@ -198,6 +198,12 @@ def median_identities(pairs: DataFrame, seqinfo: DataFrame) -> DataFrame:
     return pairs.join(seqinfo.select(F.col("seqname").alias("reference"), "tax_id"), "reference").groupBy("query", "tax_id").agg(F.percentile("identity", F.lit(0.5)).alias("median_identity"))
 
 
+def distance_spread(distances: DataFrame) -> DataFrame:
+    """(seqname, tax_id, median, cv): median distance to a taxon and its coefficient of variation (null for one distance or a mean of 0)."""
+    mean = F.nullif(F.avg("distance"), F.lit(0.0))
+    return distances.groupBy("seqname", "tax_id").agg(F.percentile("distance", F.lit(0.5)).alias("median"), (F.stddev_samp("distance") / mean).alias("cv"))
+
+
 # -- naive Bayes over words of sequences
 
 

@@ -66,9 +66,40 @@ def tally_by_specimen(multiclass_concat: DataFrame, placement_names: DataFrame,
     return sums.join(taxa.select("tax_id", "tax_name"), "tax_id", "left").select("specimen", "tax_id", F.coalesce("tax_name", "tax_id").alias("tax_name"), "tally", "freq")
 
 
-def wide_table(tally: DataFrame, specimens: list[str], value: str = "tally") -> DataFrame:
-    """A row for each taxon, a column for each specimen; missing is 0."""
-    return tally.groupBy("tax_id", "tax_name").pivot("specimen", specimens).agg(F.first(value)).na.fill(0.0)
+def wide_table(tally: DataFrame, specimens: list[str], value: str = "tally", metadata: DataFrame | None = None) -> DataFrame:
+    """A row for each taxon, a column for each specimen; missing is 0.
+
+    metadata: (specimen, key, value): a row for each key besides, its name as tax_name, its id
+    empty; all cells are text then, those that a key lacks null.
+    """
+    wide = tally.groupBy("tax_id", "tax_name").pivot("specimen", specimens).agg(F.first(value)).na.fill(0.0)
+    if metadata is None:
+        return wide
+    extra = metadata.groupBy(F.lit("").alias("tax_id"), F.col("key").alias("tax_name")).pivot("specimen", specimens).agg(F.first("value"))
+    return extra.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in wide.columns]).unionByName(wide.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in wide.columns]))
+
+
+def _rect(multiclass_concat: DataFrame, placement_names: DataFrame, taxa: DataFrame, want_rank: str) -> DataFrame:
+    own = multiclass_concat.where(F.col("want_rank") == want_rank).select("placement_id", "name", "tax_id").join(placement_names.select("placement_id", "name", "mass"), ["placement_id", "name"])
+    known = taxa.select(F.col("tax_id").alias("_t"), F.col("tax_name").alias("_n"), F.col("rank").alias("_r"))
+    return own.join(known, F.col("tax_id") == F.col("_t"), "left").select("placement_id", "name", "mass", F.coalesce("_t", F.lit("none")).alias("tax_id"), F.coalesce("_n", F.lit("unclassified")).alias("tax_name"), F.coalesce("_r", F.lit("root")).alias("rank"))
+
+
+def rect_by_taxon(multiclass_concat: DataFrame, placement_names: DataFrame, taxa: DataFrame, want_rank: str) -> DataFrame:
+    """The older tally: (tax_id, tax_name, rank, tally, placements), masses not made whole; unknown taxa are one row."""
+    return _rect(multiclass_concat, placement_names, taxa, want_rank).groupBy("tax_id", "tax_name", "rank").agg(F.sum("mass").alias("tally"), F.countDistinct("placement_id").alias("placements"))
+
+
+def rect_by_specimen(multiclass_concat: DataFrame, placement_names: DataFrame, taxa: DataFrame, specimens: DataFrame, want_rank: str) -> DataFrame:
+    """The older tally by specimen: (specimen, tax_id, tax_name, rank, tally, placements, normalized_tally: the share of the specimen's mass)."""
+    own = _rect(multiclass_concat, placement_names, taxa, want_rank).join(specimens, "name")
+    sums = own.groupBy("specimen", "tax_id", "tax_name", "rank").agg(F.sum("mass").alias("tally"), F.countDistinct("placement_id").alias("placements"))
+    return sums.withColumn("normalized_tally", F.col("tally") / F.sum("tally").over(W.partitionBy("specimen")))
+
+
+def rect_normalized(by_specimen: DataFrame, n_specimens: int) -> DataFrame:
+    """(tax_id, tax_name, rank, normalized_tally): the mean share over all specimens."""
+    return by_specimen.groupBy("tax_id", "tax_name", "rank").agg((F.sum("normalized_tally") / n_specimens).alias("normalized_tally"))
 
 
 def specimen_averages(tally: DataFrame, n_specimens: int) -> DataFrame:
@@ -83,6 +114,35 @@ def superseded_runs(placements: DataFrame, placement_names: DataFrame) -> DataFr
     return own.join(last, "name").where("run_id < _last").select("placement_id").distinct()
 
 
+def without_superseded(placements: DataFrame, placement_names: DataFrame, **others: DataFrame) -> dict[str, DataFrame]:
+    """All relations without the rows of placements whose names a later run placed again."""
+    gone = superseded_runs(placements, placement_names)
+    every = {"placements": placements, "placement_names": placement_names, **others}
+    return {name: df.join(gone, "placement_id", "left_anti") for name, df in every.items()}
+
+
+def has_schema(spark: SparkSession, path: str) -> bool:
+    """Whether all relations of the warehouse are there."""
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return all(system.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")) for name in SCHEMAS)
+
+
+def repair(multiclass: DataFrame, dedup: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(placement_names, multiclass) after sequences that were left out as duplicates come back.
+
+    dedup: (global_rep, specimen_rep, mass).  Names that multiclass has keep their placement; the
+    others take that of their global representative, and copies of its results.
+    """
+    placed = multiclass.select("placement_id", "name").distinct()
+    known = placed.select("name").distinct()
+    first = dedup.join(placed, dedup["specimen_rep"] == placed["name"]).select("placement_id", "name", "mass")
+    missing = dedup.join(known.withColumnRenamed("name", "specimen_rep"), "specimen_rep", "left_anti")
+    second = missing.join(first.select("placement_id", F.col("name").alias("global_rep")), "global_rep").select("placement_id", F.col("specimen_rep").alias("name"), "mass")
+    copied = second.select("placement_id", "name").join(missing.select(F.col("specimen_rep").alias("name"), "global_rep"), "name").join(multiclass.drop("placement_id").withColumnRenamed("name", "global_rep"), "global_rep").drop("global_rep")
+    return first.unionByName(second), multiclass.unionByName(copied.select(*multiclass.columns))
+
+
 def fix_duplicates(placement_names: DataFrame, dedup: DataFrame) -> DataFrame:
     """placement_names with the duplicates of a (kept_id, orig_id, count) map added where they are missing."""
     added = dedup.join(placement_names, dedup["kept_id"] == placement_names["name"]).select("placement_id", F.col("orig_id").alias("name"), "origin", F.col("count").cast("double").alias("mass"))

@@ -28,6 +28,11 @@ def ranked(placements: DataFrame, weight: str = "ml_ratio") -> DataFrame:
     return placements.withColumn("w", F.col(weight) / F.sum(weight).over(own)).withColumn("rank_in_pq", F.row_number().over(own.orderBy(F.col(weight).desc(), *ties)))
 
 
+def required(placements: DataFrame, weight: str) -> DataFrame:
+    """Placements whose criterion is there in every row; a missing one is an error when rows are read."""
+    return placements.withColumn(weight, F.when(F.col(weight).isNotNull(), F.col(weight)).otherwise(F.raise_error(F.lit(f"no {weight}")).cast("double")))
+
+
 def mass(placements: DataFrame, *, point: bool = False, weight: str = "ml_ratio", multiplicity: str | None = None, transform: str = "no_trans") -> DataFrame:
     """Mass units of every sample: spread over a query's placements by weight, or on its best one.
 

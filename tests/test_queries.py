@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from sylva.operators.more_queries import ORACLES, QUERIES
+from sylva.operators.wide_queries import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem documents".split()
 
