@@ -38,7 +38,7 @@ MOST_FREQUENT = 2_000_000
 #: Shingles that a bucket of the hash space holds, about.
 BUCKET = 1 << 20
 #: Pairs verified in one group, about.
-GROUP_PAIRS = 4096
+GROUP_PAIRS = 512
 #: Members that a long list's largest component sends to the rest before pairs across components are proposed; members of lists on one side of a tile, about.
 LEADERS, TILE_ROWS = 8, 512
 #: Candidate ids that are broadcast as they are; beyond, as a Bloom filter of as many bytes.
