@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans import profile as P, star as S
-from ..plans.tree import Node, number, print_newick, reroot as _reroot, tree_length
+from ..plans.tree import Node, number, print_newick, prune_to, reroot as _reroot, tree_length
 from ..sources.drawings import fat_decor, hang, heat_color, phyloxml
 from . import clusters as K, measures as M, place as L, taxonomy as T, trees as R
 from .queries import ORACLES, QUERIES, _classified, _model, _rounded, by_order, query, taxa_of
@@ -128,7 +128,7 @@ def prepsim(spark, sf_dir):
     """Suppliers of the first region taken out, and where they would hang."""
     tree, _ = _model(spark, sf_dir)
     region = {r[0]: str(r[1]) for r in tree.where("is_leaf").select("label", "r").collect()}
-    _, placed = R.cut_taxa(tree_of(tree), region, {"0"})
+    _, placed = R.cut_taxa(prune_to(tree_of(tree), set(region)), region, {"0"})  # nations without suppliers are no leaves
     return _rounded(spark.createDataFrame([(a, b, float(c), float(d)) for a, b, c, d in placed], "leaf string, edge int, distal double, pendant double"))
 
 

@@ -282,13 +282,14 @@ _SPLIT = "x AS (SELECT s.sample, e.id edge, 1 - 2 * COALESCE(SUM(m.m), 0) x FROM
 
 @query(
     star(
-        """SELECT CAST(id AS BIGINT) edge FROM edges WHERE is_leaf UNION ALL SELECT CAST(id AS BIGINT) FROM lone2 UNION ALL SELECT CAST(e.id AS BIGINT) FROM edges e WHERE depth = 1 AND NOT EXISTS (SELECT 1 FROM up2 u JOIN near n ON n.a = e.id AND n.b = u.x WHERE u.r = e.r)
+        """SELECT CAST(id AS BIGINT) edge FROM edges WHERE is_leaf UNION ALL SELECT CAST(id AS BIGINT) FROM bare2 UNION ALL SELECT CAST(id AS BIGINT) FROM lone2 UNION ALL SELECT CAST(e.id AS BIGINT) FROM edges e WHERE depth = 1 AND NOT EXISTS (SELECT 1 FROM up2 u JOIN near n ON n.a = e.id AND n.b = u.x WHERE u.r = e.r)
 UNION ALL SELECT CAST(e.id AS BIGINT) FROM edges e WHERE depth = 0 AND NOT EXISTS (SELECT 1 FROM up1 u JOIN near n ON n.a = e.id AND n.b = u.x)""",
         _SPLIT,
         "near AS (SELECT p.edge a, q.edge b FROM x p JOIN x q ON p.sample = q.sample GROUP BY 1, 2 HAVING SQRT(SUM((p.x - q.x) * (p.x - q.x))) < 0.2)",
         "close2 AS (SELECT l.id x, l.n, l.r FROM edges l JOIN edges e ON e.depth = 2 AND e.n = l.n JOIN near ON a = e.id AND b = l.id WHERE l.is_leaf)",
         "lone2 AS (SELECT e.id, e.n, e.r FROM edges e WHERE depth = 2 AND EXISTS (SELECT 1 FROM edges l WHERE l.is_leaf AND l.n = e.n) AND NOT EXISTS (SELECT 1 FROM close2 c WHERE c.n = e.n))",
-        "up2 AS (SELECT x, r FROM close2 UNION ALL SELECT id, r FROM lone2)",
+        "bare2 AS (SELECT e.id, e.r FROM edges e WHERE depth = 2 AND NOT EXISTS (SELECT 1 FROM edges l WHERE l.is_leaf AND l.n = e.n))",
+        "up2 AS (SELECT x, r FROM close2 UNION ALL SELECT id, r FROM lone2 UNION ALL SELECT id, r FROM bare2)",
         "up1 AS (SELECT u.x FROM up2 u JOIN edges e ON e.depth = 1 AND e.r = u.r JOIN near n ON n.a = e.id AND n.b = u.x UNION ALL SELECT e.id FROM edges e WHERE depth = 1 AND NOT EXISTS (SELECT 1 FROM up2 u JOIN near n ON n.a = e.id AND n.b = u.x WHERE u.r = e.r))",
     )
 )
@@ -765,4 +766,17 @@ def heat_rows(spark, sf_dir):
     return out.select(*[F.col(c).cast("bigint").alias(c) for c in out.columns])
 
 
+ORACLES["bary"] = star(
+    """SELECT sample, CAST(id AS BIGINT) edge, ROUND(lo + (hi - lo) * d0 / (d0 - d1), 6) pos FROM pieces WHERE d0 >= 0 AND d1 < 0
+UNION ALL SELECT sample, CAST(arg_max(id, {'a': depth, 'b': id}) AS BIGINT), CAST(0 AS DOUBLE) FROM ends WHERE low < 0 AND sample NOT IN (SELECT sample FROM pieces WHERE d0 >= 0 AND d1 < 0) GROUP BY 1""",
+    HEIGHT,
+    "pl AS (SELECT sample, loc, pos, SUM(m) m FROM mass GROUP BY 1, 2, 3)",
+    "ee AS (SELECT e.id, e.lo, e.depth, CASE WHEN e.parent_id IS NULL THEN CAST(0 AS DOUBLE) ELSE e.bl END bl, h.h FROM edges e JOIN h USING (id))",
+    "side AS (SELECT p.sample, e.id, e.h, p.m, p.pos, p.loc = e.id own, p.loc >= e.lo AND p.loc < e.id below, t.h - p.pos hp, MAX(a.h) hl FROM pl p JOIN h t ON t.id = p.loc CROSS JOIN ee e JOIN ee a ON a.lo <= e.id AND e.id <= a.id AND a.lo <= p.loc AND p.loc <= a.id GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, p.loc)",
+    "marks AS (SELECT sample, id, CAST(0 AS DOUBLE) x0 FROM ee CROSS JOIN n_pq_names UNION SELECT sample, id, bl FROM ee CROSS JOIN n_pq_names UNION SELECT sample, loc, pos FROM pl)",
+    "work AS (SELECT k.sample, k.id, k.x0, SUM(CASE WHEN own THEN s.m * (pos - x0) WHEN below THEN -s.m * (hp - s.h + x0) ELSE s.m * (hp + s.h - x0 - 2 * hl) END) d FROM marks k JOIN side s ON s.sample = k.sample AND s.id = k.id GROUP BY 1, 2, 3)",
+    "ends AS (SELECT w.sample, w.id, e.depth, MAX(CASE WHEN x0 = 0 THEN d END) low, MAX(CASE WHEN x0 = bl THEN d END) high FROM work w JOIN ee e USING (id) GROUP BY 1, 2, 3)",
+    "pieces AS (SELECT w.sample, w.id, x0 lo, LEAD(x0) OVER o hi, d d0, LEAD(d) OVER o d1 FROM work w JOIN ends USING (sample, id) WHERE low >= 0 AND high < 0 WINDOW o AS (PARTITION BY w.sample, w.id ORDER BY x0))",
+).replace("n_pq_names", "(SELECT s sample FROM n_pq)")
+
 __all__ = ["ORACLES", "QUERIES", "more_queries"]
