@@ -162,6 +162,44 @@ class Reference:
     def edges(self) -> list[int]:
         return [n.id for n in self.tree.walk() if n.parent is not None]
 
+    #: Bytes of midpoint vectors that are worked on at once, and kept if all of them fit.
+    MIDDLES = 256 << 20
+
+    def middles(self):
+        """(edges, vectors (edges, classes, sites, states), log scales (edges, sites)) at the edges' midpoints, in parts."""
+        kept = self.__dict__.get("_middles")
+        if kept is not None:
+            yield from kept
+            return
+        edges, one = self.edges(), self.down[self.tree.children[0].id].nbytes
+        step = max(1, self.MIDDLES // max(1, one))
+        parts = []
+        for k in range(0, len(edges), step):
+            own = edges[k : k + step]
+            v = np.stack([self.model.carry(self.length[e] / 2, self.down[e]) * self.model.carry(self.length[e] / 2, self.up[e]) * self.model.frequencies for e in own])
+            part = (own, v, np.stack([self.down_scale[e] + self.up_scale[e] for e in own]))
+            if step >= len(edges):
+                parts.append(part)
+            yield part
+        if parts:
+            self._middles = parts
+
+    def rank(self, leaf: np.ndarray, sites: np.ndarray, pendant: float) -> dict[int, float]:
+        """Log likelihood of a query hung at the midpoint of every edge: one product over all edges."""
+        hang = self.model.carry(pendant, leaf, sites)
+        out = {}
+        for own, v, scale in self.middles():
+            site = np.einsum("ecxs,cxs->ex", v[:, :, sites], hang) / len(hang)
+            out |= zip(own, (np.log(np.maximum(site, 1e-300)) + scale[:, sites]).sum(1).tolist(), strict=True)
+        return out
+
+    def prior_means(self) -> dict[int, float]:
+        from .placing import prior_means
+
+        if "_means" not in self.__dict__:
+            self._means = prior_means(self.tree)
+        return self._means
+
     def join(self, edge: int, distal: float, sites: np.ndarray):
         """(vector, log scale) at a place on an edge, of all the reference, over some sites."""
         below = self.model.carry(distal, self.down[edge][:, sites], sites)
@@ -218,6 +256,8 @@ class Settings:
     tolerance: float = 1e-5
     posterior: bool = False
     prior_mean: float = 0.1  # of the exponential prior of pendant lengths; 0: a uniform prior
+    informative: bool = False  # the prior's mean is each edge's own, by the leaves below it
+    cluster_cutoff: float = 0.0  # edges are tried by clusters of leaves no farther apart; 0: one by one
 
 
 def place_query(ref: Reference, seq: str, s: Settings = Settings()) -> list[dict]:
@@ -233,7 +273,13 @@ def place_query(ref: Reference, seq: str, s: Settings = Settings()) -> list[dict
         hang = ref.model.carry(pendant, leaf, sites)
         return float((np.log(np.maximum((v * hang).sum(2).mean(0), 1e-300)) + scale).sum())
 
-    ranked = sorted(((value(e, ref.length[e] / 2, s.start_pendant), e) for e in ref.edges()), key=lambda x: (-x[0], x[1]))
+    guess = ref.rank(leaf, sites, s.start_pendant)
+    if s.cluster_cutoff > 0:
+        from .placing import by_cluster, edge_clusters
+
+        ranked = list(by_cluster(edge_clusters(ref.tree, s.cluster_cutoff), guess.__getitem__, s.strike_box))
+    else:
+        ranked = sorted(((v, e) for e, v in guess.items()), key=lambda x: (-x[0], x[1]))
     found, best, strikes = [], -np.inf, 0
 
     def optimise(edge: int, distal: float, pendant: float, tolerance: float):
@@ -265,31 +311,35 @@ def place_query(ref: Reference, seq: str, s: Settings = Settings()) -> list[dict
     weights /= weights.sum()
     out = [{"edge": e, "log_like": score, "ml_ratio": float(w), "distal_bl": d, "pendant_bl": p} for (score, d, p, e), w in zip(refined, weights, strict=True)]
     if s.posterior:
-        marginals = [_marginal(value, o["edge"], ref.length[o["edge"]], s, refined[0][0]) for o in out]
+        means = ref.prior_means() if s.informative else {}
+        marginals = [_marginal(value, o["edge"], ref.length[o["edge"]], s, refined[0][0], means.get(o["edge"], s.prior_mean)) for o in out]
         total = np.logaddexp.reduce(marginals)
         for o, m in zip(out, marginals, strict=True):
             o["marginal_like"], o["post_prob"] = float(m), float(np.exp(m - total))
     return out
 
 
-def _marginal(value, edge: int, length: float, s: Settings, base: float) -> float:
+def _marginal(value, edge: int, length: float, s: Settings, base: float, mean: float) -> float:
     """Log of the likelihood averaged over places on an edge and over the prior of pendant lengths, by Gauss-Legendre quadrature."""
     x, wx = np.polynomial.legendre.leggauss(8)
     y, wy = np.polynomial.legendre.leggauss(16)
     pend, wp = (y + 1) / 2 * s.max_pendant, wy / 2 * s.max_pendant
-    prior = np.exp(-pend / s.prior_mean) / s.prior_mean if s.prior_mean > 0 else np.full(len(pend), 1 / s.max_pendant)
+    prior = np.exp(-pend / mean) / mean if mean > 0 else np.full(len(pend), 1 / s.max_pendant)
     total = sum(a / 2 * b * f * np.exp(value(edge, (u + 1) / 2 * length, t) - base) for u, a in zip(x, wx, strict=True) for t, b, f in zip(pend, wp, prior, strict=True))
     return float(np.log(max(total, 1e-300)) + base)
 
 
 def premask(references: DataFrame, queries: DataFrame) -> list[int]:
-    """Sites (from 0) with a letter in some reference and some query: one grouped aggregate over each."""
+    """Sites (from 0) with a letter in some reference and some query: one grouped aggregate over each; none at all is an error."""
 
     def informative(df: DataFrame) -> DataFrame:
         letters = df.select(F.posexplode(F.split("seq", "")).alias("k", "c")).where(~F.col("c").isin("-", "?", ".", ""))
         return letters.select("k").distinct()
 
-    return sorted(r[0] for r in informative(references).join(informative(queries), "k").collect())
+    found = sorted(r[0] for r in informative(references).join(informative(queries), "k").collect())
+    if not found:
+        raise ValueError("queries and references share no site")
+    return found
 
 
 def place(queries: DataFrame, ref: Reference, settings: Settings = Settings()) -> DataFrame:

@@ -72,8 +72,13 @@ def read_documents(spark: SparkSession, paths: str | list[str]) -> Placements:
     return Placements(tree, edges, placements, names)
 
 
-def write_documents(run: Placements, folder: str) -> list[str]:
-    """Write each sample as a version 3 document: one text file a sample, the fields that have values, sorted."""
+def write_documents(run: Placements, folder: str, *, metadata: dict | None = None, transm: list[tuple[int, int, float]] | None = None) -> list[str]:
+    """Write each sample as a version 3 document: one text file a sample, the fields that have values, sorted.
+
+    ``metadata`` goes into every document, and so does ``transm``, the map of edges of a trimmed
+    tree: (old edge, new edge, what is added to a distal position).
+    """
+    about = dict(metadata or {}) | ({"transm": [list(x) for x in transm]} if transm is not None else {})
     own = run.edges.select(F.col("id").alias("loc"), F.col("edge_num").alias("edge_num"))
     back = {"ml_ratio": "like_weight_ratio", "log_like": "likelihood", "distal_bl": "distal_length", "pendant_bl": "pendant_length"}
     wide = run.placements.join(F.broadcast(own), "loc")
@@ -89,17 +94,70 @@ def write_documents(run: Placements, folder: str) -> list[str]:
     lines = p.join(nm, ["sample", "pq_id"]).select("sample", "pq_id", F.concat(F.lit('{"p":['), "p", F.lit('],"nm":['), "nm", F.lit("]}")).alias("t"))
     head = json.dumps(print_newick(run.tree, braces=True))
     texts = lines.groupBy("sample").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pq_id", "t"))), lambda x: x["t"]), ",").alias("t"))
-    out = texts.select("sample", F.concat(F.lit(f'{{"tree":{head},"version":3,"fields":{json.dumps(fields)},"metadata":{{}},"placements":['), "t", F.lit("]}")).alias("value"))
+    out = texts.select("sample", F.concat(F.lit(f'{{"tree":{head},"version":3,"fields":{json.dumps(fields)},"metadata":{json.dumps(about)},"placements":['), "t", F.lit("]}")).alias("value"))
     out.repartition("sample").write.partitionBy("sample").mode("overwrite").text(folder)
     return fields
 
 
-def read_legacy(spark: SparkSession, path: str) -> DataFrame:
-    """(name, seq, line, values) of old text files: blocks that begin with >, names, the sequence, then rows of numbers."""
+def read_transm(spark: SparkSession, path: str) -> DataFrame:
+    """(old_edge, new_edge, added) of a trimmed document's metadata; no rows without it."""
+    text = spark.read.text(path, wholetext=True)
+    rows = F.from_json(F.get_json_object("value", "$.metadata.transm"), "array<array<double>>")
+    return text.select(F.explode(rows).alias("v")).select(F.col("v")[0].cast("int").alias("old_edge"), F.col("v")[1].cast("int").alias("new_edge"), F.col("v")[2].alias("added"))
+
+
+#: Columns of a row of the old text format, in order, as our relations call them (the sixth is absent in its shorter rows).
+OLD_COLUMNS = ("edge_num", "ml_ratio", "post_prob", "log_like", "marginal_like", "distal_bl", "pendant_bl", "contains", "classification")
+
+
+def write_legacy(run: Placements, path: str, *, invocation: str = "", now: str | None = None) -> None:
+    """Write a collection of one sample as old text, queries under their best edge, in one file.
+
+    ``now``: the header's time, else the present.  Text of a collection is written by Spark,
+    partitions in order: header, then a block for each edge, then the queries' rows.
+    """
+    from datetime import datetime
+
+    when = now or datetime.now().strftime("%Y/%m/%d %H:%M:%S")
+    head = [f"# placements, {when}", f"# invocation: {invocation}", "# output format: location, ML weight ratio, PP, ML likelihood, marginal likelihood, attachment location (distal length), pendant branch length, containment classification, classification", f"# reference tree: {print_newick(run.tree)}"]
+    own = run.edges.select(F.col("id").alias("loc"), "edge_num")
+    wide = run.placements.drop("edge_num").join(F.broadcast(own), "loc")
+    cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-")) if c in wide.columns else F.lit("-")
+    ranked = W.partitionBy("sample", "pq_id").orderBy(F.desc("ml_ratio"), "line")
+    rows = wide.withColumn("_k", F.row_number().over(ranked)).withColumn("_t", F.concat_ws("\t", *[cell(c) for c in OLD_COLUMNS]))
+    each = rows.groupBy("sample", "pq_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_t"))), lambda x: x["_t"]).alias("_rows"), F.min_by("edge_num", "_k").alias("edge"))
+    names = run.names.groupBy("sample", "pq_id").agg(F.array_join(F.array_sort(F.collect_list("name")), " ").alias("_names"))
+    blocks = each.join(names, ["sample", "pq_id"]).select("edge", "pq_id", F.concat_ws("\n", F.concat(F.lit(">"), "_names"), F.lit("-"), F.array_join("_rows", "\n")).alias("value"))
+    marks = blocks.select("edge").distinct().select("edge", F.lit(-1).cast("long").alias("pq_id"), F.concat(F.lit("# location "), F.col("edge").cast("string")).alias("value"))
+    spark = run.placements.sparkSession
+    top = spark.createDataFrame([(-1, k, v) for k, v in enumerate(head)], "edge int, pq_id long, value string")
+    top.unionByName(marks).unionByName(blocks).coalesce(1).sortWithinPartitions("edge", "pq_id").select("value").write.mode("overwrite").text(path)
+
+
+def legacy_placements(spark: SparkSession, path: str, tree: Node) -> Placements:
+    """Old text as a collection on its tree: rows of nine columns, or of seven (without containment and marginal likelihood)."""
+    raw = _legacy_rows(spark, path)
+    v = F.col("values")
+    nine = F.size(v) >= 9
+    number = lambda i, j: F.when(nine, v[i]).otherwise(v[j] if j is not None else None).try_cast("double")
+    edges = spark.createDataFrame(edge_rows(tree), "id int, edge_num int, parent_id int, lo int, depth int, bl double, label string, is_leaf boolean, path array<int>")
+    keyed = raw.withColumn("sample", F.lit(os.path.basename(path).removesuffix(".place"))).withColumn("pq_id", F.xxhash64(F.array_join("names", " ")))
+    rows = keyed.select("sample", "pq_id", "line", v[0].cast("int").alias("edge_num"), number(1, 1).alias("ml_ratio"), number(2, 2).alias("post_prob"), number(3, 3).alias("log_like"), number(4, None).alias("marginal_like"), number(5, 4).alias("distal_bl"), number(6, 5).alias("pendant_bl"), F.nullif(F.when(nine, v[8]).otherwise(v[6]), F.lit("-")).alias("classification"))
+    placed = rows.join(F.broadcast(edges.select("edge_num", F.col("id").alias("loc"), "bl")), "edge_num")
+    names = keyed.select("sample", "pq_id", F.explode("names").alias("name")).distinct().withColumn("mass", F.lit(1.0))
+    return Placements(tree, edges, placed, names)
+
+
+def _legacy_rows(spark: SparkSession, path: str) -> DataFrame:
     blocks = spark.read.option("lineSep", ">").text(path).where("length(trim(value)) > 0 AND NOT startswith(value, '#')")
     rows = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
     number = F.filter(rows, lambda x: F.rlike(x, F.lit(r"^\s*\d+[\s\t]+[-\d.eE+]+")))
-    return blocks.select(F.split(F.trim(rows[0]), r"\s+").alias("names"), rows[1].alias("seq"), F.posexplode(number).alias("line", "v")).select("names", "seq", "line", F.transform(F.split(F.trim("v"), r"\s+"), lambda x: x.cast("double")).alias("values"))
+    return blocks.select(F.split(F.trim(rows[0]), r"\s+").alias("names"), rows[1].alias("seq"), F.posexplode(number).alias("line", "v")).select("names", "seq", "line", F.split(F.trim("v"), r"\s+").alias("values"))
+
+
+def read_legacy(spark: SparkSession, path: str) -> DataFrame:
+    """(names, seq, line, values) of old text files: blocks that begin with >, names, the sequence, then rows of numbers (null: none)."""
+    return _legacy_rows(spark, path).withColumn("values", F.transform("values", lambda x: x.try_cast("double")))
 
 
 def read_any(spark: SparkSession, path: str) -> Placements | DataFrame:

@@ -7,17 +7,8 @@ import pytest
 
 from sylva.operators import hygiene as H
 from sylva.operators.trees import convex_subset
-from sylva.plans.tree import Node, number, parse_newick
-
-
-def grow(draw, n):
-    parts = [Node(f"l{k}", draw.choice([0.5, 1.0, 2.0])) for k in range(n)]
-    while len(parts) > 1:
-        k = min(len(parts), draw.choice([2, 2, 3]))
-        own = [parts.pop(draw.randrange(len(parts))) for _ in range(k)]
-        parts.append(Node(None, draw.choice([0.5, 1.0]), None, own))
-    parts[0].length = 0.0
-    return number(parts[0])
+from sylva.plans.tree import parse_newick
+from tests_tools import grow
 
 
 def leaves_below(root):
