@@ -11,6 +11,7 @@ from sylva.plans.tree import edges_frame, parse_newick
 from sylva.sources.placefiles import read_biom
 from sylva.sources.sequences import ReferencePackage, parse_stats, read_alignment, read_taxonomy, write_fasta
 
+# Fixed value: the four-leaf tree for which published results hold.
 TREE = "((A:2,B:9):7,C:5,D:1):0;"
 
 
