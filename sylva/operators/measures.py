@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..plans import profile as P
+from ..plans.stage import written
 
 #: Shares nearer than this to 0 or 1 count as such.
 CLOSE, PRESENT = 1e-10, 1e-5
@@ -190,6 +191,7 @@ def edge_widths(units: DataFrame, edges: DataFrame, total_width: float = 300.0,
 
 def splitify(units: DataFrame, edges: DataFrame, kappa: float = 1.0) -> DataFrame:
     """(sample, edge, x): for x the mass strictly below, sign(1 - 2x) |1 - 2x|^kappa, on every edge of every sample."""
+    units = written(P.by_edge(units).withColumn("pos", F.lit(0.0)), "edges")
     names = P.samples_of(units)
     dense = edges.select(F.col("id").alias("edge")).withColumn("sample", F.explode(F.array(*[F.lit(s) for s in names])))
     x = 1 - 2 * F.coalesce(F.col("m"), F.lit(0.0))
@@ -210,9 +212,10 @@ def barycenter(units: DataFrame, edges: DataFrame) -> DataFrame:
     edge's distal end) and the rest A (moment a about its proximal end), the difference of work is
     linear between breakpoints; the point is where it changes sign, or the node between edges.
     """
-    tall = P.with_heights(edges)
+    tall = written(P.with_heights(edges), "heights")
     info = tall.select("id", "bl", "h", "path", "parent_id")
-    placed = P.by_place(units).join(info.select(F.col("id").alias("loc"), "path", F.col("h").alias("_h")), "loc").withColumn("_height", F.col("_h") - F.col("pos"))
+    units = written(P.by_place(units), "places")
+    placed = units.join(info.select(F.col("id").alias("loc"), "path", F.col("h").alias("_h")), "loc").withColumn("_height", F.col("_h") - F.col("pos"))
     total = placed.groupBy("sample").agg(F.sum("m").alias("all_m"), F.sum(F.col("m") * F.col("_height")).alias("all_h"))
     up = placed.select("sample", "m", "_height", "loc", F.explode("path").alias("id")).where("id <> loc")
     under = up.groupBy("sample", "id").agg(F.sum("m").alias("b_m"), F.sum(F.col("m") * F.col("_height")).alias("b_h"))

@@ -28,7 +28,7 @@ def tree_of(edges: DataFrame) -> Node:
 def squash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Squash clustering of the samples."""
     tree, placed = _model(spark, sf_dir)
-    prof = P.profile(P.mass(placed), tree)
+    prof = P.profile(P.place_mass(placed), tree)
     return _rounded(spark.createDataFrame(K.squash(prof, ["A", "N", "R"]), "left string, right string, merged string, length_left double, length_right double"))
 
 
@@ -36,7 +36,7 @@ def squash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def epca(spark, sf_dir):
     """First edge components of the samples."""
     tree, placed = _model(spark, sf_dir)
-    found = K.edge_pca(M.splitify(P.mass(placed), tree), 2)
+    found = K.edge_pca(M.splitify(P.place_mass(placed), tree), 2)
     return _rounded(spark.createDataFrame([(s, k, float(found["projections"][i, k])) for i, s in enumerate(found["samples"]) for k in range(found["projections"].shape[1])], "sample string, component int, projection double"))
 
 
@@ -44,7 +44,7 @@ def epca(spark, sf_dir):
 def lpca(spark, sf_dir):
     """First length components of the samples."""
     tree, placed = _model(spark, sf_dir)
-    found = K.length_pca(P.profile(P.mass(placed), tree), ["A", "N", "R"], 2)
+    found = K.length_pca(P.profile(P.place_mass(placed), tree), ["A", "N", "R"], 2)
     return _rounded(spark.createDataFrame([(s, k, float(found["projections"][i, k])) for i, s in enumerate(found["samples"]) for k in range(len(found["values"]))], "sample string, component int, projection double"))
 
 
@@ -52,7 +52,7 @@ def lpca(spark, sf_dir):
 def pmlpca(spark, sf_dir):
     """First components of edge differences under branch lengths."""
     tree, placed = _model(spark, sf_dir)
-    found = K.metric_pca(M.splitify(P.mass(placed), tree), dict(tree.select("id", "bl").collect()), 2)
+    found = K.metric_pca(M.splitify(P.place_mass(placed), tree), dict(tree.select("id", "bl").collect()), 2)
     return _rounded(spark.createDataFrame([(s, k, float(found["projections"][i, k])) for i, s in enumerate(found["samples"]) for k in range(found["projections"].shape[1])], "sample string, component int, projection double"))
 
 
@@ -137,7 +137,7 @@ def fat_tree(spark, sf_dir):
     """Trees drawn with edges as wide as their mass."""
     tree, placed = _model(spark, sf_dir)
     widths = {}
-    for r in M.edge_widths(P.mass(placed), tree).collect():  # a row an edge and sample
+    for r in M.edge_widths(P.place_mass(placed), tree).collect():  # a row an edge and sample
         widths.setdefault(r["sample"], {})[r["edge"]] = r["width"]
     root = tree_of(tree)
     return spark.createDataFrame([(s, phyloxml([(s, root, fat_decor(w))])) for s, w in sorted(widths.items())], "sample string, xml string")
@@ -147,7 +147,7 @@ def fat_tree(spark, sf_dir):
 def heat(spark, sf_dir):
     """Colours of the net transport from A to N."""
     tree, placed = _model(spark, sf_dir)
-    rows = M.kr_heat(P.mass(placed), tree, "A", "N").collect()  # a row an edge
+    rows = M.kr_heat(P.place_mass(placed), tree, "A", "N").collect()  # a row an edge
     top = max(abs(r["heat"]) for r in rows)
     return spark.createDataFrame([(r["edge"], *heat_color(r["heat"], top)) for r in rows], "edge int, red int, green int, blue int")
 

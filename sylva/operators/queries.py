@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..plans import profile as P, star as S
 from ..plans.sql import HEIGHT, profile_cte, star
+from ..plans.stage import written
 from . import collections as C, measures as M, pairs as X, taxonomy as T, warehouse as H
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,13 +43,13 @@ def _rounded(df: DataFrame, shift: float = 0.0) -> DataFrame:
 
 
 def _model(spark: SparkSession, sf_dir: str):
-    tree = S.edges(spark, sf_dir).cache()  # one row a node, read by every step
+    tree = written(S.edges(spark, sf_dir), "tree")  # one row a node, read by every step
     return tree, S.placements(spark, sf_dir, tree)
 
 
 def monthly(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A rounded run: queries are months of shipping, placed on nations by quantity, a quarter up the edge."""
-    tree = S.edges(spark, sf_dir).cache()
+    tree = written(S.edges(spark, sf_dir), "tree")
     items = S.table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("sample"), (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("long").alias("pq_id"), F.col("l_suppkey"), "l_quantity")
     nation = S.table(spark, sf_dir, "supplier").select(F.col("s_suppkey"), F.col("s_nationkey").cast("long").alias("n"))
     per = items.join(nation, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("sample", "pq_id", "n").agg(F.sum("l_quantity").alias("q"))
@@ -80,7 +81,7 @@ _PAIRS = "FROM profile x JOIN profile y USING (edge, a) WHERE x.sample < y.sampl
 def kr(spark, sf_dir):
     """Kantorovich-Rubinstein distances of all samples, p = 1 and p = 2, spread mass."""
     tree, placed = _model(spark, sf_dir)
-    prof = P.profile(P.mass(placed), tree)
+    prof = P.profile(P.place_mass(placed), tree)
     return _rounded(M.kr_distances(prof, {"z1": 1.0, "z2": 2.0}))
 
 
@@ -88,21 +89,21 @@ def kr(spark, sf_dir):
 def kr_point_half(spark, sf_dir):
     """Distances of point mass with exponent 1/2."""
     tree, placed = _model(spark, sf_dir)
-    return _rounded(M.kr_distance(P.profile(P.mass(placed, point=True), tree), 0.5))
+    return _rounded(M.kr_distance(P.profile(P.place_mass(placed, point=True), tree), 0.5))
 
 
 @query(star(f"SELECT x.sample sample1, y.sample sample2, ROUND(SUM(CASE WHEN (x.r > 1e-5) <> (y.r > 1e-5) THEN x.len ELSE 0 END) / SUM(CASE WHEN x.r > 1e-5 OR y.r > 1e-5 THEN x.len ELSE 0 END), 6) unifrac {_PAIRS}", profile_cte()))
 def unifrac(spark, sf_dir):
     """Unweighted UniFrac of all samples."""
     tree, placed = _model(spark, sf_dir)
-    return _rounded(M.unifrac(P.profile(P.mass(placed), tree)))
+    return _rounded(M.unifrac(P.profile(P.place_mass(placed), tree)))
 
 
 @query(star("SELECT CAST(e.id AS BIGINT) edge, ROUND(COALESCE(SUM(CASE WHEN m.sample = 'A' THEN m.m ELSE -m.m END), 0), 6) + 0 heat FROM edges e LEFT JOIN (SELECT * FROM mass WHERE sample IN ('A', 'N')) m ON m.loc >= e.lo AND m.loc <= e.id GROUP BY 1"))
 def kr_heat(spark, sf_dir):
     """Net transport over every edge from sample A to sample N."""
     tree, placed = _model(spark, sf_dir)
-    return _rounded(M.kr_heat(P.mass(placed), tree, "A", "N"))
+    return _rounded(M.kr_heat(P.place_mass(placed), tree, "A", "N"))
 
 
 @query(
@@ -122,7 +123,7 @@ FROM (SELECT *, SUM(CASE WHEN r > 1e-10 THEN len * r ELSE 0 END) OVER (PARTITION
 def fpd(spark, sf_dir):
     """Phylogenetic entropies, diversities and balance-weighted diversities of each sample."""
     tree, placed = _model(spark, sf_dir)
-    return _rounded(M.diversity(P.profile(P.mass(placed, point=True), tree)))
+    return _rounded(M.diversity(P.profile(P.place_mass(placed, point=True), tree)))
 
 
 _LEAF_DISTANCE = """CASE WHEN x.loc = y.loc THEN ABS(x.distal_bl - y.distal_bl)
@@ -174,21 +175,21 @@ def rarefact(spark, sf_dir):
 def splitify(spark, sf_dir):
     """Split differences of every edge and sample."""
     tree, placed = _model(spark, sf_dir)
-    return _rounded(M.splitify(P.mass(placed), tree))
+    return _rounded(M.splitify(P.place_mass(placed), tree))
 
 
 @query(star("SELECT sample, CAST(loc AS BIGINT) edge, ROUND(SUM(m), 6) m, ROUND(SUM(m) * 300 / MAX(t), 6) width FROM (SELECT *, SUM(m) OVER (PARTITION BY sample) t FROM mass) GROUP BY 1, 2"))
 def fat(spark, sf_dir):
     """Mass and drawn width of every occupied edge."""
     tree, placed = _model(spark, sf_dir)
-    return _rounded(M.edge_widths(P.mass(placed), tree))
+    return _rounded(M.edge_widths(P.place_mass(placed), tree))
 
 
 @query()
 def bary(spark, sf_dir):
     """Barycentre of each sample."""
     tree, placed = _model(spark, sf_dir)
-    return _rounded(M.barycenter(P.mass(placed), tree))
+    return _rounded(M.barycenter(P.place_mass(placed), tree))
 
 
 @query(star("SELECT sample, CAST((SELECT COUNT(*) FROM edges WHERE is_leaf) AS BIGINT) leaves, COUNT(DISTINCT pq_id) pqueries, CAST(COUNT(DISTINCT pq_id) AS DOUBLE) mass FROM place GROUP BY sample"))
@@ -400,7 +401,7 @@ def to_csv(spark, sf_dir):
 def trim(spark, sf_dir):
     """Leaves with a path mass of at least 0.005."""
     tree, placed = _model(spark, sf_dir)
-    return _rounded(C.trim_leaves(P.mass(placed), tree, 0.005))
+    return _rounded(C.trim_leaves(P.place_mass(placed), tree, 0.005))
 
 
 @query()
@@ -546,7 +547,7 @@ def blast(spark, sf_dir):
 
 def _facts(spark, sf_dir):
     taxa, ranks = taxa_of(spark, sf_dir)
-    multi = T.classify(_classified(spark, sf_dir), T.lineage(taxa, ranks), ranks).select(F.concat_ws("/", "sample", F.col("pq_id").cast("string")).alias("placement_id"), F.col("pq_id").cast("string").alias("name"), "want_rank", "rank", "tax_id", "likelihood")
+    multi = written(T.classify(_classified(spark, sf_dir), T.lineage(taxa, ranks), ranks).select(F.concat_ws("/", "sample", F.col("pq_id").cast("string")).alias("placement_id"), F.col("pq_id").cast("string").alias("name"), "want_rank", "rank", "tax_id", "likelihood"), "multiclass")
     names = multi.select("placement_id", "name").distinct().withColumn("mass", F.lit(1.0))
     return taxa, multi, names
 

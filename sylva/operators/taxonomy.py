@@ -10,23 +10,28 @@ import math
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..plans.stage import written
+
 #: What a share may miss of a cutoff by rounding.
 TOLERANCE = 1e-12
 KEYS = ["sample", "pq_id"]
 
 
 def lineage(taxa: DataFrame, ranks: DataFrame, max_depth: int = 64) -> DataFrame:
-    """Every taxon's ancestors and itself, by following parents as often as the deepest taxon needs."""
+    """Every taxon's ancestors and itself, by following parents as often as the deepest taxon needs.
+
+    Each step, and the result, is written down: its size is known to joins, and plans stay short.
+    """
     own = taxa.select("tax_id", F.col("tax_id").alias("anc_tax_id"))
-    parents = taxa.select(F.col("tax_id").alias("_t"), F.col("parent_id").alias("_p")).where("_p IS NOT NULL AND _p <> _t")
+    parents = written(taxa.select(F.col("tax_id").alias("_t"), F.col("parent_id").alias("_p")).where("_p IS NOT NULL AND _p <> _t"), "parents")
     found, front = own, own
     for _ in range(max_depth):
-        front = front.join(parents, F.col("anc_tax_id") == F.col("_t")).select("tax_id", F.col("_p").alias("anc_tax_id"))
+        front = written(front.join(parents, F.col("anc_tax_id") == F.col("_t")).select("tax_id", F.col("_p").alias("anc_tax_id")), "lineage")
         if front.isEmpty():
             break
         found = found.unionByName(front)
     named = taxa.select(F.col("tax_id").alias("_t"), "rank")
-    return found.join(named, F.col("anc_tax_id") == F.col("_t")).join(ranks, "rank").select("tax_id", "anc_tax_id", "rank", "rank_order")
+    return written(found.join(named, F.col("anc_tax_id") == F.col("_t")).join(ranks, "rank").select("tax_id", "anc_tax_id", "rank", "rank_order"), "lineage")
 
 
 def roll_up(placements: DataFrame, lines: DataFrame, weight: str = "w") -> DataFrame:
@@ -64,12 +69,16 @@ def filter_best_bayes(shares: DataFrame, factors: DataFrame, bayes_cutoff: float
 
 
 def want_ranks(best: DataFrame, ranks: DataFrame) -> DataFrame:
-    """(sample, pq_id, want_rank, rank, tax_id, likelihood): for each rank wanted the nearest one at or above it with a result."""
-    wanted = ranks.select(F.col("rank").alias("want_rank"), F.col("rank_order").alias("want_order"))
-    dense = best.select(*KEYS).distinct().join(F.broadcast(wanted))  # a row a rank: few
-    have = best.select(*KEYS, "rank", F.col("rank_order").alias("want_order")).distinct()
-    filled = dense.join(have, [*KEYS, "want_order"], "left").withColumn("_rank", F.last("rank", ignorenulls=True).over(W.partitionBy(*KEYS).orderBy("want_order").rowsBetween(W.unboundedPreceding, 0))).where("_rank IS NOT NULL")
-    return filled.select(*KEYS, "want_rank", F.col("_rank").alias("rank")).join(best.select(*KEYS, "rank", "tax_id", "likelihood"), [*KEYS, "rank"]).select(*KEYS, "want_rank", "rank", "tax_id", "likelihood")
+    """(sample, pq_id, want_rank, rank, tax_id, likelihood): for each rank wanted the nearest one at or above it with a result.
+
+    A query's results come together once; ranks are few and become a literal.
+    """
+    wanted = F.array(*[F.struct(F.lit(r[0]).alias("want_rank"), F.lit(int(r[1])).alias("want_order")) for r in ranks.select("rank", "rank_order").collect()])
+    held = best.groupBy(*KEYS).agg(F.collect_list(F.struct("rank_order", "rank", "tax_id", "likelihood")).alias("_own"))
+    each = held.select(*KEYS, "_own", F.explode(wanted).alias("_w"))
+    nearest = F.array_max(F.transform(F.filter("_own", lambda x: x["rank_order"] <= F.col("_w.want_order")), lambda x: x["rank_order"]))
+    rows = each.withColumn("_n", nearest).where("_n IS NOT NULL").select(*KEYS, "_w.want_rank", F.explode(F.filter("_own", lambda x: x["rank_order"] == F.col("_n"))).alias("_x"))
+    return rows.select(*KEYS, "want_rank", "_x.rank", "_x.tax_id", "_x.likelihood")
 
 
 def classify(placements: DataFrame, lines: DataFrame, ranks: DataFrame, *, weight: str = "w", cutoff: float = 0.9, multiclass_min: float = 0.2, bayes_cutoff: float = 1.0, painted: DataFrame | None = None) -> DataFrame:

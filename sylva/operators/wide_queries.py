@@ -296,14 +296,14 @@ UNION ALL SELECT CAST(e.id AS BIGINT) FROM edges e WHERE depth = 0 AND NOT EXIST
 def splitify_rep_edges(spark, sf_dir):
     """Edges that stand for others whose split differences are nearer than 0.2."""
     tree, placed = _model(spark, sf_dir)
-    return _rounded(M.representative_edges(M.splitify(P.mass(placed), tree), tree, 0.2))
+    return _rounded(M.representative_edges(M.splitify(P.place_mass(placed), tree), tree, 0.2))
 
 
 @query(star("SELECT CAST(edge AS BIGINT) edge, sample, ROUND(x, 6) + 0 x FROM x WHERE edge IN (SELECT edge FROM x GROUP BY 1 HAVING MAX(x) - MIN(x) >= 0.002)", _SPLIT))
 def varying_edges(spark, sf_dir):
     """Split differences of edges on which samples differ by at least 0.002."""
     tree, placed = _model(spark, sf_dir)
-    return _rounded(M.varying_edges(M.splitify(P.mass(placed), tree), 0.002))
+    return _rounded(M.varying_edges(M.splitify(P.place_mass(placed), tree), 0.002))
 
 
 _VARY = "own AS (SELECT * FROM x WHERE edge IN (SELECT edge FROM x GROUP BY 1 HAVING MAX(x) - MIN(x) >= 1e-5)), cen AS (SELECT edge, sample, x - AVG(x) OVER (PARTITION BY edge) c FROM own)"
@@ -313,7 +313,7 @@ _VARY = "own AS (SELECT * FROM x WHERE edge IN (SELECT edge FROM x GROUP BY 1 HA
 def epca_covariance(spark, sf_dir):
     """Covariances of the split differences of all pairs of edges that vary."""
     tree, placed = _model(spark, sf_dir)
-    out = K.covariance(M.splitify(P.mass(placed), tree))
+    out = K.covariance(M.splitify(P.place_mass(placed), tree))
     return out.select(F.col("edge1").cast("bigint").alias("edge1"), F.col("edge2").cast("bigint").alias("edge2"), (F.round("cov", 9) + 0.0).alias("cov"))
 
 
@@ -321,7 +321,7 @@ def epca_covariance(spark, sf_dir):
 def pmlpca_covariance(spark, sf_dir):
     """The same under branch lengths."""
     tree, placed = _model(spark, sf_dir)
-    out = K.metric_covariance(M.splitify(P.mass(placed), tree), tree)
+    out = K.metric_covariance(M.splitify(P.place_mass(placed), tree), tree)
     return out.select(F.col("edge1").cast("bigint").alias("edge1"), F.col("edge2").cast("bigint").alias("edge2"), (F.round("cov", 9) + 0.0).alias("cov"))
 
 
@@ -329,7 +329,7 @@ def pmlpca_covariance(spark, sf_dir):
 def lpca_matrix(spark, sf_dir):
     """Products of the samples' centred profiles, stretches weighted by length."""
     tree, placed = _model(spark, sf_dir)
-    out = K.length_products(P.profile(P.mass(placed), tree))
+    out = K.length_products(P.profile(P.place_mass(placed), tree))
     return out.select("sample1", "sample2", (F.round("value", 9) + 0.0).alias("value"))
 
 

@@ -13,6 +13,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .stage import written
+
 TRANSFORMS = {
     "no_trans": lambda x: x,
     "unit": lambda x: F.lit(1.0),
@@ -48,6 +50,23 @@ def mass(placements: DataFrame, *, point: bool = False, weight: str = "ml_ratio"
     return out.select("sample", "pq_id", "loc", F.col("distal_bl").alias("pos"), F.col("pendant_bl").alias("pend"), "rank_in_pq", (F.col("w") * F.col("_many") / F.col("_total")).alias("m"))
 
 
+def place_mass(placements: DataFrame, *, point: bool = False, weight: str = "ml_ratio", multiplicity: str | None = None, transform: str = "no_trans") -> DataFrame:
+    """(sample, loc, pos, m): a sample's mass by place, for whatever needs no single query; written down.
+
+    As :func:`mass` summed by place, but in one pass: a query's shares sum to its multiplicity, so
+    the sample's total is that of the places.
+    """
+    own = W.partitionBy("sample", "pq_id")
+    if point:
+        shares = ranked(placements, weight).where("rank_in_pq = 1").withColumn("w", F.lit(1.0))
+    else:
+        shares = placements.withColumn("w", F.col(weight) / F.sum(weight).over(own))
+    many = F.lit(1.0) if multiplicity is None else TRANSFORMS[transform](F.col(multiplicity))
+    sums = shares.groupBy("sample", "loc", F.col("distal_bl").alias("pos")).agg(F.sum(F.col("w") * many).alias("m"))
+    places = written(sums, "places")
+    return places.withColumn("m", F.col("m") / F.sum("m").over(W.partitionBy("sample")))
+
+
 def by_place(units: DataFrame) -> DataFrame:
     return units.groupBy("sample", "loc", "pos").agg(F.sum("m").alias("m"))
 
@@ -70,8 +89,8 @@ def samples_of(units: DataFrame) -> list:
 
 def profile(units: DataFrame, edges: DataFrame, samples: list | None = None) -> DataFrame:
     """(edge, a, len, sample, r) for every sample on every stretch, including edges without mass."""
-    names = samples if samples is not None else samples_of(units)
-    places = by_place(units)
+    places = written(by_place(units), "places")  # a row a place: read for the samples, the cuts, the sums below and on edges
+    names = samples if samples is not None else samples_of(places)
     cuts = places.select(F.col("loc").alias("edge"), F.col("pos").alias("a")).unionByName(edges.select(F.col("id").alias("edge"), F.lit(0.0).alias("a"))).distinct()
     along = W.partitionBy("edge").orderBy("a")
     stretches = cuts.join(edges.select(F.col("id").alias("edge"), "bl"), "edge").select("edge", "a", (F.coalesce(F.lead("a").over(along), F.col("bl")) - F.col("a")).alias("len"))
