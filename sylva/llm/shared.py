@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jvm_dir.get() if jvm_dir.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = os.path.join(tempfile.gettempdir(), "sylva-shared")
         os.makedirs(found, exist_ok=True)
     if "://" not in found and not found.startswith("file:"):
@@ -31,8 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/sylva-{label}-{uuid.uuid4().hex}"
+    """A new, unused path in the application's own folder below the shared one: that folder may go when the application has ended."""
+    return f"{shared_dir(spark)}/sylva-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def persist(df: DataFrame, label: str) -> DataFrame:
