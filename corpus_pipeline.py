@@ -56,11 +56,11 @@ def blot_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix at weights 1, 2, 3, ... takes it (0 to 3 times).
 
-    Documents without words belong to no mix and go; null sources are one source.
+    Within a source all documents are due the same copies, long or short.  Documents without words belong to no mix and go; null sources are one source.
     """
     # a number for each row, written down, so that rows of one id keep their own copies
     rows = persist(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "mix")
-    taken = mix_sources(rows, (1, 2, 3), 3, id_column="_row", seed="pipeline").where("copies > 0").select(F.col("doc_id").alias("_row"), "copies")
+    taken = mix_sources(rows, (1, 2, 3), 3, id_column="_row", seed="pipeline", power=0.0).where("copies > 0").select(F.col("doc_id").alias("_row"), "copies")
     return rows.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
