@@ -181,14 +181,27 @@ def representative_edges(features: DataFrame, edges: DataFrame, distance: float)
     return edges.sparkSession.createDataFrame([(k,) for k in sorted(kept)], "edge int")
 
 
-def edge_widths(units: DataFrame, edges: DataFrame, total_width: float = 300.0, factor: float = 0.0) -> DataFrame:
-    """(sample, edge, m, width): mass of each edge and its drawn width; the total absolute mass has ``total_width`` unless a factor is given."""
+def edge_widths(units: DataFrame, edges: DataFrame, total_width: float = 300.0, factor: float = 0.0, *, average: bool = False) -> DataFrame:
+    """(sample, edge, m, width): mass of each edge and its drawn width; the total absolute mass has ``total_width`` unless a factor is given.
+
+    With ``average`` all samples are one, named "average", each of them weighing the same.
+    """
     per = P.by_edge(units)
+    if average:
+        share = F.col("m") / F.sum("m").over(W.partitionBy("sample"))
+        n = per.select("sample").distinct().agg(F.count("*").alias("_n"))
+        per = per.withColumn("m", share).groupBy("loc").agg(F.sum("m").alias("m")).join(F.broadcast(n)).select(F.lit("average").alias("sample"), "loc", (F.col("m") / F.col("_n")).alias("m"))  # one row
     whole = F.sum(F.abs("m")).over(W.partitionBy("sample"))
     scale = F.lit(float(total_width)) / whole if factor == 0 else F.lit(float(factor))
     return per.select("sample", F.col("loc").alias("edge"), "m", (F.col("m") * scale).alias("width"))
 
 
+def in_order(results: DataFrame, samples: list[str], column: str = "sample") -> DataFrame:
+    """A row-a-sample result in the order in which the samples were given; others come last, by name."""
+    place = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(s) for s in samples]), F.col(column)), F.lit(0)), F.lit(len(samples) + 1))
+    return results.orderBy(place, column)
+
+
 def splitify(units: DataFrame, edges: DataFrame, kappa: float = 1.0) -> DataFrame:
     """(sample, edge, x): for x the mass strictly below, sign(1 - 2x) |1 - 2x|^kappa, on every edge of every sample."""
     units = written(P.by_edge(units).withColumn("pos", F.lit(0.0)), "edges")

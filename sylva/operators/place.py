@@ -80,6 +80,29 @@ class Model:
         m[np.tril_indices(20, -1)] = numbers[:190]
         return cls(m + m.T, np.asarray(frequencies if frequencies is not None else numbers[190:], float), gamma_rates(alpha, n_cat) if alpha else np.ones(1))
 
+    @classmethod
+    def from_description(cls, about: dict, *, table: str | None = None, frequencies=None) -> Model:
+        """The model that a package's JSON names: GTR rates, or a protein table given as text, with gamma classes or a rate for each site.
+
+        ``frequencies``: those of the alignment, where the description has none of its own.
+        """
+        kind = about.get("ras_model")
+        if kind not in ("gamma", "Price-CAT"):
+            raise ValueError(f"unknown model of rates: {kind}")
+        if about.get("datatype", "DNA") == "DNA":
+            if about.get("subs_model") != "GTR":
+                raise ValueError(f"unknown substitution model: {about.get('subs_model')}")
+            model = cls.gtr(about["subs_rates"], frequencies if frequencies is not None else [0.25] * 4)
+        elif table is None:
+            raise ValueError(f"the table of {about.get('subs_model')} must be given")
+        else:
+            model = cls.from_table(table, frequencies if about.get("empirical_frequencies") else None)
+        if kind == "gamma":
+            own = about["gamma"]
+            return cls(model.exchange, model.frequencies, gamma_rates(float(own["alpha"]), int(own["n_cats"])) if int(own["n_cats"]) > 1 else np.ones(1))
+        own = about["Price-CAT"]  # its categories count from 1
+        return cls(model.exchange, model.frequencies, np.asarray(own["Rates"], float), np.asarray(own["SiteCategories"], int) - 1)
+
     @property
     def classes(self) -> int:
         """Vectors that are kept for each site."""

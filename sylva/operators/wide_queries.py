@@ -391,6 +391,28 @@ def covering(spark, sf_dir):
     return _rounded(X.covering(placed, snips).select("sample", "pq_id", "line", "part"))
 
 
+@query(star("SELECT 'average' sample, CAST(loc AS BIGINT) edge, ROUND(SUM(m) / 3, 6) m, ROUND(SUM(m) * 100, 6) width FROM mass GROUP BY 2"))
+def fat_average(spark, sf_dir):
+    """Mass and drawn width of every occupied edge, samples averaged."""
+    tree, placed = _model(spark, sf_dir)
+    return _rounded(M.edge_widths(P.place_mass(placed), tree, average=True))
+
+
+@query(star("SELECT p.sample, pq_id, CAST(line AS BIGINT) line, rank_in_pq, place FROM unit p JOIN (SELECT sample, pq_id, ROW_NUMBER() OVER (PARTITION BY sample ORDER BY CAST(pq_id AS VARCHAR), pq_id) place FROM (SELECT DISTINCT sample, pq_id FROM unit)) q USING (sample, pq_id)"))
+def sorted_run(spark, sf_dir):
+    """Placements in a settled order: by names, then by weight."""
+    _, placed = _model(spark, sf_dir)
+    return _rounded(C.sorted_run(placed, _own_names(placed)).select("sample", "pq_id", "line", "rank_in_pq", "place"))
+
+
+@query()
+def squash_rounded(spark, sf_dir):
+    """Squash clustering of the samples after queries that agree became one."""
+    tree, placed = by_order(spark, sf_dir)
+    merges = K.squash_collections(placed, _own_names(placed), tree, pre_round=True)
+    return _rounded(spark.createDataFrame(merges, "left string, right string, merged string, length_left double, length_right double"))
+
+
 # -- taxonomic variants
 
 
