@@ -102,7 +102,7 @@ def rarefaction(placements: DataFrame, edges: DataFrame, k_max: int, k_min: int
     totals = best.groupBy("sample").agg(F.count("*").alias("n"))
     units = best.select("sample", "pq_id", "loc", F.col("distal_bl").alias("pos"), F.lit(1.0).alias("m"))
     counts = P.profile(units, edges).groupBy("sample", F.round("r").cast("long").alias("d")).agg(F.sum("len").alias("len"))
-    each = counts.join(F.broadcast(totals), "sample").where(F.col("n") >= k_min).withColumn("k", F.explode(F.sequence(F.lit(k_min), F.least(F.lit(k_max), F.col("n")).cast("int"))))
+    each = counts.join(totals, "sample").where(F.col("n") >= k_min).withColumn("k", F.explode(F.sequence(F.lit(k_min), F.least(F.lit(k_max), F.col("n")).cast("int"))))
 
     def missed(d: Column) -> Column:
         steps = F.sequence(F.lit(0), F.col("k") - 1)
@@ -137,7 +137,7 @@ def rarefaction_variance(placements: DataFrame, edges: DataFrame, k_max: int, k_
     up = parts.select("sample", F.col("edge").alias("id"), F.col("d").alias("d2"), F.col("len").alias("l2")).join(edges.select("id", F.explode("path").alias("edge")), "id")
     over = up.join(parts.select("sample", "edge", F.col("d").alias("d1"), F.col("len").alias("l1")), ["sample", "edge"]).where("edge <> id OR d1 > d2")
     serial = over.groupBy("sample", "d1", "d2").agg(F.sum(F.col("l1") * F.col("l2")).alias("v")).withColumn("kind", F.lit("serial"))
-    each = pairs.unionByName(same).unionByName(serial).join(F.broadcast(totals), "sample").where(F.col("n") >= k_min).withColumn("k", F.explode(F.sequence(F.lit(k_min), F.least(F.lit(k_max), F.col("n")).cast("int"))))
+    each = pairs.unionByName(same).unionByName(serial).join(totals, "sample").where(F.col("n") >= k_min).withColumn("k", F.explode(F.sequence(F.lit(k_min), F.least(F.lit(k_max), F.col("n")).cast("int"))))
     n, d1, d2 = F.col("n"), F.col("d1"), F.col("d2")
 
     def missed(d: Column) -> Column:
@@ -240,7 +240,7 @@ def barycenter(units: DataFrame, edges: DataFrame) -> DataFrame:
     flat = dense.select("sample", "id", F.posexplode("path").alias("k", "up")).join(moment, ["sample", "up"], "left").join(inc.select("sample", F.col("id").alias("up"), "inc"), ["sample", "up"], "left").join(info.select(F.col("id").alias("up"), F.col("h").alias("h_up"), F.when(F.col("parent_id").isNull(), F.lit(0.0)).otherwise(F.col("bl")).alias("bl_up")), "up")
     # the path that mass shares with ``id``: each strict ancestor's branch, or the part above for mass on that branch
     beyond = flat.groupBy("sample", "id").agg(F.max(F.when(F.col("k") == 0, F.coalesce("inc", F.lit(0.0)))).alias("inc_id"), F.sum(F.when(F.col("k") > 0, F.coalesce("inc", F.lit(0.0)) * F.col("bl_up") - F.coalesce("on_pos", F.lit(0.0))).otherwise(0.0)).alias("shared_all"))
-    base = dense.join(under, ["sample", "id"], "left").join(beyond, ["sample", "id"]).join(F.broadcast(total), "sample")
+    base = dense.join(under, ["sample", "id"], "left").join(beyond, ["sample", "id"]).join(total, "sample")
     onto = placed.groupBy("sample", F.col("loc").alias("id")).agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("on_edge"), F.sum(F.col("m") * F.col("_height")).alias("on_h"))
     base = base.join(onto, ["sample", "id"], "left")
     zero = F.lit(0.0)

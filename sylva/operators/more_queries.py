@@ -89,12 +89,12 @@ def indep_c(spark, sf_dir):
 
 @query()
 def min_adcl(spark, sf_dir):
-    """Ten suppliers that lie close to the mass of sample A."""
+    """Ten suppliers that lie close to the mass of all samples, each weighing the same."""
     tree, placed = _model(spark, sf_dir)
     root = tree_of(tree)
-    mass = P.by_place(P.mass(placed, point=True)).where("sample = 'A'").collect()  # a row a place
+    mass = P.place_mass(placed, point=True).groupBy("loc", "pos").agg(F.sum("m").alias("m")).collect()  # a row a place on the tree
     d, m, leaves = R.mass_distances(root, [(r["loc"], r["pos"], r["m"]) for r in mass])
-    chosen, cost = R.select_greedy(d, m, min(10, len(leaves)))
+    chosen, cost = R.select_greedy(d, m / m.sum(), min(10, len(leaves)))
     names = {n.id: n.label for n in root.leaves()}
     return _rounded(spark.createDataFrame([(names[leaves[j]], float(cost)) for j in chosen], "leaf string, adcl double"))
 

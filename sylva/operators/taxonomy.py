@@ -194,9 +194,10 @@ def to_rdp(seqinfo: DataFrame, taxa: DataFrame, lines: DataFrame, ranks: DataFra
 def identities(queries: DataFrame, references: DataFrame) -> DataFrame:
     """(query, reference, identity, overlap) of aligned sequences: share of equal positions where neither has a gap (0 without any).
 
-    Every query meets every reference: references are one alignment of bounded size.
+    Every query meets every reference by definition; Spark broadcasts references if they are small,
+    else deals pairs of partitions.
     """
-    pair = queries.select(F.col("name").alias("query"), F.col("seq").alias("_q")).join(F.broadcast(references.select(F.col("name").alias("reference"), F.col("seq").alias("_r"))))
+    pair = queries.select(F.col("name").alias("query"), F.col("seq").alias("_q")).crossJoin(references.select(F.col("name").alias("reference"), F.col("seq").alias("_r")))
     both = F.zip_with(F.split("_q", ""), F.split("_r", ""), lambda a, b: F.when((a == "-") | (b == "-"), F.lit(None)).otherwise((a == b).cast("int")))
     used = F.filter(both, lambda x: x.isNotNull())
     return pair.withColumn("_u", used).select("query", "reference", F.when(F.size("_u") == 0, 0.0).otherwise(F.aggregate("_u", F.lit(0), lambda a, x: a + x) / F.size("_u")).alias("identity"), F.size("_u").alias("overlap"))

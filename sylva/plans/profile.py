@@ -46,7 +46,7 @@ def mass(placements: DataFrame, *, point: bool = False, weight: str = "ml_ratio"
     many = F.lit(1.0) if multiplicity is None else TRANSFORMS[transform](F.col(multiplicity))
     own = own.withColumn("_many", many)
     totals = own.groupBy("sample", "pq_id").agg(F.max("_many").alias("_many")).groupBy("sample").agg(F.sum("_many").alias("_total"))
-    out = own.join(F.broadcast(totals), "sample")  # a row a sample
+    out = own.join(totals, "sample")  # a row a sample: Spark broadcasts it by its size
     return out.select("sample", "pq_id", "loc", F.col("distal_bl").alias("pos"), F.col("pendant_bl").alias("pend"), "rank_in_pq", (F.col("w") * F.col("_many") / F.col("_total")).alias("m"))
 
 

@@ -92,10 +92,12 @@ def write_documents(run: Placements, folder: str, *, metadata: dict | None = Non
     pair = F.concat(F.lit("["), F.to_json(F.array("name")).substr(F.lit(2), F.length(F.to_json(F.array("name"))) - 2), F.lit(","), F.col("mass").cast("string"), F.lit("]"))
     nm = run.names.groupBy("sample", "pq_id").agg(F.array_join(F.array_sort(F.collect_list(pair)), ",").alias("nm"))
     lines = p.join(nm, ["sample", "pq_id"]).select("sample", "pq_id", F.concat(F.lit('{"p":['), "p", F.lit('],"nm":['), "nm", F.lit("]}")).alias("t"))
-    head = json.dumps(print_newick(run.tree, braces=True))
-    texts = lines.groupBy("sample").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pq_id", "t"))), lambda x: x["t"]), ",").alias("t"))
-    out = texts.select("sample", F.concat(F.lit(f'{{"tree":{head},"version":3,"fields":{json.dumps(fields)},"metadata":{json.dumps(about)},"placements":['), "t", F.lit("]}")).alias("value"))
-    out.repartition("sample").write.partitionBy("sample").mode("overwrite").text(folder)
+    # a line a query between a head and a tail: no string holds a whole sample
+    k = F.row_number().over(W.partitionBy("sample").orderBy("pq_id"))
+    rows = lines.withColumn("_k", k.cast("long")).select("sample", "_k", F.concat(F.when(F.col("_k") == 1, "").otherwise(","), "t").alias("value"))
+    head = f'{{"tree":{json.dumps(print_newick(run.tree, braces=True))},"version":3,"fields":{json.dumps(fields)},"metadata":{json.dumps(about)},"placements":['
+    ends = lines.select("sample").distinct().select("sample", F.explode(F.array(F.struct(F.lit(0).cast("long").alias("_k"), F.lit(head).alias("value")), F.struct(F.lit(2**62).cast("long").alias("_k"), F.lit("]}").alias("value")))).alias("x")).select("sample", "x._k", "x.value")
+    rows.unionByName(ends).repartition("sample").sortWithinPartitions("sample", "_k").select("sample", "value").write.partitionBy("sample").mode("overwrite").text(folder)
     return fields
 
 
