@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
-from .shared import persist
+from .shared import passing, persist
 from .textkit import LOWER, NOT_SPACE, mix, span_hashes, text_slices, words_of
 
 #: A shingle in so many classes (told apart by a byte of their fingerprints) is frequent; lists up to this long propose all pairs.
@@ -36,7 +36,7 @@ FREQUENT = 24
 #: Frequent shingles that are broadcast at most (8 bytes each): the rarest are called rare beyond.
 MOST_FREQUENT = 2_000_000
 #: Shingles that a bucket of the hash space holds, about.
-BUCKET = 1 << 20
+BUCKET = 1 << 19
 #: Pairs verified in one group, about.
 GROUP_PAIRS = 512
 #: Members that a long list's largest component sends to the rest before pairs across components are proposed; members of lists on one side of a tile, about.
@@ -82,6 +82,15 @@ def _distinct(values: np.ndarray) -> np.ndarray:
     return values[new]
 
 
+def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair (a, b) once."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
 def _bitmap(own: np.ndarray) -> bytes:
     """Which of about four to eight times as many places as shingles the hashes fall on; a longer map folds onto a shorter one."""
     size = max(64, 1 << int(4 * len(own) - 1).bit_length())
@@ -243,12 +252,12 @@ def _lists(docs: DataFrame, frequent, size: int, percent: int, buckets: int, lon
             own = marks[firsts[k] : firsts[k] + lengths[k]]
             long_marks.append(own)
             long_keys.append(np.full(len(own), own[0]))  # lists of one least member are one
-        pairs = np.unique(np.column_stack([np.concatenate(left), np.concatenate(right)]), axis=0)
-        long_rows = np.unique(np.column_stack([np.concatenate(long_keys), np.concatenate(long_marks)]), axis=0)
-        n, m = len(pairs), len(long_rows)
-        a = pa.array(np.concatenate([pairs[:, 0], long_rows[:, 1]]))
-        b = pa.array(np.concatenate([pairs[:, 1], np.zeros(m, np.int64)]), mask=np.arange(n + m) >= n)
-        lists = pa.array(np.concatenate([np.zeros(n, np.int64), long_rows[:, 0]]), mask=np.arange(n + m) < n)
+        pair_a, pair_b = _distinct_pairs(np.concatenate(left), np.concatenate(right))
+        list_key, list_mark = _distinct_pairs(np.concatenate(long_keys), np.concatenate(long_marks))
+        n, m = len(pair_a), len(list_key)
+        a = pa.array(np.concatenate([pair_a, list_mark]))
+        b = pa.array(np.concatenate([pair_b, np.zeros(m, np.int64)]), mask=np.arange(n + m) >= n)
+        lists = pa.array(np.concatenate([np.zeros(n, np.int64), list_key]), mask=np.arange(n + m) < n)
         return pa.table({"a": a, "b": b, "long_list": lists})
 
     return docs.mapInArrow(emit, "bucket long, raw binary").groupBy("bucket").applyInArrow(propose, "a long, b long, long_list long")
@@ -353,6 +362,13 @@ def jaccard_components(docs: DataFrame, *, size: int = 5, percent: int = 75, id_
     """
     if not 50 <= percent <= 99:
         raise ValueError("percent must lie between 50 and 99")
+    with passing(docs.sparkSession):  # all but the last two tables go
+        named, least = _joined(docs, size, percent, id_column, text_column, frequent, bucket)
+    return named.join(least, "_component", "left").select("doc_id", "n_shingles", F.when(F.col("mark").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _joined(docs: DataFrame, size: int, percent: int, id_column: str, text_column: str, frequent: int, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with their component, least ids of components), written down."""
     spark = docs.sparkSession
     own_id = F.col(id_column).cast("long")
     # a row without an id is told by a hash of its text
@@ -394,9 +410,9 @@ def jaccard_components(docs: DataFrame, *, size: int = 5, percent: int = 75, id_
         crossing = _crossing(_mixed(own.select("long_list", "mark"), joined), classes, percent).distinct()
         joined = _more(joined, _verify(crossing, sets, percent))
     # written down, so that the join on components is a plain one, of which Spark may split a large component's side
-    named = persist(sizes.join(joined.select(F.col("node").alias("mark"), F.col("component").alias("_component")), "mark", "left").select("doc_id", "n_shingles", "mark", F.coalesce("_component", "mark").alias("_component")), "named")
-    least = persist(named.where("_component IS NOT NULL").groupBy("_component").agg(F.min("doc_id").alias("component_id")), "least")
-    return named.join(least, "_component", "left").select("doc_id", "n_shingles", F.when(F.col("mark").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = persist(sizes.join(joined.select(F.col("node").alias("mark"), F.col("component").alias("_component")), "mark", "left").select("doc_id", "n_shingles", "mark", F.coalesce("_component", "mark").alias("_component")), "named", keep=True)
+    least = persist(named.where("_component IS NOT NULL").groupBy("_component").agg(F.min("doc_id").alias("component_id")), "least", keep=True)
+    return named, least
 
 
 def _more(joined: DataFrame, links: DataFrame) -> DataFrame:

@@ -37,12 +37,27 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/sylva-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def persist(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Paths of tables that go when the innermost :func:`passing` block ends.
+_PASSING: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession):
+    """Tables that are written down within the block go at its end, but for those that are kept."""
+    _PASSING.append([])
+    try:
+        yield
+    finally:
+        for path in _PASSING.pop():
+            forget(spark, path)
+
+
+def persist(df: DataFrame, label: str, *, keep: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there.
+
+    Within :func:`passing` the table goes when the block ends; with ``keep`` when the next outer one does.
+    """
+    return persist_at(df, label, keep=keep)[0]
 
 
 def forget(spark: SparkSession, path: str) -> None:
@@ -51,11 +66,14 @@ def forget(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def persist_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+def persist_at(df: DataFrame, label: str, *, keep: bool = False) -> tuple[DataFrame, str]:
     """As :func:`persist`, and the path, for :func:`forget`."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
+    owners = _PASSING[:-1] if keep else _PASSING
+    if owners:
+        owners[-1].append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
