@@ -16,7 +16,7 @@ from sylva.llm.ngram_join import jaccard_components
 from sylva.llm.packing import pack_documents
 from sylva.llm.queries import toxicity_model, vocabulary
 from sylva.llm.secrets import find_secrets, redact
-from sylva.llm.shared import persist
+from sylva.llm.shared import passing, persist
 from sylva.llm.toxicity import score_documents
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -39,10 +39,11 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     """
     # a number for each row, written down, so that rows of one id are told apart
     rows = persist(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    groups = jaccard_components(rows, id_column="_row").where("n_shingles > 0").select(F.col("doc_id").alias("_row"), "component_id")
-    named = persist(rows.where("doc_id IS NOT NULL").select("_row", "doc_id").join(groups, "_row"), "grouped")
-    best = persist(named.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("best")), "best")
-    gone = named.join(best, "component_id").where(F.col("_row") != F.col("best._row")).select("_row")
+    with passing(spark):
+        groups = jaccard_components(rows, id_column="_row").where("n_shingles > 0").select(F.col("doc_id").alias("_row"), "component_id")
+        named = persist(rows.where("doc_id IS NOT NULL").select("_row", "doc_id").join(groups, "_row"), "grouped")
+        best = persist(named.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("best")), "best")
+        gone = persist(named.join(best, "component_id").where(F.col("_row") != F.col("best._row")).select("_row"), "gone", keep=True)
     return rows.join(gone, "_row", "left_anti").select(*COLUMNS)
 
 
@@ -87,8 +88,7 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply every stage to ``documents``; each stage's result is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = persist(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        with passing(spark):  # what a stage wrote down on the way goes
+            docs = persist(stage(spark, docs, sf_dir), name, keep=True)
+    return STAGES[-1][1](spark, docs, sf_dir)
