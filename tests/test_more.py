@@ -123,7 +123,7 @@ def test_naive_bayes(spark):
     got = {r.name: r.tax_id for r in T.nbc_classify(T.words(queries, 4), T.words(refs, 4), tax).collect()}
     assert got == {"q": "x", "r": "y"}
     lines = spark.createDataFrame([("x", "x", "genus", 0), ("y", "y", "genus", 0)], "tax_id string, anc_tax_id string, rank string, rank_order int")
-    boots = {(r.name, r.tax_id): r.bootstrap for r in T.nbc_bootstrap(T.words(queries, 4), T.words(refs, 4), tax, lines, 20).collect()}
+    boots = {(r.name, r.tax_id): r.bootstrap for r in T.nbc_bootstrap(T.words(queries, 4), T.words(refs, 4), tax, lines, 20, length=4).collect()}
     assert boots[("q", "x")] > 0.8 and boots[("r", "y")] > 0.8
     same = T.identities(queries.limit(1), refs.selectExpr("name", "substring(seq, 1, 10) seq")).where("reference = 'a'").first()
     assert (same.identity, same.overlap) == (1.0, 10)
