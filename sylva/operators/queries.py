@@ -229,18 +229,18 @@ def top_placements(spark, sf_dir):
     return _rounded(P.ranked(placed).where("rank_in_pq <= 2 AND w >= 0.2").select("sample", "pq_id", "line", F.col("w").alias("ml_ratio")), 1.1e-8)
 
 
-@query(star(f"SELECT x.sample, x.pq_id pq1, y.pq_id pq2, ROUND(SUM(x.ml_ratio * y.ml_ratio * {_MONTH_DISTANCE}), 6) distance FROM monthly x JOIN monthly y ON x.sample = y.sample AND x.pq_id < y.pq_id JOIN region_h g ON g.r = x.r GROUP BY 1, 2, 3", HEIGHT, MONTHLY))
+@query(star(f"SELECT x.sample, x.pq_id pq1, y.pq_id pq2, ROUND(SUM(x.ml_ratio * y.ml_ratio * {_MONTH_DISTANCE}) + 1.1e-8, 6) distance FROM monthly x JOIN monthly y ON x.sample = y.sample AND x.pq_id < y.pq_id JOIN region_h g ON g.r = x.r GROUP BY 1, 2, 3", HEIGHT, MONTHLY))
 def placemat(spark, sf_dir):
     """Expected distance of every two monthly queries of a sample."""
     tree, placed = monthly(spark, sf_dir)
-    return _rounded(X.query_distances(placed, tree, point=False))
+    return _rounded(X.query_distances(placed, tree, point=False), 1.1e-8)
 
 
-@query(star("SELECT x.sample, x.pq_id pq1, y.pq_id pq2, ROUND(SUM(x.ml_ratio * y.ml_ratio), 6) overlap FROM monthly x JOIN monthly y ON x.sample = y.sample AND x.loc = y.loc AND x.pq_id > y.pq_id GROUP BY 1, 2, 3", HEIGHT, MONTHLY))
+@query(star("SELECT x.sample, x.pq_id pq1, y.pq_id pq2, ROUND(SUM(x.ml_ratio * y.ml_ratio) + 1.1e-8, 6) overlap FROM monthly x JOIN monthly y ON x.sample = y.sample AND x.loc = y.loc AND x.pq_id > y.pq_id GROUP BY 1, 2, 3", HEIGHT, MONTHLY))
 def ograph(spark, sf_dir):
     """Overlap graph of the monthly queries."""
     _, placed = monthly(spark, sf_dir)
-    return _rounded(X.overlap_graph(placed))
+    return _rounded(X.overlap_graph(placed), 1.1e-8)
 
 
 @query()

@@ -615,14 +615,14 @@ def premask(spark, sf_dir):
 # -- convexity
 
 
-@query(star("SELECT rank, CAST(edge AS BIGINT) edge, CAST(COUNT(*) - 1 AS BIGINT) badness FROM cut GROUP BY 1, 2 HAVING COUNT(*) > 1", _COLORS))
+@query(star("SELECT k.rank, CAST(e.id AS BIGINT) edge, GREATEST(COALESCE(c.n, 0) - 1, 0) badness FROM edges e CROSS JOIN (SELECT DISTINCT rank FROM leaf_taxa) k LEFT JOIN (SELECT rank, edge, COUNT(*) n FROM cut GROUP BY 1, 2) c ON c.rank = k.rank AND c.edge = e.id", _COLORS))
 def badness_by_rank(spark, sf_dir):
     """Colours beyond the first in the cut-sets of edges, rank by rank."""
     tree, _ = _model(spark, sf_dir)
     taxa = _leaf_taxa(spark, sf_dir, tree)
     out = None
     for rank in ("nation", "rest"):
-        one = T.badness(tree, taxa.where(F.col("rank") == rank).select("id", "color")).where("badness > 0").select(F.lit(rank).alias("rank"), F.col("edge").cast("bigint").alias("edge"), F.col("badness").cast("bigint").alias("badness"))
+        one = T.badness(tree, taxa.where(F.col("rank") == rank).select("id", "color")).select(F.lit(rank).alias("rank"), F.col("edge").cast("bigint").alias("edge"), F.col("badness").cast("bigint").alias("badness"))
         out = one if out is None else out.unionByName(one)
     return out
 
