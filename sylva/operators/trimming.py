@@ -75,6 +75,15 @@ def cut_tree(root: Node, keep: Iterable[int]) -> Cut:
     return Cut(tree, {e: (at[low].id, low, add) for e, (low, add) in moved.items()}, lost)
 
 
+def bare_root(root: Node) -> Cut:
+    """The tree without any leaf: its root is left, the nearest kept node above every other edge."""
+    lost: dict[int, tuple[int, float]] = {}
+    for n in reversed(list(root.walk())):
+        if n.parent is not None:
+            lost[n.id] = (root.id, (n.length or 0.0) + (lost[n.parent.id][1] if n.parent.parent is not None else 0.0))
+    return Cut(number(Node(root.label, 0.0)), {root.id: (0, root.id, 0.0)}, lost)
+
+
 @dataclass(frozen=True)
 class Trimmed:
     tree: Node
@@ -90,7 +99,8 @@ def trim(placements: DataFrame, names: DataFrame, edges: DataFrame, min_mass: fl
     Each sample weighs the same.  Placements on dropped edges go, or with ``rewrite`` move to the
     nearest kept node above, the way there being added to their pendant length.  A query without
     placements left is discarded with its names.  Weights become the softmax of those left, as
-    the format's own renormalisation of log likelihoods has it.  ``transm`` lists (old edge, new
+    the format's own renormalisation of log likelihoods has it.  If no leaf has the mass, the root
+    alone is left.  ``transm`` lists (old edge, new
     edge, what is added to a distal position); placements have ``old_edge``, the lowest old edge
     of theirs.  What comes to the driver has the size of the tree.
     """
@@ -104,7 +114,8 @@ def trim(placements: DataFrame, names: DataFrame, edges: DataFrame, min_mass: fl
     above: dict[int, float] = {}
     for n in reversed(list(root.walk())):
         above[n.id] = (above[n.parent.id] if n.parent is not None else 0.0) + mass.get(n.id, 0.0)
-    cut = cut_tree(root, {n.id for n in root.leaves() if above[n.id] >= min_mass})
+    kept = {n.id for n in root.leaves() if above[n.id] >= min_mass}
+    cut = cut_tree(root, kept) if kept else bare_root(root)
     rows = [(e, new, low, add, None) for e, (new, low, add) in cut.moves.items()]
     if rewrite:
         rows += [(e, *cut.moves[up], far) for e, (up, far) in cut.lost.items()]

@@ -107,3 +107,13 @@ def test_variance_of_all_draws(spark, seed):
         for rooted, value in ((False, got[k].unrooted), (True, got[k].rooted)):
             assert abs(pvariance([spanned(c, rooted) for c in each]) - value) < 1e-9
     assert number(root) is root
+
+
+def test_no_leaf_has_the_mass(spark):
+    root = parse_newick("((a:1,b:2):3,c:4);")
+    at = {n.label: n for n in root.leaves()}
+    rows = [("x", q, 0, at[k].id, at[k].length, 1.0, 0.5, 0.25) for q, k in enumerate("abc")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    names = spark.createDataFrame([("x", q, f"n{q}", 1.0) for q in range(3)], "sample string, pq_id long, name string, mass double")
+    gone = trim(df, names, edges_frame(spark, root), 0.5)
+    assert gone.placements.count() == 0 and gone.names.count() == 0 and gone.discarded.count() == 3
