@@ -117,3 +117,7 @@ def test_no_leaf_has_the_mass(spark):
     names = spark.createDataFrame([("x", q, f"n{q}", 1.0) for q in range(3)], "sample string, pq_id long, name string, mass double")
     gone = trim(df, names, edges_frame(spark, root), 0.5)
     assert gone.placements.count() == 0 and gone.names.count() == 0 and gone.discarded.count() == 3
+    kept = trim(df, names, edges_frame(spark, root), 0.5, rewrite=True)
+    assert [(n.label, n.id) for n in kept.tree.walk()] == [(None, 0)]
+    got = {r.pq_id: (r["loc"], r.old_edge, r.distal_bl, r.pendant_bl, r.ml_ratio) for r in kept.placements.collect()}
+    assert got == {0: (0, root.id, 0.0, 3.75, 1.0), 1: (0, root.id, 0.0, 4.75, 1.0), 2: (0, root.id, 0.0, 3.75, 1.0)}
