@@ -35,10 +35,12 @@ def filter_mass(names: DataFrame, above: float = 0.0, at_most: float = float("in
 def filter_taxa(placements: DataFrame, lineage: DataFrame, taxa: Sequence[str], cutoff: float = 0.9) -> DataFrame:
     """(sample, pq_id) of queries more than ``cutoff`` of whose weight is classified at or below one of the taxa.
 
-    lineage: (tax_id, anc_tax_id); placements have a classification.
+    lineage: (tax_id, anc_tax_id); placements have a classification.  Weights are added from the
+    largest down: a sum at the cutoff must not hang on the order in which rows arrive.
     """
     shares = placements.join(lineage.where(F.col("anc_tax_id").isin(list(taxa))), F.col("classification") == F.col("tax_id"))
-    return shares.groupBy(*KEYS, "anc_tax_id").agg(F.sum("ml_ratio").alias("_p")).where(F.col("_p") > cutoff).select(*KEYS).distinct()
+    falling = F.sort_array(F.collect_list("ml_ratio"), asc=False)
+    return shares.groupBy(*KEYS, "anc_tax_id").agg(F.aggregate(falling, F.lit(0.0), lambda a, x: a + x).alias("_p")).where(F.col("_p") > cutoff).select(*KEYS).distinct()
 
 
 def placed_only(names: DataFrame, placements: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from sylva.operators import clusters as K, measures as M
+from sylva.operators import clusters as K, collections as C, measures as M
 from sylva.operators.place import Model
 from sylva.plans import profile as P
 from sylva.plans.tree import edges_frame, parse_newick
@@ -53,3 +53,13 @@ def test_averaged_widths(spark):
     units = spark.createDataFrame([("x", 0, 0.0, 1.0), ("y", 0, 0.0, 1.0), ("y", 1, 0.0, 3.0)], "sample string, loc int, pos double, m double")
     got = {r.edge: (r.m, r.width) for r in M.edge_widths(units, edges_frame(spark, parse_newick("(a:1,b:1);")), average=True).collect()}
     assert got == {0: (0.625, 187.5), 1: (0.375, 112.5)}
+
+
+def test_taxa_at_the_cutoff_in_any_order(spark):
+    lineage = spark.createDataFrame([("a", "A")], "tax_id string, anc_tax_id string")
+    found = []
+    for weights in ([0.1, 0.2, 0.3, 0.4], [0.3, 0.4, 0.2, 0.1]):
+        rows = [("x", 1, "a" if w < 0.4 else "b", w) for w in weights]
+        placed = spark.createDataFrame(rows, "sample string, pq_id long, classification string, ml_ratio double").coalesce(1)
+        found.append(C.filter_taxa(placed, lineage, ["A"], 0.6).count())
+    assert found == [0, 0]
