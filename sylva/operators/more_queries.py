@@ -183,10 +183,8 @@ def sing(spark, sf_dir):
 @query()
 def nbc(spark, sf_dir):
     """Languages of documents by naive Bayes over 8-letter words of their letters folded onto four."""
-    folded = F.translate(F.lower("text"), "bdefhijklmnopqrsuvwxyz", "acgtacgtacgtacgtacgtac")
-    docs = S.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), F.regexp_replace(folded, "[^acgt]", "").alias("seq"), F.col("lang").alias("tax_id"))
-    each = T.words(docs, 8)
-    return T.nbc_classify(each, each, docs.select("name", "tax_id")).select("name", "tax_id")
+    docs = S.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), F.lower("text").alias("seq"), F.col("lang").alias("tax_id"))
+    return T.nbc_classify_sequences(docs, *T.nbc_train_sequences(docs, 8, T.FOLDED), 8, T.FOLDED).select("name", "tax_id")
 
 
 @query()

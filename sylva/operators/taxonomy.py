@@ -7,8 +7,12 @@ coarsest), ``lineage`` (tax_id, anc_tax_id, rank, rank_order), a row for each an
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..plans.stage import written
 
@@ -217,8 +221,97 @@ def distance_spread(distances: DataFrame) -> DataFrame:
 # -- naive Bayes over words of sequences
 
 
-def words(sequences: DataFrame, length: int = 8) -> DataFrame:
+#: Lower-case letters folded onto four, as the queries over plain text do.
+FOLDED = dict(zip("abcdefghijklmnopqrstuvwxyz", "aaccgtgacgtacgtacgttacgtac", strict=True))
+
+
+def _letter_codes(letters: dict[str, str] | None) -> np.ndarray:
+    """What each byte is: a base 0 to 3, 4 for a letter that no word holds, 5 for what is dropped."""
+    table = np.full(256, 5, np.uint8)
+    if letters is None:
+        table[ord("A") : ord("Z") + 1] = 4
+    for k, v in (letters or {x: x for x in "ACGT"}).items():
+        table[ord(k)] = "ACGT".index(v.upper())
+    return table
+
+
+def _count_words(texts: pa.Array, length: int, table: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, code, n) of the words of texts, about a million bytes at a time; rows and codes ascend, a row is in one part."""
+    if not len(texts):
+        return
+    texts = texts.cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    lo = 0
+    while lo < len(texts):
+        hi = lo + 1 if 2 * length > 42 else max(lo + 1, int(np.searchsorted(ends, ends[lo] + (1 << 20), side="right")) - 1)
+        sizes = np.diff(ends[lo : hi + 1])
+        if texts.null_count:
+            own = texts.slice(lo, hi - lo).is_valid().to_numpy(zero_copy_only=False)
+        else:
+            own = np.ones(hi - lo, bool)
+        base = table[data[ends[lo] : ends[hi]]]
+        row = np.repeat(np.arange(hi - lo), sizes)
+        keep = (base < 5) & own[row]
+        base, row = base[keep], row[keep]
+        m = len(base) - length + 1
+        if m > 0:
+            code, fits = np.zeros(m, np.int64), row[:m] == row[length - 1 :]
+            for j in range(length):
+                code = code * 4 + (base[j : m + j] & 3)
+                fits &= base[j : m + j] < 4
+            key = code[fits] + (row[:m][fits] << (2 * length) if hi - lo > 1 else 0)
+            key.sort()
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.array([], int)
+            n = np.diff(np.append(first, len(key)))
+            key = key[first]
+            yield lo + ((key >> (2 * length)) if hi - lo > 1 else np.zeros(len(key), np.int64)), key & ((1 << (2 * length)) - 1), n
+        lo = hi
+
+
+def _spelled(codes: np.ndarray, length: int) -> pa.Array:
+    """Words by their numbers, two bits a base."""
+    shifts = np.arange(2 * (length - 1), -1, -2)
+    text = np.frombuffer(b"ACGT", np.uint8)[(codes[:, None] >> shifts) & 3]
+    return pa.StringArray.from_buffers(len(codes), pa.py_buffer(np.arange(0, len(codes) * length + 1, length, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(text)))
+
+
+def _alone(sequences: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(rows whose name no other row has, rows of repeated names or None): the former need no shuffle."""
+    repeated = written(sequences.groupBy("name").agg(F.count("*").alias("_k")).where("_k > 1").select(F.col("name").alias("_name")), "repeated")
+    if repeated.isEmpty():
+        return sequences, None
+    same = F.col("name").eqNullSafe(F.col("_name"))
+    return sequences.join(repeated, same, "left_anti"), sequences.join(repeated, same, "left_semi")
+
+
+def word_codes(sequences: DataFrame, length: int = 8, letters: dict[str, str] | None = None, *, spelled: bool = False) -> DataFrame:
+    """(name, code, n): as :func:`words`, the words as numbers of two bits a base; up to 31 bases.
+
+    A task counts the words of whole sequences; only names of several rows are shuffled.
+    ``letters`` maps letters of ``seq``, as it is, to bases; whatever it lacks is dropped.
+    """
+    table, out = _letter_codes(letters), "word" if spelled else "code"
+    kind = sequences.schema["name"].dataType.simpleString()
+
+    def count(batches):
+        for batch in batches:
+            for row, code, n in _count_words(batch.column("seq"), length, table):
+                yield pa.RecordBatch.from_arrays([batch.column("name").take(pa.array(row)), _spelled(code, length) if spelled else pa.array(code), pa.array(n)], ["name", out, "n"])
+
+    def counted(rows):
+        return rows.select("name", (F.upper("seq") if letters is None else F.col("seq")).alias("seq")).mapInArrow(count, f"name {kind}, {out} {'string' if spelled else 'long'}, n long")
+
+    single, many = _alone(sequences)
+    return counted(single) if many is None else counted(single).unionByName(counted(many).groupBy("name", out).agg(F.sum("n").alias("n")))
+
+
+def words(sequences: DataFrame, length: int = 8, letters: dict[str, str] | None = None) -> DataFrame:
     """(name, word, n): k-mers of ungapped upper-case sequences with no letter beyond A, C, G, T, counted."""
+    if length <= 31:
+        return word_codes(sequences, length, letters, spelled=True)
+    if letters is not None:
+        raise ValueError("letters are mapped for words of at most 31 bases")
     seq = F.regexp_replace(F.upper("seq"), "[^A-Z]", "")
     own = sequences.select("name", seq.alias("_s")).where(F.length("_s") >= length)
     each = own.select("name", F.explode(F.transform(F.sequence(F.lit(1), F.length("_s") - length + 1), lambda i: F.substring(F.col("_s"), i, F.lit(length)))).alias("word"))
@@ -230,28 +323,107 @@ def nbc_train(reference_words: DataFrame, seq_taxa: DataFrame) -> tuple[DataFram
 
     prior(word) = (sequences with it + 0.5) / (sequences + 1); p = (sequences of the taxon with it + prior) / (sequences of it + 1).
     """
-    own = reference_words.join(seq_taxa, "name")
+    seen = reference_words.join(seq_taxa, "name").groupBy("tax_id", "word").agg(F.count("*").alias("_m"))
+    return _word_model(seen, reference_words.groupBy("word").agg(F.count("*").alias("_n")), seq_taxa)
+
+
+def _word_model(seen: DataFrame, counts: DataFrame, seq_taxa: DataFrame) -> tuple[DataFrame, DataFrame]:
     n_all = seq_taxa.agg(F.count("*").alias("_all"))
-    prior = reference_words.groupBy("word").agg(F.count("*").alias("_n")).join(F.broadcast(n_all)).select("word", ((F.col("_n") + 0.5) / (F.col("_all") + 1)).alias("prior"))
+    prior = counts.join(F.broadcast(n_all)).select("word", ((F.col("_n") + 0.5) / (F.col("_all") + 1)).alias("prior"))
     size = seq_taxa.groupBy("tax_id").agg(F.count("*").alias("size"))
-    seen = own.groupBy("tax_id", "word").agg(F.count("*").alias("_m"))
     model = seen.join(prior, "word").join(size, "tax_id").select("tax_id", "word", "prior", (F.log((F.col("_m") + F.col("prior")) / (F.col("size") + 1)) - F.log(F.col("prior") / (F.col("size") + 1))).alias("gain"))
     return model, size
 
 
+def nbc_train_sequences(sequences: DataFrame, length: int = 8, letters: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """:func:`nbc_train` on the words of sequences (name, seq, tax_id): tasks count for each taxon how many of theirs hold a word."""
+    table = _letter_codes(letters)
+    kind = sequences.schema["tax_id"].dataType.simpleString()
+
+    def count(batches):
+        for batch in batches:
+            taxa = batch.column("tax_id").dictionary_encode(null_encoding="encode")
+            which = taxa.indices.to_numpy(zero_copy_only=False)
+            for row, code, _ in _count_words(batch.column("seq"), length, table):
+                order = np.lexsort((code, which[row]))
+                t, c = which[row][order], code[order]
+                first = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])])) if len(t) else np.array([], int)
+                yield pa.RecordBatch.from_arrays([taxa.dictionary.take(pa.array(t[first])), _spelled(c[first], length), pa.array(np.diff(np.append(first, len(t))))], ["tax_id", "word", "_m"])
+
+    single, many = _alone(sequences)
+    text = (F.upper("seq") if letters is None else F.col("seq")).alias("seq")
+    seen = single.select("tax_id", text).mapInArrow(count, f"tax_id {kind}, word string, _m long").groupBy("tax_id", "word").agg(F.sum("_m").alias("_m"))
+    seen = written(seen, "words_of_taxa")  # a row a taxon and word: read for the taxa and for all sequences
+    counts = seen.select("word", F.col("_m").alias("_n"))
+    if many is not None:
+        more = words(many.select("name", "seq"), length, letters)
+        seen = seen.unionByName(more.join(many.select("name", "tax_id"), "name").groupBy("tax_id", "word").agg(F.count("*").alias("_m"))).groupBy("tax_id", "word").agg(F.sum("_m").alias("_m"))
+        counts = counts.unionByName(more.groupBy("word").agg(F.count("*").alias("_n")))
+    return _word_model(seen, counts.groupBy("word").agg(F.sum("_n").alias("_n")), sequences.select("name", "tax_id"))
+
+
 def nbc_classify(query_words: DataFrame, reference_words: DataFrame, seq_taxa: DataFrame) -> DataFrame:
     """(name, tax_id, score): the taxon of the highest sum of count * log p over a query's words; words no reference has do not count.
 
     The sum over unseen words of a taxon is the prior's, so only words that occur in a taxon are joined with it.
     """
-    model, size = nbc_train(reference_words, seq_taxa)
+    return _best_taxa(query_words, *nbc_train(reference_words, seq_taxa))
+
+
+def _best_taxa(query_words: DataFrame, model: DataFrame, size: DataFrame) -> DataFrame:
     prior = model.select("word", "prior").distinct()
     base = query_words.join(prior, "word").groupBy("name").agg(F.sum(F.col("n") * F.log("prior")).alias("_base"), F.sum("n").alias("_words"))
     gains = query_words.join(model, "word").groupBy("name", "tax_id").agg(F.sum(F.col("n") * F.col("gain")).alias("_gain"))
-    scored = gains.join(base, "name").join(size, "tax_id").select("name", "tax_id", (F.col("_base") - F.col("_words") * F.log(F.col("size") + 1) + F.col("_gain")).alias("score"))
+    each = base.crossJoin(size.where("tax_id IS NOT NULL")).join(gains, ["name", "tax_id"], "left")  # a taxon may win without a common word
+    scored = each.select("name", "tax_id", (F.col("_base") - F.col("_words") * F.log(F.col("size") + 1) + F.coalesce("_gain", F.lit(0.0))).alias("score"))
     return scored.groupBy("name").agg(F.max_by(F.struct("tax_id", "score"), F.struct("score", "tax_id")).alias("x")).select("name", "x.tax_id", "x.score")
 
 
+#: Entries of the matrix of taxa and words that tasks are sent (64 MB); larger models are joined.
+MODEL_ENTRIES = 1 << 23
+
+
+def nbc_classify_sequences(queries: DataFrame, model: DataFrame, size: DataFrame, length: int = 8, letters: dict[str, str] | None = None) -> DataFrame:
+    """:func:`nbc_classify` of sequences (name, seq) by a trained model: tasks count the words of a sequence and score it whole.
+
+    The model, whose size is that of the taxonomy, comes to the driver and goes to the tasks as a
+    matrix; one of more than ``MODEL_ENTRIES`` is joined instead, as are names of several rows.
+    """
+    model = written(model, "word_model")
+    taxa = sorted(tuple(r) for r in size.where("tax_id IS NOT NULL").collect())  # a row a taxon
+    if len(taxa) * 4**length > MODEL_ENTRIES:
+        return _best_taxa(words(queries, length, letters), model, size)
+    at = {t: k for k, (t, _) in enumerate(taxa)}
+    rows = model.select("tax_id", word_number("word").alias("code"), "prior", "gain").toArrow()  # a row a taxon and word
+    code = rows["code"].to_numpy()
+    log_prior, known = np.zeros(4**length), np.zeros(4**length, bool)
+    log_prior[code], known[code] = np.log(rows["prior"].to_numpy()), True
+    gain = np.zeros((len(taxa), 4**length))
+    which = rows["tax_id"].combine_chunks().dictionary_encode()
+    gain[np.array([at[t] for t in which.dictionary.to_pylist()], int)[which.indices.to_numpy()], code] = rows["gain"].to_numpy()
+    log_size = np.log(np.array([n for _, n in taxa], float) + 1)
+    names, table = pa.array([t for t, _ in taxa], to_arrow_type(size.schema["tax_id"].dataType)), _letter_codes(letters)
+    kind, tax_kind = queries.schema["name"].dataType.simpleString(), size.schema["tax_id"].dataType.simpleString()
+
+    def score(batches):
+        for batch in batches:
+            for row, word, n in _count_words(batch.column("seq"), length, table):
+                use = known[word]
+                own, row = np.unique(row[use], return_inverse=True)
+                if not len(own) or not len(names):
+                    continue
+                word, n = word[use], n[use].astype(float)
+                base, many = np.bincount(row, n * log_prior[word], len(own)), np.bincount(row, n, len(own))
+                all_scores = np.array([base - many * log_size[k] + np.bincount(row, n * gain[k][word], len(own)) for k in range(len(names))])
+                best = len(names) - 1 - all_scores[::-1].argmax(0)  # of equal ones the last name
+                yield pa.RecordBatch.from_arrays([batch.column("name").take(pa.array(own)), names.take(pa.array(best)), pa.array(all_scores[best, np.arange(len(own))])], ["name", "tax_id", "score"])
+
+    single, many = _alone(queries)
+    text = (F.upper("seq") if letters is None else F.col("seq")).alias("seq")
+    found = single.select("name", text).mapInArrow(score, f"name {kind}, tax_id {tax_kind}, score double")
+    return found if many is None else found.unionByName(_best_taxa(words(many, length, letters), model, size))
+
+
 def nbc_bootstrap(query_words: DataFrame, reference_words: DataFrame, seq_taxa: DataFrame, lines: DataFrame, n: int = 100, seed: int = 1, length: int = 8) -> DataFrame:
     """(name, rank, tax_id, bootstrap): share of n replicates whose best taxon lies at or below each taxon.
 
@@ -277,10 +449,14 @@ def nbc_bootstrap(query_words: DataFrame, reference_words: DataFrame, seq_taxa:
     return votes.join(whole, "name").select("name", "rank", F.col("_a").alias("tax_id"), (F.col("_k") / F.col("_all")).alias("bootstrap"))
 
 
+def word_number(word: str) -> Column:
+    """A word as a number of two bits a base, A, C, G, T from 0."""
+    return F.aggregate(F.split(word, ""), F.lit(0).cast("long"), lambda acc, c: acc * 4 + F.instr(F.lit("ACGT"), c) - 1)
+
+
 def pack_words(word_counts: DataFrame) -> DataFrame:
     """(name, code, n): words as numbers of two bits a base, A, C, G, T from 0."""
-    code = F.aggregate(F.split("word", ""), F.lit(0).cast("long"), lambda acc, c: acc * 4 + F.instr(F.lit("ACGT"), c) - 1)
-    return word_counts.select("name", code.alias("code"), "n")
+    return word_counts.select("name", word_number("word").alias("code"), "n")
 
 
 def auto_rank(seq_taxa: DataFrame, lines: DataFrame, percent: int = 80) -> str:

@@ -522,16 +522,14 @@ each AS (SELECT name, tax_id, upper(substr(s, i, 4)) word FROM (SELECT name, tax
 words AS (SELECT name, MAX(tax_id) tax_id, word, COUNT(*) n FROM each GROUP BY name, word)"""
 
 
-def _word_model(spark, sf_dir):
-    folded = F.translate(F.lower("text"), "bdefhijklmnopqrsuvwxyz", "acgtacgtacgtacgtacgtac")
-    docs = S.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"), F.regexp_replace(folded, "[^acgt]", "").alias("seq"), F.col("lang").alias("tax_id"))
-    return T.words(docs, 4), docs.select("name", "tax_id")
+def _lettered(spark, sf_dir) -> DataFrame:
+    return S.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"), F.lower("text").alias("seq"), F.col("lang").alias("tax_id"))
 
 
 @query("WITH " + _WORDS.strip() + " SELECT name, CAST(list_sum(list_transform(range(1, 5), lambda i: (instr('ACGT', word[i]) - 1) * POW(4, 4 - i))) AS BIGINT) code, n FROM words")
 def nbc_words(spark, sf_dir):
     """Four-letter words of documents folded onto four letters, as numbers, counted."""
-    return T.pack_words(_word_model(spark, sf_dir)[0])
+    return T.word_codes(_lettered(spark, sf_dir).select("name", "seq"), 4, T.FOLDED)
 
 
 @query(
@@ -542,8 +540,7 @@ SELECT w.tax_id, w.word, ROUND(LN((COUNT(*) + MAX(p)) / (MAX(m) + 1)), 6) + 0 lo
 )
 def nbc_model(spark, sf_dir):
     """Log probabilities of the words of each language."""
-    words, labels = _word_model(spark, sf_dir)
-    model, size = T.nbc_train(words, labels)
+    model, size = T.nbc_train_sequences(_lettered(spark, sf_dir), 4, T.FOLDED)
     log_p = F.col("gain") + F.log(F.col("prior")) - F.log(F.col("size") + 1)
     return _rounded(model.join(size, "tax_id").select("tax_id", "word", log_p.alias("log_p")))
 
@@ -557,8 +554,8 @@ SELECT name, ROUND(MAX(v), 4) + 0 score FROM score GROUP BY 1"""
 )
 def nbc_scores(spark, sf_dir):
     """The best language's score of every document."""
-    words, labels = _word_model(spark, sf_dir)
-    return T.nbc_classify(words, words, labels).select("name", (F.round("score", 4) + 0.0).alias("score"))
+    docs = _lettered(spark, sf_dir)
+    return T.nbc_classify_sequences(docs, *T.nbc_train_sequences(docs, 4, T.FOLDED), 4, T.FOLDED).select("name", (F.round("score", 4) + 0.0).alias("score"))
 
 
 @query(

@@ -171,3 +171,24 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("running").first().weight == 0.5
+
+
+def _plain_words(spark, rows, length):
+    found = {}
+    for name, text in rows:
+        seq = "".join(c for c in (text or "").upper() if "A" <= c <= "Z")
+        for i in range(len(seq) - length + 1):
+            if set(seq[i : i + length]) <= set("ACGT"):
+                found[name, seq[i : i + length]] = found.get((name, seq[i : i + length]), 0) + 1
+    return found
+
+
+def test_words_of_whole_rows(spark):
+    rows = [("a", "ac-gtN\nacgta"), ("b", None), ("c", "acg"), ("a", "ACGTAé-ſCGT"), (None, "ttttt"), ("d", ""), (None, "TTTT"), ("e", "g" * 50)]
+    df = spark.createDataFrame(rows, "name string, seq string")
+    for length in (2, 4, 25, 32):
+        want = _plain_words(spark, rows, length)
+        assert {(r["name"], r.word): r.n for r in T.words(df, length).collect()} == want
+    single = df.where("name <> 'a'")
+    plan = T.words(single, 4)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan  # no shuffle of words where names are unique
