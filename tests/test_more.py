@@ -192,3 +192,15 @@ def test_words_of_whole_rows(spark):
     single = df.where("name <> 'a'")
     plan = T.words(single, 4)._jdf.queryExecution().toString()
     assert "MapInArrow" in plan and "Exchange" not in plan  # no shuffle of words where names are unique
+
+
+LABELLED = [("a", "acgtacgtta", "x"), ("b", "ttttggggcc", "y"), ("c", "acgtac", "x"), ("a", "ccccgtta", "x"), ("d", "gattaca", None), ("e", "ggggttttaa", "y"), ("f", "acg", "z")]
+
+
+def test_training_on_sequences(spark):
+    df = spark.createDataFrame(LABELLED, "name string, seq string, tax_id string")
+    want, sizes = T.nbc_train(T.words(df, 4), df.select("name", "tax_id"))
+    got, own = T.nbc_train_sequences(df, 4, T.FOLDED)
+    assert sorted(own.collect(), key=str) == sorted(sizes.collect(), key=str)
+    rows = [{(r.tax_id, r.word): (round(r.prior, 12), round(r.gain, 12)) for r in x.collect()} for x in (want, got)]
+    assert rows[0] == rows[1] and len(rows[0]) > 15
