@@ -204,3 +204,21 @@ def test_training_on_sequences(spark):
     assert sorted(own.collect(), key=str) == sorted(sizes.collect(), key=str)
     rows = [{(r.tax_id, r.word): (round(r.prior, 12), round(r.gain, 12)) for r in x.collect()} for x in (want, got)]
     assert rows[0] == rows[1] and len(rows[0]) > 15
+
+
+def test_scores_of_sequences(spark, monkeypatch):
+    df = spark.createDataFrame(LABELLED, "name string, seq string, tax_id string")
+    queries = spark.createDataFrame([*[r[:2] for r in LABELLED], ("g", "ccgg"), ("h", "accggt"), ("i", None), ("j", "aaaaaaa")], "name string, seq string")
+    model, size = T.nbc_train(T.words(df, 4), df.select("name", "tax_id"))
+    want = {}
+    p = {(r.tax_id, r.word): r.gain for r in model.collect()}
+    prior = {r.word: r.prior for r in model.collect()}
+    for (name, word), n in _plain_words(spark, [tuple(r) for r in queries.collect()], 4).items():
+        for tax, k in size.where("tax_id IS NOT NULL").collect() if word in prior else []:
+            want.setdefault(name, {}).setdefault(tax, []).append(n * (np.log(prior[word]) - np.log(k + 1) + p.get((tax, word), 0.0)))
+    want = {name: max((round(sum(v), 9), tax) for tax, v in by.items()) for name, by in want.items()}
+    assert {tax for _, tax in want.values()} >= {"x", "y"}
+    for entries in (T.MODEL_ENTRIES, 0):
+        monkeypatch.setattr(T, "MODEL_ENTRIES", entries)
+        got = {r["name"]: (round(r.score, 9), r.tax_id) for r in T.nbc_classify_sequences(queries, model, size, 4, T.FOLDED).collect()}
+        assert got == want
