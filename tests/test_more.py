@@ -3,6 +3,8 @@ import json
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from sylva.functions import batch
 from sylva.operators import clusters as K, taxonomy as T, warehouse as H
 from sylva.operators.place import Model, Reference, Settings, gamma_rates, place, place_query, premask
@@ -222,3 +224,14 @@ def test_scores_of_sequences(spark, monkeypatch):
         monkeypatch.setattr(T, "MODEL_ENTRIES", entries)
         got = {r["name"]: (round(r.score, 9), r.tax_id) for r in T.nbc_classify_sequences(queries, model, size, 4, T.FOLDED).collect()}
         assert got == want
+
+
+def test_word_numbers(spark):
+    rows = [("a", "Tg-ca!"), ("b", "zebra crossing"), ("a", "tg"), ("c", "")]
+    df = spark.createDataFrame(rows, "name string, seq string")
+    lower = df.select("name", F.lower("seq").alias("seq"))
+    folded = [(n, "".join(T.FOLDED.get(c, "") for c in t.lower())) for n, t in rows]
+    want = {(n, sum("ACGT".index(c) * 4 ** (1 - k) for k, c in enumerate(w))): k for (n, w), k in _plain_words(spark, folded, 2).items()}
+    assert {(r["name"], r.code): r.n for r in T.word_codes(lower, 2, T.FOLDED).collect()} == want
+    packed = T.pack_words(T.words(lower, 2, T.FOLDED))
+    assert {(r["name"], r.code): r.n for r in packed.collect()} == want
