@@ -10,9 +10,11 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..plans import profile as P
+from ..plans.stage import written
 from .measures import kr_distance, varying_edges
 from .pairs import islands
 
@@ -439,21 +441,69 @@ def shuffle_p_values(units: DataFrame, edges: DataFrame, sample1: str, sample2:
 def shuffle_null(units: DataFrame, edges: DataFrame, sample1: str, sample2: str, n: int = 100, p: float = 1.0, seed: int = 1) -> DataFrame:
     """(turn, z): distances of n shuffles, the null distribution to draw: queries of both samples dealt anew to two samples of the same sizes.
 
-    All shuffles are one plan: every query is in each, under a sample named by the shuffle, dealt by
-    the rank of a hash.
+    Queries are dealt by the rank of a hash: those up to the hash that the last query of the first
+    sample has.  That limit is found for each shuffle among the queries of one of 1024 stretches of
+    hashes; then a row of units carries its sides as bits, tasks sum them by place, and a task
+    finishes 10 shuffles.  No unit is written down more than once.
     """
-    two = units.where(F.col("sample").isin(sample1, sample2))
-    queries = two.select("sample", "pq_id").distinct()
+    two = units.where(F.col("sample").isin(sample1, sample2)).select("sample", "pq_id", "loc", "pos", "m")
+    queries = written(two.select("sample", "pq_id").distinct(), "dealt_queries")
     n1 = queries.where(F.col("sample") == sample1).count()
-    turns = queries.withColumn("turn", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    rank = F.row_number().over(W.partitionBy("turn").orderBy(F.xxhash64(F.lit(seed), "turn", "sample", "pq_id"), "sample", "pq_id"))
-    dealt = turns.withColumn("side", F.when(rank <= n1, "1").otherwise("2"))
-    own = two.join(dealt, ["sample", "pq_id"])
-    whole = own.groupBy("turn", "side").agg(F.sum("m").alias("_t"))
-    moved = own.join(whole, ["turn", "side"]).select(F.concat_ws("/", F.col("turn").cast("string"), "side").alias("sample"), "pq_id", "loc", "pos", (F.col("m") / F.col("_t")).alias("m"))
-    prof = P.profile(moved, edges).withColumn("turn", F.split("sample", "/")[0]).withColumn("side", F.split("sample", "/")[1])
-    gap = F.abs(F.sum(F.when(F.col("side") == "1", F.col("r")).otherwise(-F.col("r"))))
-    return prof.groupBy("turn", "edge", "a", "len").agg(gap.alias("g")).groupBy("turn").agg(F.pow(F.sum(F.pow("g", F.lit(float(p))) * F.col("len")), F.lit(min(1.0, 1.0 / p))).alias("z"))
+    turns = queries.withColumn("turn", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("h", F.xxhash64(F.lit(seed), "turn", "sample", "pq_id"))
+    slots = turns.withColumn("slot", F.shiftright("h", 54))
+    run = F.sum("k").over(W.partitionBy("turn").orderBy("slot"))
+    last = slots.groupBy("turn", "slot").agg(F.count("*").alias("k")).withColumn("run", run).where((F.col("run") >= n1) & (F.col("run") - F.col("k") < n1))
+    last = written(last.select("turn", "slot", (F.col("run") - F.col("k")).alias("before")), "last_slots")  # a row a shuffle
+    rank = F.row_number().over(W.partitionBy("turn").orderBy("h", "sample", "pq_id"))
+    limits = slots.join(F.broadcast(last), ["turn", "slot"]).withColumn("rank", F.col("before") + rank).where(F.col("rank") == n1)
+    limit = {r.turn: (r.h, r["sample"], r.pq_id) for r in limits.select("turn", "h", "sample", "pq_id").collect()}  # a row a shuffle
+
+    def first_side(turn: int) -> Column:
+        h, sample, query = limit[turn]
+        own = F.xxhash64(F.lit(seed), F.lit(turn), "sample", "pq_id")
+        tie = (F.col("sample") < sample) | ((F.col("sample") == sample) & (F.col("pq_id") <= F.lit(query)))
+        return (own < h) | ((own == h) & tie)
+
+    wide, packed = 10, 60
+    bits = [sum((F.when(first_side(t), F.lit(1 << (t - lo))).otherwise(F.lit(0)).cast("long") for t in range(lo, min(n + 1, lo + packed))), F.lit(0).cast("long")).alias(f"b{lo}") for lo in range(1, n + 1, packed)]
+    tree = {r["id"]: (r["path"], r["bl"]) for r in edges.select("id", "path", "bl").collect()}  # of the tree
+
+    def add(batches):
+        for batch in batches:
+            loc, pos, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("loc", "pos", "m"))
+            sides = [batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names[3:]]
+            begin = np.flatnonzero(np.concatenate([[True], (loc[1:] != loc[:-1]) | (pos[1:] != pos[:-1])])) if len(loc) else np.array([], int)
+            for chunk, lo in enumerate(range(0, n, wide) if len(loc) else []):
+                own = np.stack([(sides[t // packed] >> (t % packed)) & 1 for t in range(lo, min(n, lo + wide))], 1) * m[:, None]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(begin), chunk, np.int32)), pa.array(loc[begin].astype(np.int32)), pa.array(pos[begin]), pa.array(np.add.reduceat(m, begin)), pa.array(list(np.add.reduceat(own, begin)), pa.list_(pa.float64()))], ["chunk", "loc", "pos", "whole", "first"])
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.sort_values(["loc", "pos"])
+        one, whole = np.array(own["first"].tolist()), own["whole"].to_numpy()
+        total = one.sum(0)
+        gap = one / total - (whole[:, None] - one) / (whole.sum() - total)
+        return pd.DataFrame({"turn": np.arange(len(total)) + own["chunk"].iloc[0] * wide + 1, "z": _apart(own["loc"].tolist(), own["pos"].tolist(), gap, tree, p) ** min(1.0, 1.0 / p)})
+
+    rows = two.repartition("loc", "pos").sortWithinPartitions("loc", "pos").select("loc", "pos", "m", *bits)
+    places = rows.mapInArrow(add, "chunk int, loc int, pos double, whole double, first array<double>")
+    return places.groupBy("chunk").applyInPandas(finish, "turn int, z double")
+
+
+def _apart(locs: list, places: list, moved: np.ndarray, tree: dict, p: float) -> np.ndarray:
+    """For each column of differences of mass at places (in order): the sum over the tree of |difference below| ** p times length."""
+    below, on = {}, {}
+    for loc, pos, x in zip(locs, places, moved, strict=True):
+        on.setdefault(loc, []).append((pos, x))
+        for e in tree[loc][0]:
+            if e != loc:
+                below[e] = below.get(e, 0.0) + x
+    z = np.zeros(moved.shape[1])
+    for e in {*below, *on}:
+        r, at = np.zeros(moved.shape[1]) + below.get(e, 0.0), 0.0
+        for pos, x in [*on.get(e, []), (tree[e][1], 0.0)]:
+            z += np.abs(r) ** p * max(0.0, pos - at)
+            r, at = r + x, pos
+    return z
 
 
 def gaussian_p_value(units: DataFrame, edges: DataFrame, sample1: str, sample2: str, p: float = 1.0, n: int = 1000, seed: int = 1) -> tuple[float, float]:
@@ -483,19 +533,7 @@ def gaussian_p_value(units: DataFrame, edges: DataFrame, sample1: str, sample2:
         own = pdf.sort_values(["loc", "pos"])
         s, base = np.array(own["total"].tolist()), own["base"].to_numpy()
         moved = s - base[:, None] * s.sum(0) / (n1 + n2)  # the normals less their mean
-        below, on = {}, {}
-        for loc, pos, x in zip(own["loc"].tolist(), own["pos"].tolist(), moved, strict=True):
-            on.setdefault(loc, []).append((pos, x))
-            for e in tree[loc][0]:
-                if e != loc:
-                    below[e] = below.get(e, 0.0) + x
-        z = np.zeros(s.shape[1])
-        for e in {*below, *on}:
-            r, at = np.zeros(s.shape[1]) + below.get(e, 0.0), 0.0
-            for pos, x in [*on.get(e, []), (tree[e][1], 0.0)]:
-                z += np.abs(r * weight) ** p * max(0.0, pos - at)
-                r, at = r + x, pos
-        return pd.DataFrame({"z": z ** min(1.0, 1.0 / p)})
+        return pd.DataFrame({"z": _apart(own["loc"].tolist(), own["pos"].tolist(), moved * weight, tree, p) ** min(1.0, 1.0 / p)})
 
     weight = np.sqrt((1 / n1 + 1 / n2) / (n1 + n2))
     places = single.groupBy("loc", "pos").applyInPandas(add, "chunk int, loc int, pos double, base double, total array<double>")

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans import profile as P, star as S
+from ..plans.stage import written
 from ..plans.tree import Node, number, print_newick, prune_to, reroot as _reroot, tree_length
 from ..sources.drawings import Skeleton, fat_decor, heat_color, hung_on_edge, phyloxml
 from . import clusters as K, measures as M, place as L, taxonomy as T, trees as R
@@ -76,7 +77,7 @@ def mcl(spark, sf_dir):
 def kr_significance(spark, sf_dir):
     """Significance of the distance of A and R, queries are orders: 100 shuffles (steps of 0.01) and 1000 Gaussian deviates."""
     tree, placed = by_order(spark, sf_dir)
-    units = P.mass(placed)
+    units = written(P.mass(placed).where(F.col("sample").isin("A", "R")).select("sample", "pq_id", "loc", "pos", "m"), "units")
     z, p = K.shuffle_p_values(units, tree, "A", "R")
     return _rounded(spark.createDataFrame([(float(z), float(p), float(K.gaussian_p_value(units, tree, "A", "R")[1]))], "distance double, p_shuffle double, p_gaussian double"))
 
