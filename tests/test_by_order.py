@@ -114,3 +114,32 @@ def test_all_shuffles(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(K, "shuffle_p_values", counted)
     QUERIES["kr_significance"](spark, sf_dir)
     assert drawn == [100]
+
+
+def test_compress_moves_copies_as_one(spark, monkeypatch):
+    edges = edges_frame(spark, parse_newick("((A:2,B:1):1,C:3):0;"))
+    spots = [(0, 0.5), (0, 0.75), (1, 0.5), (3, 1.0), (3, 2.5)]
+    rows = [("x", q, 0, *spots[q * q % 5 if q % 3 else q % 5], 1.0, 0.1) for q in range(120)]
+    rows += [("x", 200 + k, line, loc, pos, w, 0.1) for k in range(4) for line, (loc, pos, w) in enumerate([(0, 0.5, 0.9), (3, 1.0, 0.1)])]
+    df = spark.createDataFrame(rows, "sample string, pq_id long, line int, loc int, distal_bl double, ml_ratio double, pendant_bl double")
+    seen, plain = [], K.near_pairs
+    monkeypatch.setattr(K, "near_pairs", lambda *a: (seen.append(plain(*a)), seen[-1])[1])
+    got = {r.pq_id: r.kept_id for r in K.compress(df, edges, 0.4).collect()}
+    assert seen[0].count() <= 15  # pairs of six kinds of queries, not of 124 queries
+    long = [2.0, 1.0, 1.0, 3.0]
+    marks = [sorted({0.0, long[e], *(p for k, p in spots if k == e)}) for e in range(4)]
+    cuts = [(e, a, b) for e, own in enumerate(marks) for a, b in zip(own, own[1:], strict=False)]
+    at: dict = {}
+    for _, q, _, loc, pos, w, _ in rows:
+        for n, (e, a, _) in enumerate(cuts):
+            at.setdefault(q, np.zeros(len(cuts)))[n] += w if (e == loc and a >= pos) or (e == 2 and loc in (0, 1)) else 0.0
+    ids, far = sorted(at), np.array([b - a for _, a, b in cuts])
+    island = {x.pq_id: x.island for x in islands(df).collect()}
+    near = np.array([[a != b and island[a] == island[b] and (np.abs(at[a] - at[b]) * far).sum() <= 0.4 for b in ids] for a in ids])
+    want = np.arange(len(ids))
+    while near.sum(1).max() > 0:
+        k = int(near.sum(1).argmax())
+        gone = [*np.flatnonzero(near[k]), k]
+        want[gone] = k
+        near[gone], near[:, gone] = False, False
+    assert got == {q: ids[want[k]] for k, q in enumerate(ids)} and len(set(got.values())) < 8
