@@ -85,9 +85,9 @@ def held_out(id_column: str = "doc_id"):
 
 def toxicity_model(spark: SparkSession, sf_dir: str):
     """A model of labelled documents that are not held out."""
-    from .toxicity import fit, labelled_sample
+    from .toxicity import fit_rows, labelled_rows
 
-    return fit(labelled_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out()))
+    return fit_rows(labelled_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out()))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

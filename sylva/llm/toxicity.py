@@ -148,14 +148,20 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     order.shuffle(toxic)
     order.shuffle(ordinary)
     model = Model(_dictionary(toxic, TOXIC_DICT), _dictionary(ordinary, ORDINARY_DICT), ())
-    windows = [_windows(text) for text, _ in kept]
-    vocabulary = sorted({w for own in windows for w in own})
-    distance = dict(zip(vocabulary, _distances(model, vocabulary).tolist(), strict=True))
-    x = _summary(np.array([distance[w] for own in windows for w in own]), np.array([len(own) for own in windows]))
+    place: dict[bytes, int] = {}  # a number for each window, so that texts are held as numbers
+    windows = [np.array([place.setdefault(w, len(place)) for w in _windows(text)], np.int32) for text, _ in kept]
+    distance = _distances(model, list(place))
+    x = _summary(distance[np.concatenate(windows)], np.array([len(own) for own in windows]))
     return Model(model.toxic, model.ordinary, _curve(x, np.array([label for _, label in kept], float)))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, *, label_column: str = "toxic", id_column: str = "doc_id", text_column: str = "text", n_docs: int = SAMPLE_DOCS, n_bytes: int = SAMPLE_BYTES) -> list[tuple[str, int]]:
+    """The rows of :func:`labelled_rows`, on the driver."""
+    rows = labelled_rows(docs, labels, usable, label_column=label_column, id_column=id_column, text_column=text_column, n_docs=n_docs, n_bytes=n_bytes).collect()
+    return [(r[0], r[1]) for r in rows]
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, usable: Column, *, label_column: str = "toxic", id_column: str = "doc_id", text_column: str = "text", n_docs: int = SAMPLE_DOCS, n_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """At most ``n_docs`` labelled texts of each class, of at most ``n_bytes`` each: those of the smallest hash of the id.
 
     ``usable``: a condition on ``doc_id`` for rows that may be learned from.  Rows without id,
@@ -169,8 +175,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, *, label
         picked = one if picked is None else picked.unionByName(one)
     picked = picked.select(F.col("doc_id").alias("_id"), "_label")  # its size is bounded: 2 * n_docs rows
     texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("_text")).where(F.col("_text").isNotNull() & (F.octet_length("_text") <= n_bytes))
-    rows = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("_text", "_label").collect()
-    return [(r[0], r[1]) for r in rows]
+    return texts.join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("_text", "_label")
+
+
+def fit_rows(rows: DataFrame) -> Model:
+    """:func:`fit` of rows (text, label), whose number is bounded, in one task: the driver gets the model, never the texts."""
+
+    def one(table: pa.Table) -> pa.Table:
+        texts = [t.decode("utf-8", "replace") for t in table.column(0).cast(pa.binary()).to_pylist()]
+        model = fit(list(zip(texts, table.column(1).to_pylist(), strict=True)))
+        return pa.table({"toxic": pa.array([model.toxic], pa.binary()), "ordinary": pa.array([model.ordinary], pa.binary()), "weights": pa.array([model.weights], pa.list_(pa.float64()))})
+
+    text, label = rows.columns
+    found = rows.select(text, label, F.lit(0).alias("_all")).groupBy("_all").applyInArrow(one, "toxic binary, ordinary binary, weights array<double>").collect()
+    return Model(bytes(found[0].toxic), bytes(found[0].ordinary), tuple(found[0].weights)) if found else fit([])
 
 
 class _Scorer:
