@@ -143,3 +143,41 @@ def test_compress_moves_copies_as_one(spark, monkeypatch):
         want[gone] = k
         near[gone], near[:, gone] = False, False
     assert got == {q: ids[want[k]] for k, q in enumerate(ids)} and len(set(got.values())) < 8
+
+
+@pytest.mark.parametrize("plain", [0, K.PLAIN])
+def test_clusters_of_single_places(spark, monkeypatch, plain):
+    monkeypatch.setattr(K, "PLAIN", plain)
+    rng = np.random.default_rng(3)
+    rows = []
+    for q in range(160):
+        locs = rng.choice(8, 1 if q % 3 else int(rng.integers(1, 4)), replace=False)
+        share = rng.dirichlet([1] * len(locs)) if len(locs) > 1 else [1.0 if q % 5 else 0.75]
+        rows += [("x", q, int(k), float(w)) for k, w in zip(locs, share, strict=True)]
+    df = spark.createDataFrame(rows, "sample string, pq_id long, loc int, ml_ratio double")
+    w = np.zeros((160, 8))
+    for _, q, k, v in rows:
+        w[q, k] += v
+    for inflation in (1.5, 2.0, 4.0):
+        m = w @ w.T
+        np.fill_diagonal(m, 1)
+        m /= m.sum(0)
+        for _ in range(60):
+            m = (m @ m) ** inflation
+            m /= m.sum(0)
+        label = np.arange(160)
+        for _ in range(160):
+            for row in m:
+                own = np.flatnonzero(row > 1e-6)
+                if len(own):
+                    label[own] = label[own].min()
+        got = {x.pq_id: x.cluster for x in K.markov_clusters(df, inflation).collect()}
+        assert [got[q] for q in range(160)] == label.tolist() and len(set(label.tolist())) > 1
+
+
+def test_clusters_of_a_crowd(spark):
+    # 30 000 queries on three edges, joined by a few: a pair of them each would be 9e8 pairs
+    rows = [("x", q, q % 3, 1.0) for q in range(30_000)] + [("x", 30_000 + k, loc, 0.5) for k in range(2) for loc in (k, k + 1)]
+    df = spark.createDataFrame(rows, "sample string, pq_id long, loc int, ml_ratio double")
+    got = {x.pq_id: x.cluster for x in K.markov_clusters(df, 4.0).collect()}
+    assert len(got) == 30_002 and all(got[q] == q % 3 for q in range(30_000))
