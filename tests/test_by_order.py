@@ -181,3 +181,26 @@ def test_clusters_of_a_crowd(spark):
     df = spark.createDataFrame(rows, "sample string, pq_id long, loc int, ml_ratio double")
     got = {x.pq_id: x.cluster for x in K.markov_clusters(df, 4.0).collect()}
     assert len(got) == 30_002 and all(got[q] == q % 3 for q in range(30_000))
+
+
+def test_a_long_chain_is_one_island_in_few_jobs(spark):
+    rows = [("x", 500 - q, loc, 1.0) for q in range(300) for loc in (q, q + 1)] + [("x", 900, 400, 1.0), ("y", 7, 3, 1.0), ("y", 6, 3, 0.2)]
+    df = spark.createDataFrame(rows, "sample string, pq_id long, loc int, ml_ratio double")
+    spark.sparkContext.setJobGroup("chain", "islands of a chain")
+    got = {(r.sample, r.pq_id): r.island for r in islands(df, 0.1).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    spark.sparkContext.setJobGroup("other", "")
+    assert got == {("x", 500 - q): 201 for q in range(300)} | {("x", 900): 900, ("y", 7): 6, ("y", 6): 6}
+    assert jobs < 60  # not some for each step along the chain
+
+
+def test_compress_counts_a_distance_at_the_cutoff(spark):
+    # shares of 4/5 and 3/5 on one leaf, the rest on another: each two are exactly 0.4 apart, however they are added up
+    edges = edges_frame(spark, parse_newick("((A:1,B:1):1,C:3):0;"))
+    far = []
+    for k in range(1, 40):
+        rows = [("x", 1, 0, 0, 0.0, 4.0 * k, 0.1), ("x", 1, 1, 1, 0.0, 1.0 * k, 0.1), ("x", 2, 0, 0, 0.0, 3.0 * k, 0.1), ("x", 2, 1, 1, 0.0, 2.0 * k, 0.1)]
+        far += [(f"s{k}", *r[1:]) for r in rows]
+    df = spark.createDataFrame(far, "sample string, pq_id long, line int, loc int, distal_bl double, ml_ratio double, pendant_bl double")
+    for cutoff, kept in ((0.4, 1), (0.4 - 1e-9, 2)):
+        assert {(r.sample, r.pq_id): r.kept_id for r in K.compress(df, edges, cutoff).collect()} == {(f"s{k}", q): min(q, kept) for k in range(1, 40) for q in (1, 2)}
